@@ -5,18 +5,60 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import common as C
-from tessera.llm import packing
+from tessera.llm import line_dedup, packing, quality_rules
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(C.read_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.judged(C.read_table(spark, sf_dir, "documents"), ("doc_id",))
+    return out.select("row.doc_id", *quality_rules.COUNTS, "base_failed", "kept", "posterior", "votes")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(C.read_table(spark, sf_dir, "documents"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_deleted", "text")
+
+
+OP7_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
+  FROM documents),
+worded AS (
+  SELECT doc_id, pos, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words,
+         row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq,
+         lead(x) OVER (PARTITION BY doc_id ORDER BY pos) AS nx
+  FROM lines WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+ranked AS (
+  SELECT doc_id, pos, seq, words, nx,
+         row_number() OVER (PARTITION BY x ORDER BY doc_id, seq) AS one,
+         row_number() OVER (PARTITION BY x, nx ORDER BY doc_id, seq) AS two
+  FROM worded),
+cut AS (
+  SELECT doc_id, seq FROM ranked WHERE words >= 50 AND one > 1
+  UNION SELECT doc_id, seq FROM ranked WHERE nx IS NOT NULL AND two > 1
+  UNION SELECT doc_id, seq + 1 FROM ranked WHERE nx IS NOT NULL AND two > 1),
+gone AS (SELECT w.doc_id, w.pos FROM worded w JOIN cut c ON w.doc_id = c.doc_id AND w.seq = c.seq),
+kept AS (
+  SELECT l.doc_id, string_agg(l.x, chr(10) ORDER BY l.pos) AS text
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos WHERE g.pos IS NULL GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(w.n, 0) AS n_lines, coalesce(g.n, 0) AS n_deleted, coalesce(k.text, '') AS text
+FROM documents d
+LEFT JOIN kept k ON d.doc_id = k.doc_id
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM worded GROUP BY doc_id) w ON d.doc_id = w.doc_id
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON d.doc_id = g.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_best_fit_packing,)}
+    return {f.__name__: f for f in (op4_best_fit_packing, op5_quality_rules, op7_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": OP7_SQL}
