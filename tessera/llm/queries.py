@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common as C
-from tessera.llm import decontaminate, line_dedup, packing, quality_rules, warc
+from tessera.llm import chat, decontaminate, line_dedup, packing, quality_model, quality_rules, warc
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(C.read_table(spark, sf_dir, "documents"), C.read_table(spark, sf_dir, "labels"))
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(C.read_table(spark, sf_dir, "conversations"))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +84,7 @@ LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON d.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op5_quality_rules, op7_line_dedup, op9_warc, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op2_quality_classifier, op3_chat_formatting, op4_best_fit_packing, op5_quality_rules, op7_line_dedup, op9_warc, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
