@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common as C
-from tessera.llm.quality_rules import SPACE, SPACES
+from tessera.llm.quality_rules import SPACES
 
+WORD = "[^\\x20\\x09-\\x0D]+"
 MIN_LINES, LONG_WORDS = 2, 50
 
 
@@ -33,9 +34,8 @@ def line_table(docs: DataFrame, long_words: int) -> DataFrame:
         F.xxhash64("doc_id", "t").alias("k"), F.struct(F.col("doc_id").isNull().alias("late"), "doc_id").alias("place"), worded.alias("lines")
     )
     line = rows.select("k", "place", F.posexplode("lines").alias("seq", "line"))
-    trimmed = F.regexp_replace("line.x", f"^{SPACE}|{SPACE}$", "")
     return line.select(
-        "k", "place", "seq", F.col("line.pos").alias("pos"), F.xxhash64("line.x").alias("rank"), (F.size(F.split(trimmed, SPACE)) >= long_words).alias("long")
+        "k", "place", "seq", F.col("line.pos").alias("pos"), F.xxhash64("line.x").alias("rank"), (F.regexp_count("line.x", F.lit(WORD)) >= long_words).alias("long")
     )
 
 
