@@ -10,7 +10,6 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -191,14 +190,13 @@ def gram_hashes(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.
 
 # ---------------------------------------------------------------- packed rows
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length as compressed byte planes: one shuffled row carries many entries."""
+    """Arrays of one length as byte planes, which Spark's own codec shrinks: one shuffled row carries many entries."""
     n = len(arrays[0])
-    planes = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(n, a.dtype.itemsize).T.tobytes() for a in arrays)
-    return zlib.compress(planes, 1)
+    return b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(n, a.dtype.itemsize).T.tobytes() for a in arrays)
 
 
 def unpack(blob: bytes, *dtypes) -> list[np.ndarray]:
-    raw = np.frombuffer(zlib.decompress(blob), np.uint8)
+    raw = np.frombuffer(blob, np.uint8)
     sizes = [np.dtype(d).itemsize for d in dtypes]
     n = len(raw) // sum(sizes)
     out, at = [], 0
@@ -208,5 +206,13 @@ def unpack(blob: bytes, *dtypes) -> list[np.ndarray]:
     return out
 
 
-def crc32_words(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
+def part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """Parts as ranges of the hash, so that sorted hashes fall into parts in order."""
+    return ((h >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+
+
+def part_cuts(sorted_hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(parts present, their first entries with the end appended)."""
+    own = part_of(sorted_hashes, parts)
+    at = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+    return own[at], np.append(at, len(own))

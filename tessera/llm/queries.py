@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common as C
-from tessera.llm import chat, decontaminate, line_dedup, near_dedup, packing, quality_model, quality_rules, warc
+from tessera.llm import chat, decontaminate, line_dedup, lm, near_dedup, packing, quality_model, quality_rules, warc
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_deleted", "text")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(C.read_table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.convert_pages(C.read_table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -88,7 +92,7 @@ LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON d.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op3_chat_formatting, op4_best_fit_packing, op5_quality_rules, op6_minhash_near_dedup, op7_line_dedup, op9_warc, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op2_quality_classifier, op3_chat_formatting, op4_best_fit_packing, op5_quality_rules, op6_minhash_near_dedup, op7_line_dedup, op8_lm_scoring, op9_warc, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
