@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common as C
-from tessera.llm import chat, decontaminate, line_dedup, lm, near_dedup, packing, quality_model, quality_rules, warc
+from tessera.llm import chat, decontaminate, line_dedup, lm, near_dedup, packing, quality_model, quality_rules, suffix_dedup, warc
+
+
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(C.read_table(spark, sf_dir, "documents"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +96,21 @@ LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON d.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op3_chat_formatting, op4_best_fit_packing, op5_quality_rules, op6_minhash_near_dedup, op7_line_dedup, op8_lm_scoring, op9_warc, op10_benchmark_decontamination)}
+    import corpus_pipeline
+
+    own = (
+        op1_suffix_array_dedup,
+        op2_quality_classifier,
+        op3_chat_formatting,
+        op4_best_fit_packing,
+        op5_quality_rules,
+        op6_minhash_near_dedup,
+        op7_line_dedup,
+        op8_lm_scoring,
+        op9_warc,
+        op10_benchmark_decontamination,
+    )
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
