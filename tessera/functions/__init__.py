@@ -1 +1 @@
-"""functions"""
+"""Text rules as column expressions and plain functions."""

@@ -1 +1 @@
-"""operators"""
+"""Index scans, fusion, predicates, metadata and reports over DataFrames."""

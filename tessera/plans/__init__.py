@@ -1 +1 @@
-"""plans"""
+"""Plans put together from operators, and the registered queries."""

@@ -1,15 +1,423 @@
-"""Registered queries over the derived corpus view, and their SQL."""
+"""Registered queries over whole tables, each with the SQL that answers it wherever SQL can."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessera.functions import text as X
+from tessera.functions.decode import CP1252_CHARS, decoded
+from tessera.functions.excerpt import best_centre, excerpts, flatten, locate
+from tessera.functions.splitting import split_to_bound
+from tessera.functions.text import tokenize_query, units
+from tessera.operators import convention, evaluate, filters, fusion, lexical, reading, vector
+from tessera.plans import corpus as C
+from tessera.plans import search
+from tessera.sources.snapshots import upserted, without
+from tessera.streaming import sync
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+K = 5
+
+
+def registered(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def with_(*parts: str) -> str:
+    return "WITH " + ",\n".join(parts) + "\n"
+
+
+LEXICAL = (C.SQL_CHUNKS, C.SQL_INDEX, C.SQL_WANTED, C.SQL_SCORED)
+
+
+# ---------------------------------------------------------------- search
+@registered(
+    with_(C.SQL_CORPUS, *LEXICAL, C.sql_lexical(50), C.sql_vector(50), C.SQL_FUSED)
+    + """SELECT f.query_id, f.fused_rank AS rank, c.path, c.title, c.status, round(f.score, 4) AS score
+FROM fused f JOIN corpus c ON f.chunk_id = c.doc_id WHERE f.fused_rank <= 5"""
+)
+def hybrid_search(spark, sf_dir):
+    ix = C.index(spark, sf_dir)
+    found = search.fused(ix, C.queries(spark, sf_dir), filters.Filters(), K)
+    return found.join(ix.documents.select("doc_id", "path", "title", "status"), "doc_id").select("query_id", "rank", "path", "title", "status", F.round("score", 4).alias("score"))
+
+
+@registered(
+    with_(C.SQL_CORPUS, C.SQL_ALLOWED, *LEXICAL, C.sql_lexical(50, "chunk_id IN (SELECT chunk_id FROM allowed)"), C.sql_vector(50, "chunk_id IN (SELECT chunk_id FROM allowed)"), C.SQL_FUSED)
+    + """SELECT f.query_id, f.fused_rank AS rank, c.path, c.status, round(f.score, 4) AS score
+FROM fused f JOIN corpus c ON f.chunk_id = c.doc_id WHERE f.fused_rank <= 5"""
+)
+def hybrid_filtered(spark, sf_dir):
+    ix = C.index(spark, sf_dir)
+    found = search.fused(ix, C.queries(spark, sf_dir), C.SEARCH_FILTERS, K)
+    return found.join(ix.documents.select("doc_id", "path", "status"), "doc_id").select("query_id", "rank", "path", "status", F.round("score", 4).alias("score"))
+
+
+def _lexical(spark, sf_dir, allowed: bool) -> DataFrame:
+    ix = C.index(spark, sf_dir, with_vectors=False)
+    own = ix.allowed(C.SEARCH_FILTERS) if allowed else None
+    found = lexical.search_lexical(C.queries(spark, sf_dir), ix.postings, ix.lengths, fusion.candidates(K), own)
+    return found.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+@registered(with_(*LEXICAL, C.sql_lexical(50)) + "SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM lexical")
+def lexical_bm25(spark, sf_dir):
+    return _lexical(spark, sf_dir, False)
+
+
+@registered(with_(C.SQL_CORPUS, C.SQL_ALLOWED, *LEXICAL, C.sql_lexical(50, "chunk_id IN (SELECT chunk_id FROM allowed)")) + "SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM lexical")
+def lexical_filtered(spark, sf_dir):
+    return _lexical(spark, sf_dir, True)
+
+
+@registered(with_(C.sql_vector(50)) + "SELECT query_id, chunk_id, rank, round(distance, 6) AS distance FROM vector")
+def vector_knn(spark, sf_dir):
+    found = vector.search_vector(C.queries(spark, sf_dir), C.vectors(spark, sf_dir), fusion.candidates(K))
+    return found.select("query_id", "chunk_id", "rank", F.round("distance", 6).alias("distance"))
+
+
+@registered(with_(C.SQL_CORPUS, C.SQL_ALLOWED, C.sql_vector(50, "chunk_id IN (SELECT chunk_id FROM allowed)")) + "SELECT query_id, chunk_id, rank, round(distance, 6) AS distance FROM vector")
+def vector_postfilter(spark, sf_dir):
+    ix = C.index(spark, sf_dir)
+    found = vector.search_vector(C.queries(spark, sf_dir), ix.vectors, fusion.candidates(K), ix.allowed(C.SEARCH_FILTERS))
+    return found.select("query_id", "chunk_id", "rank", F.round("distance", 6).alias("distance"))
+
+
+@registered(with_(*LEXICAL, C.sql_lexical(50), C.sql_vector(50), C.SQL_FUSED) + "SELECT query_id, chunk_id, fused_rank, best, lexical_rank, vector_rank, round(score, 9) AS score FROM fused")
+def rrf_fusion(spark, sf_dir):
+    ix, asked = C.index(spark, sf_dir), C.queries(spark, sf_dir)
+    n = fusion.candidates(K)
+    fused = fusion.fuse([lexical.search_lexical(asked, ix.postings, ix.lengths, n), vector.search_vector(asked, ix.vectors, n)])
+    return fused.select("query_id", "chunk_id", "fused_rank", "best", F.col("rank_0").alias("lexical_rank"), F.col("rank_1").alias("vector_rank"), F.round("score", 9).alias("score"))
+
+
+@registered(
+    with_(C.SQL_LINE_CHUNKS, C.SQL_INDEX, C.SQL_WANTED, C.SQL_SCORED, C.sql_lexical(50))
+    + """SELECT query_id, chunk_id, doc_id, rank FROM (
+  SELECT query_id, chunk_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY fused_rank) AS rank FROM (
+    SELECT l.query_id, l.chunk_id, c.doc_id, l.rank AS fused_rank, row_number() OVER (PARTITION BY l.query_id, c.doc_id ORDER BY l.rank) AS n
+    FROM lexical l JOIN chunks c ON l.chunk_id = c.chunk_id) WHERE n <= 2) WHERE rank <= 5"""
+)
+def per_document_cap(spark, sf_dir):
+    ix = C.index(spark, sf_dir, by_line=True, with_vectors=False)
+    found = search.fused(ix, C.queries(spark, sf_dir).drop("embedding"), filters.Filters(), K)
+    return found.select("query_id", "chunk_id", "doc_id", "rank")
+
+
+@registered(
+    with_(*LEXICAL, C.sql_lexical(50), C.sql_vector(50), C.SQL_FUSED)
+    + """SELECT query_id, lexical_rank, vector_rank, fused_rank, CASE WHEN fused_rank <= 5 THEN 'returned' WHEN fused_rank IS NOT NULL THEN 'cut' ELSE 'lost' END AS outcome
+FROM (SELECT doc_id AS query_id FROM documents WHERE doc_id % 20 = 0) q LEFT JOIN fused f USING (query_id) WHERE f.chunk_id = q.query_id OR NOT EXISTS (SELECT 1 FROM fused g WHERE g.query_id = q.query_id AND g.chunk_id = q.query_id) AND f.chunk_id IS NULL"""
+)
+def rank_probe(spark, sf_dir):
+    """At which stage a query's own document is lost: per leg, after fusion, after the limit."""
+    asked = C.queries(spark, sf_dir)
+    own = rrf_fusion(spark, sf_dir).where("query_id = chunk_id")
+    outcome = F.when(F.col("fused_rank") <= K, "returned").when(F.col("fused_rank").isNotNull(), "cut").otherwise("lost")
+    return asked.select("query_id").join(own, "query_id", "left").select("query_id", "lexical_rank", "vector_rank", "fused_rank", outcome.alias("outcome"))
+
+
+@registered(
+    with_(C.SQL_CORPUS, C.SQL_CHUNKS) + "SELECT c.chunk_id, d.path, '' AS heading, octet_length(encode(c.content)) AS bytes FROM chunks c JOIN corpus d ON c.doc_id = d.doc_id WHERE c.chunk_id NOT IN (SELECT vec_id FROM embeddings)"
+)
+def missing_vectors(spark, sf_dir):
+    ix = C.index(spark, sf_dir)
+    return vector.missing_vectors(ix.chunks, ix.vectors, ix.documents).select("chunk_id", "path", "heading", F.octet_length("content").alias("bytes"))
+
+
+@registered(
+    with_(C.sql_vector(10_000_000)) + "SELECT query_id, chunk_id, rank, round(1 - distance * distance / 2, 6) AS cosine FROM vector WHERE rank <= 100"
+)
+def vector_cosine_ranks(spark, sf_dir):
+    """Cosines of the nearest stored vectors by rank: of unit vectors they fall as ranks rise."""
+    near = vector.knn(C.queries(spark, sf_dir), C.vectors(spark, sf_dir), 100)
+    return near.select("query_id", "chunk_id", "rank", F.round(1 - F.col("distance") ** 2 / 2, 6).alias("cosine"))
+
+
+# ---------------------------------------------------------------- predicates, facets, overview
+@registered(with_(C.SQL_CORPUS) + "SELECT doc_id, path FROM corpus WHERE type = 'en' AND module = 'src1'")
+def filter_type_module(spark, sf_dir):
+    return C.documents(spark, sf_dir).where(filters.Filters.of(" en ", "src1").predicate()).select("doc_id", "path")
+
+
+@registered(with_(C.SQL_CORPUS) + "SELECT doc_id, status FROM corpus WHERE status IS NULL OR status NOT IN ('draft', 'deprecated')")
+def filter_denylist_null_aware(spark, sf_dir):
+    return C.documents(spark, sf_dir).where(filters.Filters.of(excluded_statuses=C.EXCLUDED).predicate()).select("doc_id", "status")
+
+
+@registered(with_(C.SQL_CORPUS) + "SELECT doc_id, type, module FROM corpus WHERE list_has_any(tags, ['fr', 'src3'])")
+def filter_tags_any(spark, sf_dir):
+    return C.documents(spark, sf_dir).where(filters.Filters.of(tags=("FR", " src3 ", "")).predicate()).select("doc_id", "type", "module")
+
+
+@registered(with_(C.SQL_CORPUS) + "SELECT type AS value, count(*) AS n FROM corpus WHERE type IS NOT NULL GROUP BY type")
+def overview_by_type(spark, sf_dir):
+    return reading.counts(C.documents(spark, sf_dir)).where("field = 'type'").select("value", "n")
+
+
+@registered(with_(C.SQL_CORPUS) + "SELECT module AS value, count(*) AS n FROM corpus WHERE module IS NOT NULL GROUP BY module")
+def overview_by_module(spark, sf_dir):
+    return reading.counts(C.documents(spark, sf_dir)).where("field = 'module'").select("value", "n")
+
+
+@registered(
+    with_(C.SQL_CORPUS)
+    + """SELECT array_to_string((SELECT list(DISTINCT type ORDER BY type) FROM corpus WHERE type IS NOT NULL), ',') AS types,
+  array_to_string((SELECT list(DISTINCT module ORDER BY module) FROM corpus WHERE module IS NOT NULL), ',') AS modules,
+  array_to_string((SELECT list(DISTINCT t ORDER BY t) FROM (SELECT lower(unnest(tags)) AS t FROM corpus)), ',') AS tags,
+  array_to_string((SELECT list(DISTINCT status ORDER BY status) FROM corpus WHERE status IS NOT NULL), ',') AS statuses"""
+)
+def facets(spark, sf_dir):
+    return filters.facets(C.documents(spark, sf_dir)).select(*[F.array_join(c, ",").alias(c) for c in ("types", "modules", "tags", "statuses")])
+
+
+# ---------------------------------------------------------------- quality
+@registered(
+    with_(C.SQL_CORPUS, *LEXICAL, C.sql_lexical(150))
+    + """SELECT count(*) AS cases, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 9) AS recall_at_k, round(avg(coalesce(1.0 / rank, 0)), 9) AS mrr,
+  CAST(sum(CASE WHEN rank <= 5 THEN 0 ELSE 1 END) AS BIGINT) AS failures
+FROM (SELECT q.doc_id, min(l.rank) AS rank FROM (SELECT doc_id FROM documents WHERE doc_id % 20 = 0) q
+      LEFT JOIN lexical l ON l.query_id = q.doc_id AND l.chunk_id = q.doc_id AND l.rank <= 15 GROUP BY q.doc_id)"""
+)
+def eval_recall_mrr(spark, sf_dir):
+    ix = C.index(spark, sf_dir, with_vectors=False)
+    asked = C.queries(spark, sf_dir).select("query_id", F.col("text").alias("question"))
+    cases = asked.join(ix.documents.select(F.col("doc_id").alias("query_id"), F.col("path").alias("expected")), "query_id")
+    s = search.quality(ix, cases, K)["lexical"]
+    return s.select("cases", F.round("recall_at_k", 9).alias("recall_at_k"), F.round("mrr", 9).alias("mrr"), "failures")
+
+
+# ---------------------------------------------------------------- incremental maintenance
+def _snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Two listings made of the corpus: what is labelled was there before, and what is not toxic is there now; German texts changed."""
+    d = C.documents(spark, sf_dir)
+    hashed = d.select("doc_id", "path", "type", "status", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+    old = hashed.where("status is not null or type <> 'es'")
+    new = hashed.where("status is null or status <> 'deprecated'").withColumn("hash", F.when(F.col("type") == "de", F.sha2(F.col("hash").cast("binary"), 256)).otherwise(F.col("hash")))
+    return old, new
+
+
+SQL_SNAPSHOTS = """hashed AS (SELECT doc_id, path, type, status, sha256(text) AS hash FROM corpus),
+old AS (SELECT * FROM hashed WHERE status IS NOT NULL OR type <> 'es'),
+new AS (SELECT path, CASE WHEN type = 'de' THEN sha256(hash) ELSE hash END AS hash FROM hashed WHERE status IS NULL OR status <> 'deprecated'),
+diff AS (
+  SELECT coalesce(o.path, n.path) AS path,
+         CASE WHEN o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'deleted' WHEN o.hash = n.hash THEN 'same' ELSE 'changed' END AS state
+  FROM old o FULL OUTER JOIN new n ON o.path = n.path)"""
+
+
+@registered(with_(C.SQL_CORPUS, SQL_SNAPSHOTS) + "SELECT path, state FROM diff")
+def sync_diff(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    return sync.diff(new, old)
+
+
+@registered(with_(C.SQL_CORPUS, SQL_SNAPSHOTS) + "SELECT path FROM diff WHERE state = 'deleted' AND NOT (path = 'docs/src2' OR starts_with(path, 'docs/src2/') OR path = 'docs/src3' OR starts_with(path, 'docs/src3/'))")
+def sync_delete_protected(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    return sync.deletable(sync.diff(new, old), ["docs/src2", "docs/src3"])
+
+
+@registered(with_(C.SQL_CORPUS, SQL_SNAPSHOTS) + "SELECT path, hash FROM old WHERE path NOT IN (SELECT path FROM new) UNION ALL SELECT path, hash FROM new")
+def snapshot_upsert(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    return upserted(old.select("path", "hash"), new.select("path", "hash"), "path")
+
+
+@registered(with_(C.SQL_CORPUS, *LEXICAL[:2]) + "SELECT count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tokens FROM postings WHERE chunk_id NOT IN (SELECT doc_id FROM corpus WHERE status = 'deprecated')")
+def delete_cascade(spark, sf_dir):
+    """Postings that are left when documents go with all that hangs on them."""
+    ix = C.index(spark, sf_dir, with_vectors=False)
+    gone = ix.documents.where("status = 'deprecated'").select("doc_id")
+    stale = ix.chunks.join(gone, "doc_id", "left_semi").select("chunk_id")
+    return without(ix.postings, stale, "chunk_id").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
+
+
+@registered("SELECT doc_id, sha256(text) AS hash FROM documents")
+def content_hash(spark, sf_dir):
+    return C.table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+
+
+# ---------------------------------------------------------------- text
+@registered(
+    with_(C.SQL_CORPUS)
+    + """SELECT target, path, rank FROM (
+  SELECT target, path, row_number() OVER (PARTITION BY target ORDER BY levenshtein(target, path) / greatest(length(target), length(path), 1), path) AS rank
+  FROM (SELECT 'doc/' || module || '-' || doc_id AS target FROM corpus WHERE doc_id % 20 = 0) CROSS JOIN corpus) WHERE rank <= 3"""
+)
+def closest_paths(spark, sf_dir):
+    d = C.documents(spark, sf_dir)
+    wanted = d.where(F.col("doc_id") % C.QUERY_EVERY == 0).select(F.concat(F.lit("doc/"), "module", F.lit("-"), F.col("doc_id").cast("string")).alias("target"))
+    near = wanted.crossJoin(d.select("path")).withColumn("d", X.distance(F.col("target"), F.col("path")))  # the stated query set against all rows
+    return near.withColumn("rank", F.row_number().over(W.partitionBy("target").orderBy("d", "path"))).where("rank <= 3").select("target", "path", "rank")
+
+
+@registered("SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return C.table(spark, sf_dir, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
+
+
+@registered(r"SELECT item_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS term FROM benchmark")
+def query_terms(spark, sf_dir):
+    return C.table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.query_terms(F.col("text"))).alias("term"))
+
+
+@registered(with_(*LEXICAL[:2]) + "SELECT term, df FROM frequency")
+def term_document_frequency(spark, sf_dir):
+    return lexical.document_frequency(lexical.postings(C.chunks(spark, sf_dir)))
+
+
+@registered("SELECT doc_id, upper(source[1]) || source[2:] || ' ' || doc_id || ' notes' AS title FROM documents")
+def humanize_title(spark, sf_dir):
+    path = F.concat(F.lit("a/b/"), "source", F.lit("_-"), F.col("doc_id").cast("string"), F.lit("--notes.md"))
+    return C.table(spark, sf_dir, "documents").select("doc_id", X.humanized(path).alias("title"))
+
+
+@registered("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END AS module FROM documents")
+def infer_module(spark, sf_dir):
+    path = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("docs/"), "source", F.lit(".md"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("docs/"), "source", F.lit("/x.md"))).otherwise(F.concat("source", F.lit("/y/x.md")))
+    return C.table(spark, sf_dir, "documents").select("doc_id", X.module_of(path, ("docs",)).alias("module"))
+
+
+SQL_CONDENSED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+
+
+@registered(f"SELECT doc_id, CASE WHEN length({SQL_CONDENSED}) <= 140 THEN {SQL_CONDENSED} ELSE substr({SQL_CONDENSED}, 1, 139) || '…' END AS summary FROM documents")
+def condense_summary(spark, sf_dir):
+    return C.table(spark, sf_dir, "documents").select("doc_id", X.condense(F.col("text")).alias("summary"))
+
+
+SQL_LINE = f"""'- ' || coalesce('[' || type || '] ', '') || path || ' — ' || CASE WHEN length({SQL_CONDENSED}) <= 140 THEN {SQL_CONDENSED} ELSE substr({SQL_CONDENSED}, 1, 139) || '…' END || coalesce(' (' || status || ')', '')"""
+
+
+@registered(with_(C.SQL_CORPUS) + f"SELECT path, type, {SQL_LINE} AS line FROM corpus")
+def doc_line(spark, sf_dir):
+    return reading.lines(C.documents(spark, sf_dir))
+
+
+@registered(with_(C.SQL_CORPUS) + f"SELECT type, string_agg({SQL_LINE}, chr(10) ORDER BY doc_id) AS body FROM corpus GROUP BY type")
+def index_md(spark, sf_dir):
+    """Index lines of a type, joined in the order of ids."""
+    d = C.documents(spark, sf_dir)
+    lines = reading.lines(d).join(d.select("path", "doc_id"), "path")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "line"))), lambda s: s["line"])  # a report: one text a type
+    return lines.groupBy("type").agg(F.array_join(ordered, "\n").alias("body"))
+
+
+STRICT = convention.Convention("strict", types=("en", "fr"), statuses=("current", "draft"))
+
+
+@registered(
+    with_(C.SQL_CORPUS)
+    + """SELECT doc_id, array_to_string(list_filter([
+  CASE WHEN type NOT IN ('en', 'fr') THEN 'invalid ''type'': "' || type || '" (allowed: en, fr)' END,
+  CASE WHEN module = 'src1' THEN 'frontmatter is missing required field ''module''' END,
+  CASE WHEN status IS NULL THEN 'frontmatter is missing required field ''status''' WHEN status NOT IN ('current', 'draft') THEN 'invalid ''status'': "' || status || '" (allowed: current, draft)' END,
+  CASE WHEN module = 'src2' THEN 'the document has no H1 title' END,
+  CASE WHEN module = 'src3' THEN '''tags'' must be a list of strings' END], lambda x: x IS NOT NULL), '; ') AS errors FROM corpus"""
+)
+def strict_validation_errors(spark, sf_dir):
+    d = C.documents(spark, sf_dir)
+    fields = F.map_from_arrays(F.array(*map(F.lit, ("type", "module", "status"))), F.array("type", F.when(F.col("module") == "src1", " ").otherwise(F.col("module")), "status"))
+    title = F.when(F.col("module") == "src2", "").otherwise(F.col("title"))
+    parsed = d.select("doc_id", "path", title.alias("title"), "summary", fields.alias("fields"), "tags", (F.col("module") != "src3").alias("tags_ok"))
+    return convention.resolved(parsed, STRICT).select("doc_id", F.array_join("errors", "; ").alias("errors"))
+
+
+@registered("SELECT doc_id, array_to_string([lower(lang), source], ',') AS tags FROM documents")
+def normalize_tags(spark, sf_dir):
+    raw = F.array(F.concat(F.lit(" "), F.upper("lang")), F.lit("  "), F.concat("source", F.lit(" ")))
+    return C.table(spark, sf_dir, "documents").select("doc_id", F.array_join(convention.normalized_tags(raw), ",").alias("tags"))
+
+
+@registered(with_(C.SQL_CORPUS) + "SELECT doc_id, '---' || coalesce(chr(10) || 'type: ' || type, '') || coalesce(chr(10) || 'module: ' || module, '') || coalesce(chr(10) || 'status: ' || status, '') || chr(10) || 'tags: [' || type || ', ' || module || ']' || chr(10) || '---' AS block FROM corpus")
+def frontmatter_block(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    return C.documents(spark, sf_dir).select("doc_id", reading.frontmatter(F.col("type"), F.col("module"), F.col("status"), none, F.col("tags"), none).alias("block"))
+
+
+@registered("SELECT doc_id, '# Document ' || doc_id || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10)) AS content FROM documents")
+def read_documents(spark, sf_dir):
+    """Whole documents put together from their chunks."""
+    return reading.whole_text(C.line_chunks(spark, sf_dir), C.documents(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- beyond SQL: held against fixtures and invariants in the tests
+@registered()
+def chunk_documents(spark, sf_dir):
+    @F.udf(T.ArrayType(T.StringType()), useArrow=True)
+    def parts(text):
+        return split_to_bound(text or "", 480)
+
+    return C.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(parts("text")).alias("position", "content"))
+
+
+@registered()
+def excerpts_of_results(spark, sf_dir):
+    ix = C.index(spark, sf_dir)
+    return search.search(ix, C.queries(spark, sf_dir), filters.Filters(), K)
+
+
+@registered()
+def match_centre(spark, sf_dir):
+    """Where in a query's own document the window of 120 lies that says most about its terms."""
+
+    @F.udf("int", useArrow=True)
+    def centre(text, query):
+        return best_centre(locate(units(text or ""), [units(t) for t in tokenize_query(query)]), 120)
+
+    d = C.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("content"))
+    return C.queries(spark, sf_dir).select("query_id", "text").join(d, "query_id").select("query_id", centre("content", "text").alias("centre"))
+
+
+@registered()
+def lead_excerpts(spark, sf_dir):
+    asked = C.queries(spark, sf_dir).select("query_id", "text")
+    d = C.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("content"))
+    return asked.join(d, "query_id").select("query_id", excerpts(F.col("content"), F.col("text"), F.lit(1)).alias("excerpt"))
+
+
+@registered()
+def flatten_markdown(spark, sf_dir):
+    @F.udf("string", useArrow=True)
+    def flat(text):
+        return flatten(text or "").text
+
+    return C.table(spark, sf_dir, "documents").select("doc_id", flat("text").alias("flat"))
+
+
+@registered(r"SELECT doc_id, array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: length(x) > 0), lambda x: trim(x)), '|') AS headings FROM documents")
+def headings(spark, sf_dir):
+    """Headings of texts whose every line is made one."""
+    marked = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("## "), x)), "\n")
+    return C.table(spark, sf_dir, "documents").select("doc_id", F.array_join(reading.headings(marked), "|").alias("headings"))
+
+
+@registered("SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'utf-16le' WHEN doc_id % 3 = 1 THEN 'utf-8' WHEN strip_accents(text) = text AND NOT contains(text, 'ß') THEN 'utf-8' ELSE 'windows-1252' END AS encoding FROM documents")
+def decode_bytes(spark, sf_dir):
+    """Texts written as UTF-16, UTF-8 and Windows-1252 by turns, and decoded."""
+    latin = F.encode(F.translate("text", CP1252_CHARS, "?" * len(CP1252_CHARS)), "ISO-8859-1")
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(b"\xff\xfe"), F.encode("text", "UTF-16LE"))).when(F.col("doc_id") % 3 == 1, F.col("text").cast("binary")).otherwise(latin)
+    return C.table(spark, sf_dir, "documents").select("doc_id", decoded(raw).alias("d")).select("doc_id", "d.text", "d.encoding")

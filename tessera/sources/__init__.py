@@ -1 +1 @@
-"""sources"""
+"""Settings, file scans and the snapshot store."""

@@ -1 +1 @@
-"""streaming"""
+"""Incremental maintenance."""
