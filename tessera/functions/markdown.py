@@ -148,7 +148,7 @@ def outline(body: str) -> Outline:
     majors = [i for i, b in enumerate(marks) if b.depth == 2]
     first = marks[majors[0]].start if majors else len(body)
     sections = []
-    for i, after in zip(majors, [*majors[1:], len(marks)], strict=True):
+    for i, after in zip(majors, [*majors[1:], len(marks)], strict=False):
         inner = [Section(marks[j].text, cut(stops[j], stops[j + 1])) for j in range(i + 1, after)]
         sections.append(Section(marks[i].text, cut(stops[i], stops[i + 1]), inner))
     return Outline(top.text if top else "", summary, cut(top.end if top else 0, first), sections)
