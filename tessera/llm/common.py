@@ -46,9 +46,21 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int, codec: str = "zstd") -> DataFrame:
+    """Writes df in the shared folder as a table bucketed by key: later joins and groupings by key read it in place."""
+    spark, table = df.sparkSession, f"tessera_{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", codec).option("path", scratch(spark, name)).bucketBy(buckets, key).saveAsTable(table)
+    return spark.table(table)
+
+
+def buckets_for(df: DataFrame, mb: int = 24) -> int:
+    return int(min(1 << 14, max(8, input_bytes(df) // (mb << 20))))
+
+
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of df (of a plain scan: its files)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size estimate of df (of a plain scan: its files); where it knows none, 32 MB a shuffle partition."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 60 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) << 25
 
 
 def parts_for(df: DataFrame, mb: float, least: int = 8) -> int:

@@ -8,8 +8,8 @@ registers make candidates, and every candidate pair is verified by its exact pro
 
 Texts of equal word sequences are one class; only one document of a class is banded.  A bucket of a band does not emit
 its pairs: all its classes are compared with one centre, those that are not linked with it with a second, and so on;
-then the pairs of a bucket that are still in different components are compared, whatever their number, so no link
-between components is lost.  Components of the verified links are the groups.
+then buckets that still hold several components are compared pair by pair where they are small, and joined by an exact
+prefix filter where they are not, so no link between components is lost however large a bucket is.  Components of the verified links are the groups.
 
 A text of one to four words is one shingle.  Null, empty and blank texts are nobody's duplicates.  Rows with equal ids
 or equal rows are documents of their own; of a group the row with the smallest doc_id (null last) stays.  An empty table
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +34,9 @@ WORDS, SIMILARITY = 5, 0.8
 REGISTERS, ROWS = 64, 4
 #: Rounds in which a bucket's unlinked classes get another centre before the remaining pairs are compared.
 ROUNDS = 3
+#: A bucket that still holds several components is compared pair by pair up to this size; larger ones go through the
+#: prefix filter, which is as exact and does not grow with the square.
+FEW = 24
 
 _U = np.uint64
 
@@ -104,11 +108,18 @@ def probability_jaccard(x: np.ndarray, xw: np.ndarray, y: np.ndarray, yw: np.nda
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """docs' columns as ``row``, rid, c (class), words and bands; written once."""
+    """docs' columns as ``row``, block, rid, c (class), words and bands; written once, bucketed by block.
+
+    A block is a stretch of a few MB of texts, so a task writes few files and texts are later read in place.
+    """
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("t"))
-    schema = T.StructType([*src.schema.fields, T.StructField("c", T.LongType()), T.StructField("words", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    own = ("block", "rid", "c", "words")
+    schema = T.StructType([src.schema["row"], *[T.StructField(n, T.LongType()) for n in own], T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block, n = TaskContext.get().partitionId() << 24, 0
         for batch in batches:
             for i, j, buf, off in C.blocks(batch.column(1)):
                 row, g, count, whole, words = shingles(buf, off)
@@ -118,24 +129,29 @@ def sketched(docs: DataFrame) -> DataFrame:
                     bands = (bands + who[:, k::ROWS]) * _U(0xB492B66FBE98F273 + 2 * k)
                 bands = C.mix(bands + np.arange(bands.shape[1], dtype=_U))
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1).view(np.int64)), bands.shape[1]).cast(pa.list_(pa.int64()))
-                part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(whole[0].view(np.int64)), pa.array(words.astype(np.int64)), lists], names=schema.names)
+                columns = (np.full(j - i, block), (block >> 24 << 40) + n + np.arange(j - i), whole[0].view(np.int64), words.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.slice(i, j - i).column(0), *map(pa.array, columns), lists], names=schema.names)
+                block, n = block + 1, n + j - i
 
-    return C.materialize(src.mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id()), "sketches")
+    return C.bucketed(src.mapInArrow(run, schema), "sketches", "block", C.buckets_for(docs))
 
 
-def shingle_sets(texts: DataFrame) -> DataFrame:
-    """(c, set): sorted hashes and counts of texts (c, t), packed."""
+def shingle_sets(table: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
+    """(c, set): sorted hashes and counts of the wanted rows (block, rid), packed; bucketed by class."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, buf, off in C.blocks(batch.column(1)):
-                row, g, count, _, _ = shingles(buf, off)
-                cut = np.searchsorted(row, np.arange(j - i + 1))
-                sets = [g[a:b].tobytes() + count[a:b].astype(np.uint32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], names=["c", "set"])
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.filter(pa.array(np.isin(left.column("rid").to_numpy(), right.column("rid").to_numpy())))
+        classes, sets = [], []
+        for i, j, buf, off in C.blocks(left.column("t")):
+            row, g, count, _, _ = shingles(buf, off)
+            cut = np.searchsorted(row, np.arange(j - i + 1))
+            sets += [g[a:b].tobytes() + count[a:b].astype(np.uint32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            classes += left.column("c").slice(i, j - i).to_pylist()
+        return pa.table({"c": pa.array(classes, pa.int64()), "set": pa.array(sets, pa.binary())})
 
-    return texts.select("c", "t").mapInArrow(run, "c long, set binary")
+    texts = table.select("block", "rid", "c", F.col("row.text").alias("t"))
+    sets = texts.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(run, "c long, set binary")
+    return C.bucketed(sets.repartition(buckets, "c"), "sets", "c", buckets, "snappy")
 
 
 def unset(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -156,20 +172,58 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return with_b.mapInArrow(run, "a long, b long, similarity double")
 
 
-def class_links(classes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame | None]:
+def foreign_pairs(classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of classes (c, root) with different roots that can be similar, by prefix and position filters.
+
+    Shingles are put in one order, rare ones first.  Linked sets share a shingle, and from their first shared one on each
+    must still hold enough weight that the other component can share; a copy whose own edits already cost too much
+    fails this with everyone.  No pair that is similar enough is left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                own = [unset(x.as_py()) for x in part.column(2)]
+                n = np.array([len(h) for h, _ in own], np.int64)
+                total = np.array([int(w.sum()) for _, w in own], np.int64)
+                plain = np.array([bool((w == 1).all()) for _, w in own])
+                cols = [np.repeat(part.column(0).to_numpy(), n), np.repeat(part.column(1).to_numpy(), n), np.concatenate([h for h, _ in own]).view(np.int64), np.concatenate([w for _, w in own]).astype(np.int64), np.repeat(total, n), np.repeat(plain, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["c", "root", "h", "w", "total", "plain"])
+
+    schema = "c long, root long, h long, w long, total long, plain boolean"
+    each = C.materialize(classes.join(sets, "c").select("c", "root", "set").mapInArrow(run, schema), "split_shingles")
+    foreign = each.groupBy("h").agg((F.min("root") < F.max("root")).alias("foreign"), F.count("*").alias("n")).where("foreign").drop("foreign")
+    onward = W.partitionBy("c").orderBy(F.desc("n"), F.desc("h"))  # from the last shingle back: what is still to come
+    prefix = each.join(foreign, "h").withColumn("rest", F.sum("w").over(onward.rowsBetween(W.unboundedPreceding, 0)))
+    prefix = C.materialize(prefix.where(F.col("rest") >= similarity * F.col("total")).select("h", "c", "root", "rest", "total", "plain"), "prefixes")
+    other = prefix.select("h", *[F.col(x).alias(f"{x}_b") for x in ("c", "root", "rest", "total", "plain")])
+    # with shares p and q of the weights left to share, the similarity is at most pq / (q + (1 - q) p), and the same turned round
+    p, q, m = F.col("rest") / F.col("total"), F.col("rest_b") / F.col("total_b"), F.least("rest", "rest_b")
+    may = F.least(p * q / (q + (1 - q) * p), p * q / (p + (1 - p) * q)) >= similarity
+    may &= ~(F.col("plain") & F.col("plain_b")) | (m >= similarity * (F.col("total") + F.col("total_b") - m))
+    pairs = prefix.join(other, "h").where((F.col("c") < F.col("c_b")) & (F.col("root") != F.col("root_b")) & may)
+    return pairs.select(F.col("c").alias("a"), F.col("c_b").alias("b")).distinct()
+
+
+def class_links(classes: DataFrame, table: DataFrame, buckets: int, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame | None]:
     """Verified links (a, b, similarity) that connect every component, and the roots of their components.
 
-    classes: (c, bands), one row a class.  texts: (c, t) of at least these classes.
+    classes: (c, block, rid, bands), one row a class; table has the row (block, rid) with its text.
     """
     slots = classes.select("c", F.posexplode("bands").alias("band", "key"))
-    full = slots.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-    members = C.materialize(slots.join(full, ["band", "key"]).select("band", "key", "c"), "buckets")
-    sets = C.materialize(shingle_sets(texts.join(members.select("c").distinct(), "c", "left_semi")), "sets", "snappy")
+    full = slots.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = slots.join(full, ["band", "key"])
+    # how many others a class meets over all bands: an unedited original meets more than its copies do
+    mass = shared.groupBy("c").agg(F.sum("n").alias("mass"))
+    members = C.materialize(shared.select("band", "key", "c").join(mass, "c").select("band", "key", "c", "mass"), "buckets")
+    wanted = classes.select("c", "block", "rid").join(members.select("c").distinct(), "c", "left_semi").select("block", "rid")
+    sets = shingle_sets(table, wanted, buckets)
     links, roots, active = None, None, members
     tried = None
     for k in range(rounds):
-        # the first round takes the least class in every band, so that bands agree; later ones take others
-        rank = F.struct((F.col("c") if k == 0 else F.xxhash64("c", F.lit(k))).alias("order"), "c")
+        # first what meets most others, which bands mostly agree on; then any, another one in each band
+        rank = F.struct((-F.col("mass") if k == 0 else F.xxhash64("c", "band", F.lit(k))).alias("order"), "c")
         centres = active.groupBy("band", "key").agg(F.min(rank)["c"].alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
         stars = active.join(centres, ["band", "key"]).where("c <> centre")
         pairs = stars.select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b")).distinct()
@@ -184,16 +238,18 @@ def class_links(classes: DataFrame, texts: DataFrame, similarity: float = SIMILA
         labelled = stars.join(of, "c", "left").withColumn("root", F.coalesce("root", "c"))
         centre_of = roots.select(F.col("node").alias("centre"), F.col("root").alias("centre_root"))
         labelled = labelled.join(centre_of, "centre", "left").withColumn("centre_root", F.coalesce("centre_root", "centre"))
-        active = C.materialize(labelled.where("root <> centre_root").select("band", "key", "c"), f"active_{k}")
+        active = C.materialize(labelled.where("root <> centre_root").select("band", "key", "c", "mass"), f"active_{k}")
         if active.isEmpty():
             break
-    # what is left: pairs of one bucket in different components
+    # what is left: pairs of one bucket in different components, as far as their shingles allow a link
     of = roots.select(F.col("node").alias("c"), "root")
     labelled = members.join(of, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    split = labelled.groupBy("band", "key").agg((F.min("root") < F.max("root")).alias("split")).where("split").drop("split")
-    labelled = C.materialize(labelled.join(split, ["band", "key"]), "split_buckets")
-    other = labelled.select("band", "key", F.col("c").alias("b"), F.col("root").alias("root_b"))
-    pairs = labelled.withColumnRenamed("c", "a").join(other, ["band", "key"]).where("a < b and root <> root_b").select("a", "b").distinct()
+    split = labelled.groupBy("band", "key").agg((F.min("root") < F.max("root")).alias("split"), F.count("*").alias("n")).where("split").drop("split")
+    labelled = C.materialize(labelled.join(split, ["band", "key"]).select("band", "key", "c", "root", "n"), "split_buckets")
+    few = labelled.where(F.col("n") <= FEW)
+    other = few.select("band", "key", F.col("c").alias("b"), F.col("root").alias("root_b"))
+    pairs = few.withColumnRenamed("c", "a").join(other, ["band", "key"]).where("a < b and root <> root_b").select("a", "b")
+    pairs = pairs.unionByName(foreign_pairs(labelled.where(F.col("n") > FEW).select("c", "root").distinct(), sets, similarity)).distinct()
     found = C.materialize(verified(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), sets), "verified_rest").where(F.col("similarity") >= similarity)
     if not found.isEmpty():
         links = links.unionByName(found)
@@ -201,27 +257,35 @@ def class_links(classes: DataFrame, texts: DataFrame, similarity: float = SIMILA
     return links, roots
 
 
-def grouped(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """row, rid, c, root (group; the class itself where it has no link), words and keep, for every document."""
+def grouped(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """The written table of sketched(), and (c, head): the first document (late, id, block, rid) of each class's group."""
     table = sketched(docs)
-    order = F.struct(F.col("row.doc_id").isNull().alias("late"), F.col("row.doc_id").alias("id"), "rid")
-    worded = table.where("words > 0")
-    classes = C.materialize(worded.groupBy("c").agg(F.min(order).alias("first"), F.first("bands").alias("bands")), "classes")
-    chosen = classes.select(F.col("first.rid").alias("rid"), F.lit(True).alias("chosen"))
-    texts = worded.select("rid", "c", "t").join(chosen, "rid", "left_semi")
-    links, roots = class_links(classes.select("c", "bands"), texts, similarity)
+    order = F.struct(F.col("row.doc_id").isNull().alias("late"), F.col("row.doc_id").alias("id"), "rid", "block")
+    worded = table.where("words > 0").select("c", "bands", order.alias("place"))
+    classes = C.materialize(worded.groupBy("c").agg(F.min("place").alias("first"), F.first("bands").alias("bands")), "classes")
+    _, roots = class_links(classes.select("c", "first.block", "first.rid", "bands"), table, C.buckets_for(docs), similarity)
     rooted = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", "first", F.coalesce("root", "c").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
-    verdicts = C.materialize(rooted.join(heads, "root").select("c", "root", "head"), "verdicts")
-    return table.join(verdicts, "c", "left").withColumn("keep", F.col("head").isNull() | (F.col("head.rid") == F.col("rid")))
+    return table, C.materialize(rooted.join(heads, "root").select("c", "head"), "verdicts")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (least id of its group of near-duplicates, its own where it has none) and keep."""
-    out = grouped(docs.select("doc_id", "text"), similarity)
-    return out.select("row.doc_id", F.coalesce("head.id", "row.doc_id").alias("class_id"), "keep")
+    table, verdicts = grouped(docs.select("doc_id", "text"), similarity)
+    rows = table.select(F.col("row.doc_id").alias("doc_id"), "rid", F.when(F.col("words") > 0, F.col("c")).alias("c"))
+    out = rows.join(verdicts, "c", "left")
+    keep = F.col("head").isNull() | (F.col("head.rid") == F.col("rid"))
+    return out.select("doc_id", F.coalesce("head.id", "doc_id").alias("class_id"), keep.alias("keep"))
 
 
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs without all but one document of each group."""
-    return grouped(docs, similarity).where("keep").select("row.*")
+    """docs without all but one document of each group; texts are filtered where they lie."""
+    table, verdicts = grouped(docs, similarity)
+    rows = table.where("words > 0").select("c", "block", "rid")
+    gone = rows.join(verdicts, "c").where(F.col("head.rid") != F.col("rid")).select(F.col("block").alias("in_block"), F.col("rid").alias("gone"))
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        return left.filter(pa.array(~np.isin(left.column("rid").to_numpy(), right.column("gone").to_numpy()))).select(["row"])
+
+    kept = table.select("block", "rid", "row").groupBy("block").cogroup(gone.groupBy("in_block")).applyInArrow(run, T.StructType([table.schema["row"]]))
+    return kept.select("row.*")
