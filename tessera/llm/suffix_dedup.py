@@ -33,12 +33,14 @@ from pyspark.sql import functions as F
 from tessera.llm import common as C
 
 LENGTH, GRAM = 50, 20
-BLOCK_TEXT, BLOCK_DOCS = 24 << 20, 60_000
+BLOCK_TEXT, BLOCK_DOCS = 2 << 20, 60_000
 #: Longer texts are ranked in pieces that overlap by LENGTH - 1 bytes.
-PIECE = 4 << 20
+PIECE = 256 << 10
 
 _U = np.uint64
 _PLACE_BITS = _U(40)
+#: Verdicts on an anchor, and on a string.
+COVERED, OPEN, HIT = 1, 2, 3
 
 
 # ---------------------------------------------------------------- blocks of text
@@ -55,7 +57,7 @@ def text_blocks(docs: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             ids, known, sizes = (np.concatenate([x[k] for x in held]) for k in range(3))
-            text = zstandard.ZstdCompressor(3).compress(b"".join(x[3] for x in held))
+            text = zstandard.ZstdCompressor(5).compress(b"".join(x[3] for x in held))
             row = [[block], [ids.tobytes()], [known.tobytes()], [sizes.tobytes()], [text]]
             return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(c, pa.binary()) for c in row[1:])], names=["block", "ids", "known", "sizes", "text"])
 
@@ -76,7 +78,9 @@ def text_blocks(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return C.materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), "text_blocks", "none")
+    # bucketed by block: both later passes over the texts read them in place, without another shuffle
+    packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return C.bucketed(packed, "text_blocks", "block", C.buckets_for(docs, 8), "none")
 
 
 class Block:
@@ -167,8 +171,8 @@ def class_least(order: np.ndarray, new: np.ndarray, ids: np.ndarray) -> np.ndarr
     return out
 
 
-def tag(gram: np.ndarray, span: np.ndarray) -> np.ndarray:
-    return C.mix(gram + span * _U(0x9E3779B97F4A7C15))
+def tag(gram: np.ndarray, span: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return C.mix(C.mix(gram + span * _U(0x9E3779B97F4A7C15)) + ids.astype(_U))
 
 
 def packed_by_part(parts: int, key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
@@ -180,8 +184,8 @@ def packed_by_part(parts: int, key: np.ndarray, *columns: np.ndarray) -> tuple[n
 def rows_of(table: pa.Table, *kinds):
     """Concatenated entries of packed rows, with the index of the row that each came from."""
     own = [C.unpack(d.as_py(), *kinds) for d in table.column("data")]
-    which = np.repeat(np.arange(len(own)), [len(x[0]) for x in own])
-    return which, [np.concatenate(c) for c in zip(*own, strict=True)]
+    which = np.repeat(np.arange(len(own), dtype=np.int32), [len(x[0]) for x in own])
+    return which, [np.concatenate([x[k] for x in own]) for k in range(len(kinds))]
 
 
 def by_block(table: pa.Table, which: np.ndarray, keep: np.ndarray, *columns: np.ndarray) -> pa.Table:
@@ -196,9 +200,9 @@ def by_block(table: pa.Table, which: np.ndarray, keep: np.ndarray, *columns: np.
 
 # ---------------------------------------------------------------- the rounds
 def dedup_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Text blocks, and packed removals (document row, start, end within the block) by block."""
+    """Text blocks, and packed verdicts (tag, state) by block."""
     blocks = text_blocks(docs)
-    parts = min(1 << 16, C.parts_for(docs, 16))
+    parts = min(1 << 16, C.parts_for(docs, 4))
 
     def rank_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,63 +232,62 @@ def dedup_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         high = np.maximum.reduceat(ids[lead], starts) if len(starts) else ids[:0]
         open_ = np.zeros(len(gram), bool)
         open_[lead] = (low < high)[number]
-        state = np.where(later, 1, np.where(open_, 2, 0)).astype(np.uint8)
-        return by_block(table, which, state > 0, gram, span, ids, state)
+        state = np.where(later, COVERED, np.where(open_, OPEN, 0)).astype(np.uint8)
+        return by_block(table, which, state > 0, tag(gram, span, ids), state)
 
     ranked = blocks.mapInArrow(rank_anchors, "part long, block long, data binary")
-    settled = ranked.groupBy("part").applyInArrow(settle_anchors, "block long, data binary")
+    settled = C.materialize(ranked.groupBy("part").applyInArrow(settle_anchors, "block long, data binary"), "settled_anchors")
 
     def rank_strings(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"part": [], "block": [], "data": []}
-        for k, r in enumerate(zip(*(left.column(c).to_pylist() for c in ("ids", "known", "sizes", "text")), strict=True)):
-            block = Block(*r)
-            row, gram, span, lo, hi = anchors(block)
-            ids = block.ids[row]
-            short = span >> _U(24) & _U(0xFFFFFFFFFF)
-            # what the block itself settles: copies of its own earlier ids
-            order = np.lexsort((ids, span, gram))
-            covered = ids > class_least(order, first_of_class(order, gram, span), ids)
-            open_ = np.zeros(len(row), bool)
-            if right.num_rows:
-                _, (g, s, d, state) = rows_of(right, _U, _U, np.int64, np.uint8)
-                mine, theirs = tag(gram, short) ^ ids.astype(_U), tag(g, s) ^ d.astype(_U)
-                covered |= np.isin(mine, theirs[state == 1])
-                open_ = np.isin(mine, theirs[state == 2]) & ~covered
-            spans = [(row[covered], lo[covered], hi[covered] + LENGTH)]
-            if open_.any():
-                n = (hi - lo + 1)[open_]
-                at = np.repeat(lo[open_] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                full = string_ranks(block, at)
-                string_row, string_gram = np.repeat(row[open_], n), np.repeat(gram[open_], n)
-                full = C.mix(full + string_gram)
-                ids = block.ids[string_row]
-                order = np.lexsort((ids, full))
-                least = class_least(order, first_of_class(order, full), ids)
-                hit = ids > least
-                spans.append((string_row[hit], at[hit], at[hit] + LENGTH))
-                send = order[~hit[order]]
-                own, blobs = packed_by_part(parts, full[send], string_gram[send].astype(np.uint32), ids[send], string_row[send].astype(np.uint16), at[send].astype(np.uint32))
-                out["part"] += own.tolist()
-                out["block"] += [left.column("block")[k].as_py()] * len(own)
-                out["data"] += blobs
-            r_, s_, e_ = merged(*(np.concatenate(x) for x in zip(*spans, strict=True)))
-            if len(r_):
-                out["part"].append(None)
-                out["block"].append(left.column("block")[k].as_py())
-                out["data"].append(C.pack(r_.astype(np.uint16), s_.astype(np.uint32), e_.astype(np.uint32)))
+        for k, block in enumerate(blocks_of(left)):
+            marks = Marks(block, right)
+            own, blobs = packed_by_part(parts, marks.full[marks.heads], marks.ids[marks.heads])
+            out["part"] += own.tolist()
+            out["block"] += [left.column("block")[k].as_py()] * len(own)
+            out["data"] += blobs
         return pa.table({"part": pa.array(out["part"], pa.int64()), "block": pa.array(out["block"], pa.int64()), "data": pa.array(out["data"], pa.binary())})
 
     strings = blocks.groupBy("block").cogroup(settled.groupBy("block")).applyInArrow(rank_strings, "part long, block long, data binary")
-    strings = C.materialize(strings, "string_ranks")
 
     def settle_strings(table: pa.Table) -> pa.Table:
-        which, (full, check, ids, row, at) = rows_of(table, _U, np.uint32, np.int64, np.uint16, np.uint32)
-        order = np.lexsort((ids, check, full))
-        hit = ids > class_least(order, first_of_class(order, full, check), ids)
-        return by_block(table, which, hit, row, at, at + np.uint32(LENGTH))
+        which, (full, ids) = rows_of(table, _U, np.int64)
+        order = np.lexsort((ids, full))
+        hit = ids > class_least(order, first_of_class(order, full), ids)
+        return by_block(table, which, hit, full, np.full(len(full), HIT, np.uint8))
 
-    hits = strings.where("part is not null").groupBy("part").applyInArrow(settle_strings, "block long, data binary")
-    return blocks, strings.where("part is null").select("block", "data").unionByName(hits)
+    hits = strings.groupBy("part").applyInArrow(settle_strings, "block long, data binary")
+    return blocks, settled.unionByName(hits)
+
+
+def blocks_of(table: pa.Table) -> Iterator[Block]:
+    for r in zip(*(table.column(c) for c in ("ids", "known", "sizes", "text")), strict=True):
+        yield Block(*(x.as_py() for x in r))
+
+
+class Marks:
+    """What a block and the verdicts on it (tag, state) say: intervals to remove, and strings that are still open."""
+
+    def __init__(self, block: Block, verdicts: pa.Table):
+        row, gram, span, lo, hi = anchors(block)
+        ids = block.ids[row]
+        order = np.lexsort((ids, span, gram))
+        covered = ids > class_least(order, first_of_class(order, gram, span), ids)  # copies of the block's own smaller ids
+        mine = tag(gram, span >> _U(24) & _U(0xFFFFFFFFFF), ids)
+        tags, state = rows_of(verdicts, _U, np.uint8)[1] if verdicts.num_rows else (np.zeros(0, _U), np.zeros(0, np.uint8))
+        covered |= np.isin(mine, tags[state == COVERED])
+        open_ = np.isin(mine, tags[state == OPEN]) & ~covered
+        n = (hi - lo + 1)[open_]
+        self.at = np.repeat(lo[open_] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        self.row = np.repeat(row[open_], n)
+        self.full = C.mix(string_ranks(block, self.at) + np.repeat(gram[open_], n))
+        self.ids = block.ids[self.row]
+        order = np.lexsort((self.ids, self.full))
+        new = first_of_class(order, self.full)
+        later = self.ids > class_least(order, new, self.ids)
+        self.heads = order[new]  # one entry a class and block: its smallest id
+        hit = later | np.isin(self.full, tags[state == HIT])
+        self.removed = (np.concatenate([row[covered], self.row[hit]]), np.concatenate([lo[covered], self.at[hit]]), np.concatenate([hi[covered], self.at[hit]]) + LENGTH)
 
 
 def string_ranks(block: Block, at: np.ndarray) -> np.ndarray:
@@ -312,25 +315,20 @@ def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray):
 
 def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes, of every row."""
-    blocks, removals = dedup_spans(docs)
+    blocks, verdicts = dedup_spans(docs)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
     def apply(key, left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
-        for r in zip(*(left.column(c).to_pylist() for c in ("ids", "known", "sizes", "text")), strict=True):
-            block = Block(*r)
+        for block in blocks_of(left):
             n = len(block.ids)
-            removed, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            keep = np.ones(len(block.buf), bool)
-            if right.num_rows:
-                _, (row, start, end) = rows_of(right, np.uint16, np.uint32, np.uint32)
-                row, start, end = merged(row.astype(np.int64), start.astype(np.int64), end.astype(np.int64))
-                removed = np.bincount(row, end - start, minlength=n).astype(np.int64)
-                count = np.bincount(row, minlength=n)
-                edge = np.zeros(len(block.buf) + 1, np.int8)
-                edge[start] += 1
-                np.add.at(edge, end, -1)
-                keep = np.cumsum(edge[:-1], dtype=np.int8) == 0
+            row, start, end = merged(*Marks(block, right).removed)
+            removed = np.bincount(row, end - start, minlength=n).astype(np.int64)
+            count = np.bincount(row, minlength=n)
+            edge = np.zeros(len(block.buf) + 1, np.int8)
+            np.add.at(edge, start, 1)
+            np.add.at(edge, end, -1)
+            keep = np.cumsum(edge[:-1], dtype=np.int8) == 0
             kept = [block.buf[a:b][keep[a:b]].tobytes() if c else block.buf[a:b].tobytes() for a, b, c in zip(block.off[:-1], block.off[1:], count, strict=True)]
             cols = {"doc_id": pa.array(block.ids, mask=~block.known), "n_bytes": np.diff(block.off), "n_removed": removed, "n_spans": count, "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]}
             if with_text:
@@ -338,4 +336,4 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
             parts.append(pa.table(cols))
         return pa.concat_tables(parts)
 
-    return blocks.groupBy("block").cogroup(removals.groupBy("block")).applyInArrow(apply, schema)
+    return blocks.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(apply, schema)
