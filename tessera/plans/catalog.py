@@ -128,8 +128,8 @@ def per_document_cap(spark, sf_dir):
 
 @registered(
     with_(*LEXICAL, C.sql_lexical(50), C.sql_vector(50), C.SQL_FUSED)
-    + """SELECT query_id, lexical_rank, vector_rank, fused_rank, CASE WHEN fused_rank <= 5 THEN 'returned' WHEN fused_rank IS NOT NULL THEN 'cut' ELSE 'lost' END AS outcome
-FROM (SELECT doc_id AS query_id FROM documents WHERE doc_id % 20 = 0) q LEFT JOIN fused f USING (query_id) WHERE f.chunk_id = q.query_id OR NOT EXISTS (SELECT 1 FROM fused g WHERE g.query_id = q.query_id AND g.chunk_id = q.query_id) AND f.chunk_id IS NULL"""
+    + """SELECT q.query_id, lexical_rank, vector_rank, fused_rank, CASE WHEN fused_rank <= 5 THEN 'returned' WHEN fused_rank IS NOT NULL THEN 'cut' ELSE 'lost' END AS outcome
+FROM (SELECT doc_id AS query_id FROM documents WHERE doc_id % 20 = 0) q LEFT JOIN fused f ON f.query_id = q.query_id AND f.chunk_id = q.query_id"""
 )
 def rank_probe(spark, sf_dir):
     """At which stage a query's own document is lost: per leg, after fusion, after the limit."""
