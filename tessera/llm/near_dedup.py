@@ -23,7 +23,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +36,8 @@ ROUNDS = 3
 #: A bucket that still holds several components is compared pair by pair up to this size; larger ones go through the
 #: prefix filter, which is as exact and does not grow with the square.
 FEW = 24
+#: Slots in which shingles are counted to put rare ones first.
+SLOTS = 1 << 18
 
 _U = np.uint64
 
@@ -172,37 +173,60 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return with_b.mapInArrow(run, "a long, b long, similarity double")
 
 
+def slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of the sets fall into each of SLOTS slots of their hash: a table of fixed size."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                h = np.concatenate([unset(x.as_py())[0] for x in batch.column(0).slice(lo, 256)])
+                n += np.bincount((h & _U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        parts = n.reshape(64, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array([x.tobytes() for x in parts], pa.binary())], names=["k", "data"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("data"))
+        return pa.table({"k": table.column("k").slice(0, 1), "data": pa.array([total.tobytes()], pa.binary())})
+
+    rows = sets.select("set").mapInArrow(tally, "k long, data binary").groupBy("k").applyInArrow(add, "k long, data binary").collect()  # 64 rows
+    found = {r["k"]: np.frombuffer(bytes(r["data"]), np.int64) for r in rows}
+    return np.concatenate([found[k] for k in range(64)]) if found else np.zeros(SLOTS, np.int64)
+
+
 def foreign_pairs(classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of classes (c, root) with different roots that can be similar, by prefix and position filters.
 
     Shingles are put in one order, rare ones first.  Linked sets share a shingle, and from their first shared one on each
-    must still hold enough weight that the other component can share; a copy whose own edits already cost too much
-    fails this with everyone.  No pair that is similar enough is left out.
+    must still hold enough weight; a copy whose own edits already cost too much fails this with everyone.  The filters
+    hold in any order that all sets follow, so counting by slots costs no pair: none that is similar enough is left out.
     """
+    own = C.materialize(classes.join(sets, "c").select("c", "root", "set"), "split_sets", "snappy")
+    common = slot_counts(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                own = [unset(x.as_py()) for x in part.column(2)]
-                n = np.array([len(h) for h, _ in own], np.int64)
-                total = np.array([int(w.sum()) for _, w in own], np.int64)
-                plain = np.array([bool((w == 1).all()) for _, w in own])
-                cols = [np.repeat(part.column(0).to_numpy(), n), np.repeat(part.column(1).to_numpy(), n), np.concatenate([h for h, _ in own]).view(np.int64), np.concatenate([w for _, w in own]).astype(np.int64), np.repeat(total, n), np.repeat(plain, n)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["c", "root", "h", "w", "total", "plain"])
-
-    schema = "c long, root long, h long, w long, total long, plain boolean"
-    each = C.materialize(classes.join(sets, "c").select("c", "root", "set").mapInArrow(run, schema), "split_shingles")
-    foreign = each.groupBy("h").agg((F.min("root") < F.max("root")).alias("foreign"), F.count("*").alias("n")).where("foreign").drop("foreign")
-    onward = W.partitionBy("c").orderBy(F.desc("n"), F.desc("h"))  # from the last shingle back: what is still to come
-    prefix = each.join(foreign, "h").withColumn("rest", F.sum("w").over(onward.rowsBetween(W.unboundedPreceding, 0)))
-    prefix = C.materialize(prefix.where(F.col("rest") >= similarity * F.col("total")).select("h", "c", "root", "rest", "total", "plain"), "prefixes")
-    other = prefix.select("h", *[F.col(x).alias(f"{x}_b") for x in ("c", "root", "rest", "total", "plain")])
-    # with shares p and q of the weights left to share, the similarity is at most pq / (q + (1 - q) p), and the same turned round
+            for c, root, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                h, w = unset(blob)
+                order = np.lexsort((h, common[(h & _U(SLOTS - 1)).astype(np.int64)]))
+                h, w = h[order].view(np.int64), w[order].astype(np.int64)
+                total = int(w.sum())
+                rest = total - np.cumsum(w) + w
+                n = int((rest >= similarity * total).sum())
+                same = lambda x, kind: pa.array([x] * n, kind)  # noqa: B023, E731
+                prev = pa.array(np.concatenate([h[:1], h[: n - 1]])[:n], mask=np.arange(n) == 0)
+                cols = [pa.array(h[:n]), same(c, pa.int64()), same(root, pa.int64()), pa.array(rest[:n]), same(total, pa.int64()), same(bool((w == 1).all()), pa.bool_()), prev]
+                yield pa.RecordBatch.from_arrays(cols, names=["h", "c", "root", "rest", "total", "plain", "prev"])
+
+    prefix = C.materialize(own.mapInArrow(run, "h long, c long, root long, rest long, total long, plain boolean, prev long"), "prefixes")
+    other = prefix.select("h", *[F.col(x).alias(f"{x}_b") for x in ("c", "root", "rest", "total", "plain", "prev")])
+    # with shares p and q of the weights still to come, the similarity is at most pq / (q + (1 - q) p), and the same turned round
     p, q, m = F.col("rest") / F.col("total"), F.col("rest_b") / F.col("total_b"), F.least("rest", "rest_b")
     may = F.least(p * q / (q + (1 - q) * p), p * q / (p + (1 - p) * q)) >= similarity
     may &= ~(F.col("plain") & F.col("plain_b")) | (m >= similarity * (F.col("total") + F.col("total_b") - m))
-    pairs = prefix.join(other, "h").where((F.col("c") < F.col("c_b")) & (F.col("root") != F.col("root_b")) & may)
+    # of a run of shared shingles only the first makes a row: it has the most weight still to come
+    fresh = F.coalesce(F.col("prev") != F.col("prev_b"), F.lit(True))
+    pairs = prefix.join(other, "h").where((F.col("c") < F.col("c_b")) & (F.col("root") != F.col("root_b")) & may & fresh)
     return pairs.select(F.col("c").alias("a"), F.col("c_b").alias("b")).distinct()
 
 
