@@ -57,6 +57,13 @@ def buckets_for(df: DataFrame, mb: int = 24) -> int:
     return int(min(1 << 14, max(8, input_bytes(df) // (mb << 20))))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many texts: what a task holds in flight stays a few MB, and long texts do not multiply."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of df (of a plain scan: its files); where it knows none, 32 MB a shuffle partition."""
     known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -47,6 +47,7 @@ COVERED, OPEN, HIT = 1, 2, 3
 def text_blocks(docs: DataFrame) -> DataFrame:
     """(block, ids, known, sizes, text): documents in compressed blocks; written once, so blocks stay what they are."""
     schema = "block long, ids binary, known binary, sizes binary, text binary"
+    C.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -65,7 +66,7 @@ def text_blocks(docs: DataFrame) -> DataFrame:
             ids = batch.column(0)
             known = np.array(ids.is_valid())
             ids = ids.fill_null(0).to_numpy()
-            for lo, hi, buf, off in C.blocks(batch.column(1)):
+            for lo, hi, buf, off in C.blocks(batch.column(1), BLOCK_TEXT):
                 for i in range(lo, hi, BLOCK_DOCS):
                     j = min(hi, i + BLOCK_DOCS)
                     own = off[i - lo : j - lo + 1]
