@@ -213,7 +213,9 @@ def foreign_pairs(classes: DataFrame, sets: DataFrame, similarity: float) -> Dat
                 h, w = h[order].view(np.int64), w[order].astype(np.int64)
                 total = int(w.sum())
                 rest = total - np.cumsum(w) + w
-                n = int((rest >= similarity * total).sum())
+                met = (rest >= similarity * total) & (common[(h.view(_U) & _U(SLOTS - 1)).astype(np.int64)] > 1)  # alone in its slot: no one shares it
+                h, rest = h[met], rest[met]
+                n = len(h)
                 same = lambda x, kind: pa.array([x] * n, kind)  # noqa: B023, E731
                 prev = pa.array(np.concatenate([h[:1], h[: n - 1]])[:n], mask=np.arange(n) == 0)
                 cols = [pa.array(h[:n]), same(c, pa.int64()), same(root, pa.int64()), pa.array(rest[:n]), same(total, pa.int64()), same(bool((w == 1).all()), pa.bool_()), prev]
