@@ -1,8 +1,9 @@
 """Language-model scoring: a log-bilinear model trained with noise-contrastive estimation, beside an add-one unigram.
 
-Tokens are words with A-Z in lower case and one end a text.  Counts cover every training text.  The ``SHORTLIST`` most
-frequent tokens are outputs of the model; all others share ``BUCKETS`` outputs by surface form, within which a word has
-its add-one share (and each bucket one share for words never seen).  The four tokens before, weighted by position,
+Tokens are words with A-Z in lower case and one end a text.  Counts cover every training text.  All tokens counted
+``MIN_COUNT`` times, and the ``SHORTLIST`` most frequent in any case, are contexts and outputs of the model, so it grows
+with the input; rarer ones share ``BUCKETS`` outputs by surface form, within which a word has its add-one share (and
+each bucket one share for words never seen).  The four tokens before, weighted by position,
 predict a vector; a token's output is scored in two steps - its class, then itself within the class - each normalised
 by a matrix product over all alternatives, so the probabilities of all tokens sum to one.
 
@@ -27,11 +28,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common as C
 
-SHORTLIST, BUCKETS, CONTEXT, WIDTH = 1984, 64, 4, 16
+SHORTLIST, MIN_COUNT, BUCKETS, CONTEXT, WIDTH = 1984, 50, 64, 4, 16
 NOISE, CLASS_NOISE, BATCH, RATE = 3, 24, 4096, 0.15
 FOLDS, HELD_OUT = 7, 2
 #: Text bytes and documents that one packed block covers.
 BLOCK_TEXT, BLOCK_DOCS = 24 << 20, 20_000
+#: Scores of outputs held at once while probabilities are normalised.
+SCORES = 1 << 21
 
 _U = np.uint64
 END_HASH = _U(0x1D8E4E27C47D124F)
@@ -67,9 +70,15 @@ def summed(h: np.ndarray, n: np.ndarray, extra: np.ndarray):
     return h[at], np.add.reduceat(n, at) if len(at) else n, extra[at]
 
 
+def own_outputs(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places of the tokens with outputs of their own, by falling count: the first SHORTLIST and all of MIN_COUNT."""
+    order = np.lexsort((h, -n))
+    return order[: max(SHORTLIST, int((n >= MIN_COUNT).sum()))]
+
+
 # ---------------------------------------------------------------- counts
 def word_counts(docs: DataFrame, parts: int) -> DataFrame:
-    """One row a part: its tokens, its distinct words, (c + 1) summed by bucket, and its most frequent words."""
+    """One row a part: its tokens, its distinct words, (c + 1) summed by bucket, and its words that may have outputs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -101,7 +110,7 @@ def word_counts(docs: DataFrame, parts: int) -> DataFrame:
         h, n, b = (np.concatenate(x) for x in zip(*(C.unpack(d.as_py(), _U, np.uint32, np.uint8) for d in table.column("data")), strict=True))
         h, n, b = summed(h, n.astype(np.int64), b)
         h, n, b = h[n > 0], n[n > 0], b[n > 0]
-        top = np.lexsort((h, -n))[:SHORTLIST]
+        top = own_outputs(h, n)
         inner = h != END_HASH
         sums = np.bincount(b[inner], n[inner] + 1.0, minlength=BUCKETS)
         return pa.table({"n": [int(n.sum())], "v": [len(h)], "sums": [sums.tolist()], "top": [C.pack(h[top], n[top], b[top])]}, schema=pa.schema([("n", pa.int64()), ("v", pa.int64()), ("sums", pa.list_(pa.float64())), ("top", pa.binary())]))
@@ -115,13 +124,18 @@ class Vocabulary:
 
     def __init__(self, rows: Iterator):
         self.n, self.v, sums = 0, 0, np.zeros(BUCKETS)
-        h, c, b = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.uint8)
-        for r in rows:  # of each part only its own shortlist; no more than one part's and the best so far are held
+        often, few = [], (np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.uint8))
+        for r in rows:  # of the words below MIN_COUNT no more than one part's and the best so far are held
             self.n, self.v, sums = self.n + r["n"], self.v + r["v"], sums + np.array(r["sums"])
             own = C.unpack(bytes(r["top"]), _U, np.int64, np.uint8)
-            h, c, b = (np.concatenate(x) for x in zip((h, c, b), own, strict=True))
-            order = np.lexsort((h, -c))[:SHORTLIST]
-            h, c, b = h[order], c[order], b[order]
+            enough = own[1] >= MIN_COUNT
+            often.append([x[enough] for x in own])
+            few = [np.concatenate([x, y[~enough]]) for x, y in zip(few, own, strict=True)]
+            best = own_outputs(few[0], few[1])
+            few = [x[best] for x in few]
+        h, c, b = (np.concatenate(x) for x in zip(*often, few, strict=True))
+        order = own_outputs(h, c)
+        h, c, b = h[order], c[order], b[order]
         inner = h != END_HASH
         self.bucket_sums = np.maximum(sums - np.bincount(b[inner], c[inner] + 1.0, minlength=BUCKETS), 0) + 1
         if len(h) and inner.all():  # the end always has an output of its own
@@ -166,15 +180,16 @@ class LogBilinear:
         m = len(unigram)
         self.m = m
         self.per = int(np.ceil(np.sqrt(m)))
-        rank = np.empty(m, np.int64)
-        rank[np.argsort(-unigram, kind="stable")] = np.arange(m)
-        self.cls = rank // self.per
+        order = np.argsort(-unigram, kind="stable")
+        self.cls = np.empty(m, np.int64)
+        self.cls[order] = np.arange(m) // self.per
         self.classes = int(self.cls.max()) + 1
-        self.members = [np.flatnonzero(self.cls == k) for k in range(self.classes)]
+        self.members = [np.sort(order[lo : lo + self.per]) for lo in range(0, m, self.per)]
         mass = np.bincount(self.cls, unigram, minlength=self.classes)
         self.noise_class = mass / mass.sum()
         self.noise_word = unigram / mass[self.cls]
         rng = np.random.default_rng(7)
+        self.seen: dict[str, np.ndarray] = {}
         self.p = {
             "Q": rng.normal(0, 0.1, (m + 1, WIDTH)).astype(np.float32),
             "P": np.full((CONTEXT, WIDTH), 0.5, np.float32),
@@ -201,26 +216,39 @@ class LogBilinear:
         return q
 
     def trainer(self):
-        """step(context, target): one noise-contrastive step with steps scaled by past gradients."""
+        """step(context, target): one noise-contrastive step, each row's step scaled by its past gradients.
+
+        Only rows that a step touches cost it anything, so its time does not grow with the vocabulary.
+        """
         rng = np.random.default_rng(11)
-        seen = {k: np.full(v.shape, 1e-8, np.float32) for k, v in self.p.items()}
+        if not self.seen:
+            self.seen = {k: np.full(len(v), 1e-8, np.float32) for k, v in self.p.items()}
+        seen = self.seen
+        hit = {k: np.zeros(len(self.p[k]), bool) for k in "QRS"}
+        slot = {k: np.zeros(len(self.p[k]), np.int32) for k in "QRS"}
         # noise by table lookup: equal shares of the cumulated distribution
         grid = (np.arange(1 << 12) + 0.5) / (1 << 12)
         class_table = np.searchsorted(np.cumsum(self.noise_class), grid).clip(0, self.classes - 1)
-        word_table = np.stack([w[np.searchsorted(np.cumsum(self.noise_word[w]), grid).clip(0, len(w) - 1)] for w in self.members])
+        word_table = np.stack([w[np.searchsorted(np.cumsum(self.noise_word[w]), grid).clip(0, len(w) - 1)].astype(np.int32) for w in self.members])
         log_c = np.log(CLASS_NOISE * self.noise_class).astype(np.float32)
         log_w = np.log(NOISE * self.noise_word).astype(np.float32)
 
-        def dense(k: str, g: np.ndarray) -> None:
-            seen[k] += g * g
-            self.p[k] -= RATE * g / np.sqrt(seen[k])
-
-        def rows(k: str, at: np.ndarray, g: np.ndarray) -> None:
-            total = np.zeros(self.p[k].size, np.float32)
-            flat = at if g.ndim == 1 else (at[:, None] * WIDTH + np.arange(WIDTH)).reshape(-1)
-            np.add.at(total, flat, g.reshape(-1))  # one-dimensional: the fast path
-            total = total.reshape(self.p[k].shape)
-            dense(k, total)
+        def move(k: str, at, g: np.ndarray) -> None:
+            seen[k][at] += g * g if g.ndim == 1 else np.einsum("rd,rd->r", g, g) / WIDTH
+            scale = RATE / np.sqrt(seen[k][at])
+            self.p[k][at] -= g * (scale if g.ndim == 1 else scale[:, None])
+
+        def rows(k: str, bias: str | None, at: np.ndarray, g: np.ndarray, gb: np.ndarray | None = None) -> None:
+            hit[k][at] = True
+            own = np.flatnonzero(hit[k])
+            hit[k][own] = False
+            slot[k][own] = np.arange(len(own))
+            place = slot[k][at].astype(np.int64)
+            total = np.zeros(len(own) * WIDTH, np.float32)
+            np.add.at(total, (place[:, None] * WIDTH + np.arange(WIDTH)).reshape(-1), g.reshape(-1))  # one-dimensional: the fast path
+            move(k, own, total.reshape(-1, WIDTH))
+            if bias:
+                move(bias, own, np.bincount(place, gb, minlength=len(own)).astype(np.float32))
 
         def contrast(q, right, wrong, out, bias, log_noise, share):
             """Gradients at the true output and at NOISE noise outputs (rows of wrong)."""
@@ -253,30 +281,33 @@ class LogBilinear:
             back = back1 + back2
             position = np.stack([np.einsum("bd,bd->d", back, np.take(self.p["Q"], context[:, j], axis=0)) for j in range(CONTEXT)])
             inputs = np.concatenate([back * self.p["P"][j] for j in range(CONTEXT)])
-            rows("Q", context.T.reshape(-1), inputs)
-            dense("P", position)
-            for k, at, g in (("S", at1, g1), ("s", at1, gb1), ("R", at2, g2), ("r", at2, gb2)):
-                rows(k, at, g)
+            rows("Q", None, context.T.reshape(-1), inputs)
+            move("P", slice(None), position)
+            rows("S", "s", at1, g1, gb1)
+            rows("R", "r", at2, g2, gb2)
 
         return step
 
     def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Normalised natural log-probability of every target."""
         out = np.empty(len(target), np.float64)
-        for lo in range(0, len(target), 1 << 16):
-            t = target[lo : lo + (1 << 16)]
-            q = self.predict(context[lo : lo + (1 << 16)])
-            z = q @ self.p["S"].T + self.p["s"]
-            cls = self.cls[t]
-            got = z[np.arange(len(t)), cls] - log_sum(z)
-            order = np.argsort(cls, kind="stable")
-            cut = np.searchsorted(cls[order], np.arange(self.classes + 1))
-            for k, words in enumerate(self.members):
-                rows = order[cut[k] : cut[k + 1]]
-                if len(rows):
-                    z = q[rows] @ self.p["R"][words].T + self.p["r"][words]
-                    got[rows] += z[np.arange(len(rows)), np.searchsorted(words, t[rows])] - log_sum(z)
-            out[lo : lo + len(t)] = got
+        cls = self.cls[target]
+        q = self.predict(context)
+        step = max(256, SCORES // self.per)  # scores held at once
+        for lo in range(0, len(target), step):
+            z = q[lo : lo + step] @ self.p["S"].T + self.p["s"]
+            own = z[np.arange(len(z)), cls[lo : lo + step]].astype(np.float64)
+            out[lo : lo + step] = own - log_sum(z)
+        order = np.argsort(cls, kind="stable")
+        cut = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        for k in np.flatnonzero(cut[1:] > cut[:-1]):
+            words = self.members[k]
+            R, r = self.p["R"][words].T, self.p["r"][words]
+            for lo in range(cut[k], cut[k + 1], step):
+                at = order[lo : min(lo + step, cut[k + 1])]
+                z = q[at] @ R + r
+                own = z[np.arange(len(at)), np.searchsorted(words, target[at])].astype(np.float64)
+                out[at] += own - log_sum(z)
         return out
 
 
@@ -285,8 +316,10 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def log_sum(z: np.ndarray) -> np.ndarray:
+    """Log of the summed exponentials of every row; z is overwritten."""
     top = z.max(1)
-    return top + np.log(np.exp(z - top[:, None]).sum(1))
+    z -= top[:, None]
+    return top + np.log(np.exp(z, out=z).sum(1))
 
 
 def trained(docs: DataFrame, vocabulary: Vocabulary, batch: int = BATCH) -> np.ndarray:

@@ -335,6 +335,17 @@ def test_op8_counts_and_gain(spark):
     assert sum(out[d].score for d in docs if held[d]) > sum(out[d].base_score for d in docs if held[d])
 
 
+def test_op8_vocabulary_grows_with_the_input(spark):
+    words = [f"w{i}" for i in range(2 * lm.SHORTLIST)]
+    docs = [(i, " ".join(words[k::4])) for i in range(400) for k in [i % 4] if lm.training([i])[0]]
+    docs += [(i, t) for i, t in enumerate([t for _, t in docs[:240]], 1000) if lm.training([i])[0]]
+    c = Counter(w for _, t in docs for w in t.split())
+    vocabulary = lm.Vocabulary(lm.word_counts(frame(spark, docs), 8).toLocalIterator())
+    assert min(c.values()) >= 50 and vocabulary.size == len(words) + 1 and vocabulary.n == sum(c.values()) + len(docs)
+    h, bucket, _ = lm.tokens(*C.text_block(pa.array([" ".join(words)])))
+    assert len(set(vocabulary.ids(h, bucket).tolist())) == len(words) and vocabulary.ids(h, bucket).max() < vocabulary.size
+
+
 def test_op8_probabilities_sum_to_one():
     rng = np.random.default_rng(3)
     model = lm.LogBilinear(rng.random(130) / 65)
