@@ -7,8 +7,10 @@ each bucket one share for words never seen).  The four tokens before, weighted b
 predict a vector; a token's output is scored in two steps - its class, then itself within the class - each normalised
 by a matrix product over all alternatives, so the probabilities of all tokens sum to one.
 
-Every partition of the training texts trains a copy from the same start over all its tokens, and the copies are
-averaged by tokens.  Counts of rare words never meet the driver: (word, document) entries travel in packed blocks, dealt
+Training texts are dealt by hash into parts of a fixed number of tokens, and the parts into rounds: about as many rounds
+as a round has parts, so both grow with the input.  The parts of a round train copies over all their tokens from one
+start, the mean of the round before, in which a row's copies count by how much they were trained.  Neither the files the
+texts lie in nor Arrow's batches have a say.  Counts of rare words never meet the driver: (word, document) entries travel in packed blocks, dealt
 by ranges of the word's hash, and come back as one number a document.
 
 Null and empty texts are a single end.  Rows with a null id are scored, not learnt from, and not held out.  Equal rows
@@ -33,6 +35,10 @@ NOISE, CLASS_NOISE, BATCH, RATE = 3, 24, 4096, 0.15
 FOLDS, HELD_OUT = 7, 2
 #: Text bytes and documents that one packed block covers.
 BLOCK_TEXT, BLOCK_DOCS = 24 << 20, 20_000
+#: Training tokens of a part, at least; and for each output of the model, so that the copies stay small beside the texts.
+PART_TOKENS, PART_SHARE = 1 << 20, 64
+#: Rows of a parameter that travel together when copies are averaged.
+SLICE = 1 << 15
 #: Scores of outputs held at once while probabilities are normalised.
 SCORES = 1 << 21
 
@@ -199,14 +205,13 @@ class LogBilinear:
             "s": np.log(self.noise_class).astype(np.float32),
         }
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([v.reshape(-1) for v in self.p.values()])
+    def state(self) -> tuple[dict, dict]:
+        return self.p, self.seen
 
-    def load(self, flat: np.ndarray) -> LogBilinear:
-        at = 0
-        for k, v in self.p.items():
-            self.p[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
-            at += v.size
+    def load(self, state: tuple[dict, dict] | None) -> LogBilinear:
+        """A copy of a state; None leaves the start as it is."""
+        if state:
+            self.p, self.seen = ({k: v.copy() for k, v in x.items()} for x in state)
         return self
 
     def predict(self, context: np.ndarray) -> np.ndarray:
@@ -322,51 +327,110 @@ def log_sum(z: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(z, out=z).sum(1))
 
 
-def trained(docs: DataFrame, vocabulary: Vocabulary, batch: int = BATCH) -> np.ndarray:
-    """Parameters averaged over the partitions' copies, weighted by tokens."""
-    schema = "g long, tokens double, data binary"
+def training_parts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[str, int]:
+    """Folder of the training texts, a folder a round and there part after part, each in an order of its own; rounds."""
+    parts = max(1, -(-vocabulary.n // max(PART_TOKENS, PART_SHARE * vocabulary.size)))
+    rounds = int(np.ceil(np.sqrt(parts)))
+    h = F.xxhash64("doc_id", "text")
+    own = docs.where(F.col("doc_id").isNotNull() & (C.crc_bucket(F.col("doc_id"), FOLDS) != HELD_OUT))
+    own = own.select("doc_id", "text", h.alias("h"), F.pmod(h, F.lit(parts)).alias("part")).withColumn("round", F.col("part") % rounds)
+    path = C.scratch(docs.sparkSession, "lm_parts")
+    own = own.repartition(parts, "part").sortWithinPartitions("round", "part", "h", "doc_id", "text")
+    own.select("round", "part", "text").write.partitionBy("round").option("compression", "zstd").parquet(path)
+    return path, rounds
+
+
+def trained(docs: DataFrame, vocabulary: Vocabulary, batch: int = BATCH) -> tuple[dict, dict] | None:
+    """State of the model after all rounds; None without training texts."""
+    spark = docs.sparkSession
+    if not vocabulary.n:
+        return None
+    path, rounds = training_parts(docs, vocabulary)
+    state = None
+    for k in range(rounds):
+        texts = spark.read.schema("part long, text string, round int").parquet(path).where(F.col("round") == k).select("part", "text")
+        state = averaged(texts, vocabulary, state, batch) or state
+    return state
+
+
+def averaged(texts: DataFrame, vocabulary: Vocabulary, start: tuple[dict, dict] | None, batch: int) -> tuple[dict, dict] | None:
+    """Mean of the copies that the parts of texts (part, text; part after part) train from one start."""
+    schema = "k string, lo long, part long, p binary, gained binary"
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = LogBilinear(vocabulary.unigram)
-        step, n = model.trainer(), 0
+        now, model, step, base, rest = None, None, None, None, []
+
+        def feed(last: bool) -> None:
+            """Steps of exactly ``batch`` tokens, whatever came together; the rest of a part is its last step."""
+            context, target = (np.concatenate(x) for x in zip(*rest, strict=True))
+            end = len(target) if last else len(target) // batch * batch
+            for lo in range(0, end, batch):
+                step(context[lo : min(lo + batch, end)], target[lo : min(lo + batch, end)])
+            rest[:] = [] if last else [(context[end:], target[end:])]
+
+        def copies() -> Iterator[pa.RecordBatch]:
+            if rest:
+                feed(True)
+            for k, v in model.p.items():
+                for lo in range(0, len(v), SLICE):
+                    own = slice(lo, lo + SLICE)
+                    row = [[k], [lo], [now], [v[own].tobytes()], [(model.seen[k][own] - base[k][own]).tobytes()]]
+                    kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], names=["k", "lo", "part", "p", "gained"])
+
         for records in batches:
-            learn = training(records.column(0).to_pylist())
-            for i, j, buf, off in C.blocks(records.column(1)):
-                target, context, row = vocabulary.stream(*tokens(buf, off), j - i)
-                own = np.flatnonzero(learn[i:j][row])
-                for lo in range(0, len(own), batch):
-                    at = own[lo : lo + batch]
-                    step(context[at], target[at])
-                n += len(own)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([float(n)]), pa.array([(model.flat().astype(np.float64) * n).tobytes()], pa.binary())], names=["g", "tokens", "data"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = None
-        for d in table.column("data"):
-            x = np.frombuffer(d.as_py())
-            total = x.copy() if total is None else total + x
-        return pa.table({"g": [0], "tokens": [sum(table.column("tokens").to_pylist())], "data": [total.tobytes()]}, schema=pa.schema([("g", pa.int64()), ("tokens", pa.float64()), ("data", pa.binary())]))
-
-    copies = docs.mapInArrow(train, schema)
-    # sums of at most a few dozen copies at a time, twice, before the driver adds what is left one by one
-    copies = C.materialize(copies.withColumn("g", F.spark_partition_id().cast("long")), "copies")
-    for width in (32, 1024):
-        copies = copies.withColumn("g", F.floor(F.col("g") / width)).groupBy("g").applyInArrow(lambda t: add(t).set_column(0, "g", t.column("g").slice(0, 1)), schema)
-    total, n = None, 0.0
-    for r in copies.toLocalIterator():
-        x = np.frombuffer(bytes(r["data"]))
-        total, n = x.copy() if total is None else total + x, n + r["tokens"]
-    return LogBilinear(vocabulary.unigram).flat() if total is None else (total / n).astype(np.float32)
+            part = records.column(0).to_numpy()
+            cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if a == b:
+                    continue
+                if part[a] != now:
+                    if model:
+                        yield from copies()
+                    now, model = int(part[a]), LogBilinear(vocabulary.unigram).load(start)
+                    step = model.trainer()
+                    base = {k: v.copy() for k, v in model.seen.items()}
+                for i, j, buf, off in C.blocks(records.column(1).slice(a, b - a)):
+                    target, context, _ = vocabulary.stream(*tokens(buf, off), j - i)
+                    rest.append((context, target))
+                    feed(False)
+        if model:
+            yield from copies()
+
+    def mean(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")
+        k, lo = table.column("k")[0].as_py(), table.column("lo")[0].as_py()
+        total, weight, square, first = 0.0, 0.0, 0.0, None
+        for x, w in zip(table.column("p"), table.column("gained"), strict=True):
+            w = np.frombuffer(w.as_py(), np.float32).astype(np.float64)
+            x = np.frombuffer(x.as_py(), np.float32).reshape(len(w), -1)
+            first = x if first is None else first
+            total, weight, square = total + x * w[:, None], weight + w, square + w * w
+        some = weight > 0  # a row that no copy touched is still the start's
+        x = np.where(some[:, None], total / np.where(some, weight, 1)[:, None], first).astype(np.float32)
+        gained = (square / np.where(some, weight, 1)).astype(np.float32)
+        return pa.table({"k": [k], "lo": [lo], "p": pa.array([x.tobytes()], pa.binary()), "gained": pa.array([gained.tobytes()], pa.binary())}, schema=pa.schema([("k", pa.string()), ("lo", pa.int64()), ("p", pa.binary()), ("gained", pa.binary())]))
+
+    slices = texts.mapInArrow(train, schema).groupBy("k", "lo").applyInArrow(mean, "k string, lo long, p binary, gained binary")
+    model = LogBilinear(vocabulary.unigram).load(start)
+    model.trainer()
+    for r in slices.toLocalIterator():
+        gained = np.frombuffer(bytes(r["gained"]), np.float32)
+        own = slice(r["lo"], r["lo"] + len(gained))
+        model.p[r["k"]][own] = np.frombuffer(bytes(r["p"]), np.float32).reshape(model.p[r["k"]][own].shape)
+        model.seen[r["k"]][own] += gained
+    return model.state()
 
 
 # ---------------------------------------------------------------- scoring
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    C.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = min(1 << 16, C.parts_for(docs, 12))
     vocabulary = Vocabulary(word_counts(docs, parts).toLocalIterator())
-    parameters = trained(docs, vocabulary)
+    state = trained(docs, vocabulary)
+    parameters = (state[0], {}) if state else None
     total, distinct = vocabulary.n, vocabulary.v
     floor = np.log10(total + distinct + 1.0)
 

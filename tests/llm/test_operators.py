@@ -356,6 +356,21 @@ def test_op8_probabilities_sum_to_one():
     assert abs(np.exp(model.log_prob(context, np.arange(130))).sum() - 1) < 1e-4
 
 
+def test_op8_layout_has_no_say(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = frame(spark, [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(200))) for i in range(140)])
+    monkeypatch.setattr(lm, "PART_TOKENS", 5_000)
+    monkeypatch.setattr(lm, "PART_SHARE", 1)
+    most, scores = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(most)
+    for rows, files in ((1000, 1), (7, 5)):
+        spark.conf.set(most, rows)
+        written = C.materialize(docs.repartition(files), "layout")
+        scores.append({r.doc_id: r.score for r in lm.score_documents(written).collect()})
+    spark.conf.set(most, before)
+    assert all(math.isclose(scores[0][d], scores[1][d], rel_tol=1e-5) for d in scores[0]) and len(scores[0]) == 140
+
+
 def test_op8_nothing_to_learn(spark):
     out = lm.score_documents(frame(spark, [(None, "a b"), (None, None)])).collect()
     assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score, r.held_out) for r in out) == [(1, 0, 0, 0.0, 0.0, False), (3, 0, 0, 0.0, 0.0, False)]
