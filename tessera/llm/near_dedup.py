@@ -36,6 +36,8 @@ ROUNDS = 3
 #: A bucket that still holds several components is compared pair by pair up to this size; larger ones go through the
 #: prefix filter, which is as exact and does not grow with the square.
 FEW = 24
+#: What the filters let pass below the similarity, against rounding; verification decides.
+SLACK = 1e-9
 #: Slots in which shingles are counted to put rare ones first.
 SLOTS = 1 << 18
 
@@ -213,7 +215,7 @@ def foreign_pairs(classes: DataFrame, sets: DataFrame, similarity: float) -> Dat
                 h, w = h[order].view(np.int64), w[order].astype(np.int64)
                 total = int(w.sum())
                 rest = total - np.cumsum(w) + w
-                met = (rest >= similarity * total) & (common[(h.view(_U) & _U(SLOTS - 1)).astype(np.int64)] > 1)  # alone in its slot: no one shares it
+                met = (rest >= (similarity - SLACK) * total) & (common[(h.view(_U) & _U(SLOTS - 1)).astype(np.int64)] > 1)  # alone in its slot: no one shares it
                 h, rest = h[met], rest[met]
                 n = len(h)
                 same = lambda x, kind: pa.array([x] * n, kind)  # noqa: B023, E731
@@ -225,8 +227,8 @@ def foreign_pairs(classes: DataFrame, sets: DataFrame, similarity: float) -> Dat
     other = prefix.select("h", *[F.col(x).alias(f"{x}_b") for x in ("c", "root", "rest", "total", "plain", "prev")])
     # with shares p and q of the weights still to come, the similarity is at most pq / (q + (1 - q) p), and the same turned round
     p, q, m = F.col("rest") / F.col("total"), F.col("rest_b") / F.col("total_b"), F.least("rest", "rest_b")
-    may = F.least(p * q / (q + (1 - q) * p), p * q / (p + (1 - p) * q)) >= similarity
-    may &= ~(F.col("plain") & F.col("plain_b")) | (m >= similarity * (F.col("total") + F.col("total_b") - m))
+    may = F.least(p * q / (q + (1 - q) * p), p * q / (p + (1 - p) * q)) >= similarity - SLACK
+    may &= ~(F.col("plain") & F.col("plain_b")) | (m >= (similarity - SLACK) * (F.col("total") + F.col("total_b") - m))
     # of a run of shared shingles only the first makes a row: it has the most weight still to come
     fresh = F.coalesce(F.col("prev") != F.col("prev_b"), F.lit(True))
     pairs = prefix.join(other, "h").where((F.col("c") < F.col("c_b")) & (F.col("root") != F.col("root_b")) & may & fresh)

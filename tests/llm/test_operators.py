@@ -272,6 +272,21 @@ def test_op6_groups_are_the_brute_ones(spark, monkeypatch):
         assert all(r.keep == (r.doc_id == r.class_id) for r in out)
 
 
+def test_op6_filter_keeps_pairs_of_exactly_the_threshold(spark):
+    sets, c = [], 0
+    for x, y, shared in ((13, 14, 12), (26, 28, 24), (130, 140, 120)):
+        both = np.arange(shared) + 1_000 * c + 100_000
+        for size in (x, y):
+            h = np.concatenate([both, np.arange(size - shared) + 1_000 * c]).astype(np.uint64)
+            sets += [(c, c, bytearray(np.sort(h).tobytes() + np.ones(size, np.uint32).tobytes()))]
+            c += 1
+    df = spark.createDataFrame(sets, "c long, root long, set binary")
+    pairs = near_dedup.foreign_pairs(df.select("c", "root"), df.select("c", "set"), 0.8).collect()
+    assert {(0, 1), (2, 3), (4, 5)} <= {(r.a, r.b) for r in pairs}
+    found = near_dedup.verified(spark.createDataFrame([(0, 1), (2, 3), (4, 5)], "a long, b long"), df.select("c", "set")).collect()
+    assert [r.similarity for r in found] == [0.8] * 3
+
+
 def test_op6_probability_jaccard_and_registers():
     rng = np.random.default_rng(1)
     for _ in range(20):
