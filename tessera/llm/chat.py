@@ -7,7 +7,8 @@ of the lines gives the roles, so a turn without marker is placed by the blank li
 Null and empty transcripts have no turns and give no row.  Lines before the first marker belong to whatever role the
 model finds.  Equal transcripts give equal rows.  A transcript is one row and is decoded whole.  When transcripts are
 assembled from a table of turns, repeated rows count once, ties of a turn number are ordered by text, null numbers come
-first, and a conversation is cut into stretches of ``STRETCH`` turn numbers, each a transcript of its own.  Columns
+first, and a conversation is cut into stretches of ``STRETCH`` turn numbers, each a transcript of its own whose turns
+are numbered from the stretch's start.  Columns
 other than those named are not read.
 """
 
@@ -74,6 +75,19 @@ def observe(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def gaps(text: str) -> list[list[str]]:
+    """The blank lines before every line that is not blank."""
+    out: list[list[str]] = []
+    held: list[str] = []
+    for line in text.split("\n"):
+        if line.strip():
+            out.append(held)
+            held = []
+        else:
+            held.append(line)
+    return out
+
+
 def viterbi(seen: list[tuple[str, int, int]]) -> list[int]:
     """The likeliest state of every line."""
     back = np.zeros((len(seen), 6), np.int8)
@@ -94,10 +108,12 @@ def parse(text: str | None) -> list[tuple[str, str]]:
     if not seen:
         return []
     turns: list[tuple[str, list[str]]] = []
-    for (line, _, _), s in zip(seen, viterbi(seen), strict=True):
+    for (line, _, _), gap, s in zip(seen, gaps(text or ""), viterbi(seen), strict=True):
         role = ROLES[s // 2]
         if s % 2 == 0 or not turns or turns[-1][0] != role:
             turns.append((role, []))
+        else:
+            turns[-1][1].extend(gap)  # blank lines before a line that goes on belong to the text
         turns[-1][1].append(line)
     return [(r, "\n".join(lines).strip()) for r, lines in turns]
 
@@ -115,7 +131,7 @@ def format_transcripts(transcripts: DataFrame) -> DataFrame:
             for lo in range(0, batch.num_rows, 512):
                 rows = []
                 for r in batch.slice(lo, 512).to_pylist():
-                    rows += [(r["conv_id"], r["stretch"], k, role, text, render(role, text)) for k, (role, text) in enumerate(parse(r["transcript"]))]
+                    rows += [(r["conv_id"], r["stretch"], (r["stretch"] or 0) * STRETCH + k, role, text, render(role, text)) for k, (role, text) in enumerate(parse(r["transcript"]))]
                 if rows:
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["conv_id", "stretch", "turn", "role", "text", "rendered"])
@@ -126,7 +142,7 @@ def format_transcripts(transcripts: DataFrame) -> DataFrame:
 def raw_transcripts(turns: DataFrame) -> DataFrame:
     """Transcripts as they are found in the wild: each conversation in one of STYLES, about one turn in five without marker.
 
-    What the turn's text itself holds is kept, but blank lines inside it go: they separate turns here.
+    What the turn's text itself holds is kept, blank lines too, though they also separate turns here.
     """
     t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text")).distinct()
     style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES)))
@@ -135,8 +151,7 @@ def raw_transcripts(turns: DataFrame) -> DataFrame:
     known = F.coalesce(role, F.lit(0)) > 0
     bare = (F.pmod(F.xxhash64("conv_id", "turn", F.lit("bare")), F.lit(5)) == 0) | ~known
     marker = F.when(bare, F.lit("")).otherwise(F.concat(F.get(F.get(marks, style.cast("int")), (F.coalesce(role, F.lit(1)) - 1).cast("int")), F.lit(" ")))
-    body = F.regexp_replace("text", "\\n\\s*\\n", "\n")
-    lines = t.select("conv_id", F.floor(F.coalesce("turn", F.lit(0)) / STRETCH).alias("stretch"), F.struct("turn", F.concat(marker, body).alias("line")).alias("x"))
+    lines = t.select("conv_id", F.floor(F.coalesce("turn", F.lit(0)) / STRETCH).alias("stretch"), F.struct("turn", F.concat(marker, F.col("text")).alias("line")).alias("x"))
     grouped = lines.groupBy("conv_id", "stretch").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     return grouped.select("conv_id", "stretch", F.array_join(F.transform("xs", lambda x: x["line"]), "\n\n").alias("transcript"))
 

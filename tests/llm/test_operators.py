@@ -141,6 +141,16 @@ def test_op3_long_and_repeated_turns(spark):
     assert {r.stretch for r in out} == {0, 1, 2} and sum(r.text.startswith("line") for r in out) >= 1029
 
 
+def test_op3_blank_lines_and_numbers(spark):
+    assert chat.parse("User: a\n\n  \nb\n\nAssistant: c") == [("user", "a\n\n  \nb"), ("assistant", "c")]
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"one {i}\n\ntwo") for i in range(600)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert all("one 1\n\ntwo" in r.transcript for r in chat.raw_transcripts(turns).where("stretch = 0").collect())
+    plain = turns.withColumn("text", F.lit("x"))
+    out = chat.format_conversations(plain).collect()
+    assert len({r.turn for r in out}) == len(out) and min(r.turn for r in out if r.stretch == 1) == chat.STRETCH
+
+
 # ---------------------------------------------------------------- 4
 @settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.integers(1, 1024), st.integers(1, 300), max_size=80))
