@@ -54,7 +54,7 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int, codec: str = "zst
 
 
 def buckets_for(df: DataFrame, mb: int = 24) -> int:
-    return int(min(1 << 14, max(8, input_bytes(df) // (mb << 20))))
+    return int(min(1 << 16, max(8, input_bytes(df) // (mb << 20))))
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -72,7 +72,7 @@ def input_bytes(df: DataFrame) -> int:
 
 def parts_for(df: DataFrame, mb: float, least: int = 8) -> int:
     """How many parts keep each at about ``mb`` MB of df's stored size."""
-    return int(max(least, min(1 << 20, input_bytes(df) / (mb * 1e6))))
+    return int(max(least, input_bytes(df) / (mb * 1e6)))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
