@@ -28,8 +28,11 @@ from tessera.llm import common as C
 
 CAPACITY = 1024
 END_ID = 2
-#: Pieces from capacity / LARGE up count as large; they are rounded within GROUPS groups.
-LARGE, GROUPS = 8, 96
+#: Pieces from capacity / LARGE up count as large.  They are rounded up in groups of MEMBERS pieces (a
+#: five-hundredth of them where they are few), or in GROUPS groups of more.
+LARGE, MEMBERS, GROUPS = 8, 12, 512
+#: How far from the best the program may end, and the most pivots it may take.
+SLACK, PIVOTS = 4e-4, 2500
 #: Parts in which the pieces of one length are ranked on their own: a common length never meets in one task.
 RANK_PARTS = 512
 
@@ -94,126 +97,169 @@ def token_pieces(docs: DataFrame, vocabulary=None, capacity: int = CAPACITY, end
 
 
 # ---------------------------------------------------------------- the plan, from the histogram
-def best_pattern(sizes: list[int], worth: np.ndarray, capacity: int) -> tuple[float, list[int]]:
-    """The multiset of sizes that fits and is worth most (unbounded knapsack)."""
-    best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1)
-    size = np.array(sizes)
-    order = np.argsort(size, kind="stable")
-    size, gain = size[order], np.asarray(worth)[order]
-    fits = np.searchsorted(size, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        if k := fits[c]:
-            with_one = best[c - size[:k]] + gain[:k]
-            i = int(np.argmax(with_one))
-            if with_one[i] > best[c] + 1e-12:
-                best[c], pick[c] = with_one[i], order[i]
-    counts, c = [0] * len(sizes), capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
+def knapsack(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most that sizes (falling) are worth together in each room up to capacity, and the size put last (-1: none)."""
+    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    least = int(sizes[-1])
+    from_ = np.searchsorted(-sizes, -np.arange(capacity + 1), "left")  # the first size that fits
+    for c in range(least, capacity + 1):
+        with_one = best[c - sizes[from_[c] :]] + worth[from_[c] :]
+        i = int(with_one.argmax())
+        if with_one[i] > best[c - 1] + 1e-12:
+            best[c], pick[c] = with_one[i], from_[c] + i
         else:
-            counts[pick[c]] += 1
-            c -= sizes[pick[c]]
-    return float(best[capacity]), counts
-
-
-def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 1500) -> list[tuple[list[int], int]]:
-    """(pattern, how often), rounded down, of the cutting-stock program; solved by the revised simplex with generated columns."""
+            best[c] = best[c - 1]
+    return best, pick
+
+
+def first_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> np.ndarray:
+    """A triangular basis: each size with as many smaller ones as their demand allows, the largest first."""
+    n, rest = len(sizes), demand.astype(float)
+    basis = np.zeros((n, n))
+    for j in range(n):
+        basis[j, j] = capacity // sizes[j]
+        times, gap = max(rest[j], 0) / basis[j, j], capacity - basis[j, j] * sizes[j]
+        while times > 0:
+            fits = np.flatnonzero((sizes[j + 1 :] <= gap) & (rest[j + 1 :] >= times))
+            if not len(fits):
+                break
+            i = j + 1 + int(fits[0])
+            k = min(gap // sizes[i], rest[i] // times)
+            basis[i, j] += k
+            rest[i] -= k * times
+            gap -= k * sizes[i]
+    return basis
+
+
+def configurations(sizes: list[int], demand: list[int], capacity: int, slack: float = SLACK, pivots: int = PIVOTS) -> list[tuple[list[int], int]]:
+    """(pattern, how often) of the cutting-stock program over sizes in falling order.
+
+    Revised simplex with generated columns, until no solution can be better by more than ``slack`` or after ``pivots``
+    steps; any basis on the way holds the demand.  Fractions are rounded down, then up where a whole pattern is left.
+    """
     n = len(sizes)
     if not n:
         return []
-    basis = np.diag([float(capacity // s) for s in sizes])
-    for _ in range(rounds):
-        inverse = np.linalg.inv(basis)
-        x = inverse @ np.array(demand, float)
-        value, column = best_pattern(sizes, np.ones(n) @ inverse, capacity)
-        if value <= 1 + 1e-9:
+    size, need = np.array(sizes), np.array(demand, float)
+    basis = first_basis(size, need, capacity)
+    inverse = np.linalg.inv(basis)
+    x, done, moved = inverse @ need, 0, True
+    while moved and done < pivots:
+        worth, moved = inverse.sum(0), False
+        best, pick = knapsack(size, worth, capacity)
+        led = worth + best[capacity - size]  # the best pattern that holds each size
+        if led.max() <= 1 + slack:
             break
-        step = inverse @ np.array(column, float)
-        ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
-        basis[:, int(np.argmin(ratio))] = column
-    x = np.maximum(np.linalg.inv(basis) @ np.array(demand, float), 0)
-    return [([int(v) for v in basis[:, j]], int(x[j] + 1e-9)) for j in range(n) if x[j] >= 1]
-
-
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Kinds of sequences: (how many, [(length, pieces of it), ...]) that hold every piece of the histogram once."""
-    left = {s: n for s, n in histogram.items() if n > 0}
-    done: list[tuple[int, list[tuple[int, int]]]] = []
-    if capacity in left:
-        done.append((left.pop(capacity), [(capacity, 1)]))
-    # groups of equal cardinality over the large pieces, from the longest on
+        for i in np.argsort(-led)[:24]:
+            if led[i] <= 1 + slack / 2:
+                break
+            column, room = np.zeros(n), capacity - size[i]
+            column[i] = 1
+            while room >= size[-1]:
+                if pick[room] < 0 or best[room] == best[room - 1]:
+                    room -= 1
+                else:
+                    column[pick[room]] += 1
+                    room -= size[pick[room]]
+            if inverse.sum(0) @ column <= 1 + slack / 2:  # earlier columns of this turn may have changed the worths
+                continue
+            step = inverse @ column
+            rising = step > 1e-9
+            r = int(np.argmin(np.where(rising, x / np.where(rising, step, 1), np.inf)))
+            basis[:, r] = column
+            inverse[r] /= step[r]
+            step[r] = 0
+            x[r] = max(inverse[r] @ need, 0)
+            inverse -= np.outer(step, inverse[r])
+            done, moved = done + 1, True
+            x = np.maximum(inverse @ need, 0)
+            if done % 200 == 0:
+                inverse = np.linalg.inv(basis)
+                x = np.maximum(inverse @ need, 0)
+    x = np.maximum(np.linalg.inv(basis) @ need, 0)
+    times = np.floor(x + 1e-7).astype(np.int64)
+    left = need - basis @ times
+    for j in np.argsort(times - x):
+        if basis[:, j].any() and x[j] > 1e-7 and (left >= basis[:, j] - 1e-7).all():
+            times[j] += 1
+            left -= basis[:, j]
+    return [(basis[:, j].astype(int).tolist(), int(times[j])) for j in np.flatnonzero(times)]
+
+
+def grouped(left: dict[int, int], capacity: int) -> dict[int, list[list[int]]]:
+    """Large lengths in groups of equal cardinality: the length each group is rounded up to -> its runs [length, pieces].
+
+    Groups that are rounded up to one length are one size to the program.
+    """
     large = sorted((s for s in left if s * LARGE >= capacity), reverse=True)
     total = sum(left[s] for s in large)
-    groups: list[list[list[int]]] = []  # runs [length, pieces] of each group
-    room = 0
+    each = max(1, min(MEMBERS, total // 500), -(-total // GROUPS))
+    out: dict[int, list[list[int]]] = {}
+    room, top = 0, 0
     for s in large:
         n = left[s]
+        if n >= each:  # a frequent length is groups of its own, all rounded to itself
+            top, room = s, n
         while n:
             if room == 0:
-                groups.append([])
-                room = max(1, -(-total // GROUPS))
+                top, room = s, each
             take = min(n, room)
-            groups[-1].append([s, take])
+            runs = out.setdefault(top, [])
+            if runs and runs[-1][0] == s:
+                runs[-1][1] += take
+            else:
+                runs.append([s, take])
             n, room = n - take, room - take
-    merged: dict[int, list[list[int]]] = {}
-    for g in groups:
-        merged.setdefault(g[0][0], []).extend(g)  # groups rounded to the same length are one size
-    tops = sorted(merged, reverse=True)
-    runs = {t: sorted(merged[t], reverse=True) for t in tops}
+    return out
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Kinds of sequences: (how many, [(length, pieces of it), ...]) that hold every piece of the histogram once."""
+    return plan_and_report(histogram, capacity)[0]
+
+
+def plan_and_report(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, list[tuple[int, int]]]], dict[str, int]]:
+    """The plan, and how many pieces came by which step: full, configured, or fitted (large ones and small ones)."""
+    left = {s: n for s, n in histogram.items() if n > 0}
+    done: list[tuple[int, list[tuple[int, int]]]] = []
+    report = {"full": left.get(capacity, 0), "configured": 0, "fitted_large": 0, "fitted_small": 0}
+    if capacity in left:
+        done.append((left.pop(capacity), [(capacity, 1)]))
+    runs = grouped(left, capacity)
+    tops = sorted(runs, reverse=True)
     open_bins: dict[tuple[int, tuple[tuple[int, int], ...]], int] = {}  # (gap, content) -> how many
     for pattern, times in configurations(tops, [sum(n for _, n in runs[t]) for t in tops], capacity):
+        slots = [(t, c) for t, c in zip(tops, pattern, strict=True) if c]
         while times:
-            # actual pieces take the slots; a stretch of like bins ends where a group's run of one length does
-            m = times
-            for t, c in zip(tops, pattern, strict=True):
-                if c:
-                    m = min(m, runs[t][0][1] // c) if runs[t] else 0
-            if m == 0:
-                m, content = 1, {}
-                for t, c in zip(tops, pattern, strict=True):
-                    for _ in range(c):
-                        if runs[t]:
-                            content[runs[t][0][0]] = content.get(runs[t][0][0], 0) + 1
-                            runs[t][0][1] -= 1
-                            if not runs[t][0][1]:
-                                runs[t].pop(0)
-            else:
-                content = {}
-                for t, c in zip(tops, pattern, strict=True):
-                    if c:
-                        content[runs[t][0][0]] = content.get(runs[t][0][0], 0) + c
-                        runs[t][0][1] -= m * c
+            # actual pieces take the slots; a stretch of like sequences ends where a group's run of one length does
+            m = min(times, *(runs[t][0][1] // c if runs[t] else 0 for t, c in slots)) or 1
+            content: dict[int, int] = {}
+            for t, c in slots:
+                for _ in range(c):  # one slot after another where a run ends inside a sequence
+                    if runs[t]:
+                        content[runs[t][0][0]] = content.get(runs[t][0][0], 0) + 1
+                        runs[t][0][1] -= m
                         if not runs[t][0][1]:
                             runs[t].pop(0)
             times -= m
             if content:
+                report["configured"] += m * sum(content.values())
                 key = (capacity - sum(s * c for s, c in content.items()), tuple(sorted(content.items(), reverse=True)))
                 open_bins[key] = open_bins.get(key, 0) + m
-    left_over: dict[int, int] = {}
-    for t in tops:
+    rest = {s: n for s, n in left.items() if s * LARGE < capacity}
+    report["fitted_small"] = sum(rest.values())
+    for t in tops:  # what rounding the program down leaves
         for s, n in runs[t]:
-            left_over[s] = left_over.get(s, 0) + n
-    for s, n in left.items():
-        if s * LARGE < capacity:
-            left_over[s] = n
-    # sequences that substitution left emptier than `most` are taken apart again; the best `most` is found by trial
-    trials = [best_fit(open_bins, left_over, capacity, most) for most in (capacity, 64, 32, 16, 8, 4, 2, 1, 0)]
-    return done + min(trials, key=lambda kinds: sum(n for n, _ in kinds))
-
-
-def best_fit(open_bins: dict, left_over: dict[int, int], capacity: int, most: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Keeps the sequences with a gap of at most ``most``; all other pieces go best-fit in falling length."""
-    rest = dict(left_over)
+            rest[s] = rest.get(s, 0) + n
+            report["fitted_large"] += n
+    return done + best_fit(open_bins, rest, capacity), report
+
+
+def best_fit(open_bins: dict, rest: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """The open sequences with the rest put in best-fit, in falling length; new ones where nothing has room."""
     by_gap: dict[int, dict[tuple[tuple[int, int], ...], int]] = {}
     for (gap, content), n in open_bins.items():
-        if gap <= most:
-            by_gap.setdefault(gap, {})[content] = by_gap.get(gap, {}).get(content, 0) + n
-        else:
-            for s, c in content:
-                rest[s] = rest.get(s, 0) + n * c
+        by_gap.setdefault(gap, {})[content] = by_gap.get(gap, {}).get(content, 0) + n
     gaps = sorted(by_gap)
 
     def put(gap: int, content: tuple[tuple[int, int], ...], n: int) -> None:
