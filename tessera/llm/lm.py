@@ -4,11 +4,11 @@ Tokens are words with A-Z in lower case and one end a text.  Counts cover every
 ``MIN_COUNT`` times, and the ``SHORTLIST`` most frequent in any case, are contexts and outputs of the model, so it grows
 with the input; rarer ones share ``BUCKETS`` outputs by surface form, within which a word has its add-one share (and
 each bucket one share for words never seen).  The four tokens before, weighted by position,
-predict a vector; a token's output is scored in two steps - its class, then itself within the class - each normalised
-by a matrix product over all alternatives, so the probabilities of all tokens sum to one.
+predict a vector; a token's output is scored in three steps - its group of classes, its class, itself within the class -
+each normalised by a matrix product over all alternatives, so the probabilities of all tokens sum to one.
 
-Training texts are dealt by hash into parts of a fixed number of tokens, and the parts into rounds: about as many rounds
-as a round has parts, so both grow with the input.  The parts of a round train copies over all their tokens from one
+Training texts are dealt by hash into rounds and parts whose number and size follow the corpus alone (``schedule``).
+The parts of a round train copies over all their tokens from one
 start, the mean of the round before, in which a row's copies count by how much they were trained.  Neither the files the
 texts lie in nor Arrow's batches have a say.  Counts of rare words never meet the driver: (word, document) entries travel in packed blocks, dealt
 by ranges of the word's hash, and come back as one number a document.
@@ -31,16 +31,18 @@ from pyspark.sql import functions as F
 from tessera.llm import common as C
 
 SHORTLIST, MIN_COUNT, BUCKETS, CONTEXT, WIDTH = 1984, 50, 64, 4, 16
-NOISE, CLASS_NOISE, BATCH, RATE = 3, 24, 4096, 0.15
+NOISE, CLASS_NOISE, BATCH, RATE = 2, 24, 4096, 0.15
 FOLDS, HELD_OUT = 7, 2
 #: Text bytes and documents that one packed block covers.
 BLOCK_TEXT, BLOCK_DOCS = 24 << 20, 20_000
-#: Training tokens of a part, at least; and for each output of the model, so that the copies stay small beside the texts.
-PART_TOKENS, PART_SHARE = 1 << 20, 64
+#: Most rounds; training tokens of a part, at least, and for each output, so that the copies stay small beside the texts.
+ROUNDS, PART_TOKENS, PART_SHARE = 8, 1 << 20, 16
+#: Entries of a noise table.
+TABLE = 1 << 10
 #: Rows of a parameter that travel together when copies are averaged.
 SLICE = 1 << 15
 #: Scores of outputs held at once while probabilities are normalised.
-SCORES = 1 << 21
+SCORES = 1 << 17
 
 _U = np.uint64
 END_HASH = _U(0x1D8E4E27C47D124F)
@@ -180,30 +182,27 @@ class Vocabulary:
 
 # ---------------------------------------------------------------- the model
 class LogBilinear:
-    """Outputs in classes of like frequency; word inputs Q, position weights P, outputs R with bias, classes S with bias."""
+    """Outputs in a tree of three levels, by falling frequency: groups of classes (T, t), classes (S, s), tokens (R, r).
+
+    Each level has about the cube root of the outputs to choose from.  Word inputs are Q, position weights P.
+    """
 
     def __init__(self, unigram: np.ndarray):
         m = len(unigram)
-        self.m = m
-        self.per = int(np.ceil(np.sqrt(m)))
+        self.m, self.per = m, max(2, int(np.ceil(m ** (1 / 3))))
         order = np.argsort(-unigram, kind="stable")
-        self.cls = np.empty(m, np.int64)
-        self.cls[order] = np.arange(m) // self.per
-        self.classes = int(self.cls.max()) + 1
-        self.members = [np.sort(order[lo : lo + self.per]) for lo in range(0, m, self.per)]
-        mass = np.bincount(self.cls, unigram, minlength=self.classes)
-        self.noise_class = mass / mass.sum()
-        self.noise_word = unigram / mass[self.cls]
+        self.rank = np.empty(m, np.int64)
+        self.rank[order] = np.arange(m)
+        mass = [unigram[order] / unigram.sum()]
+        for _ in range(2):
+            mass.append(np.add.reduceat(mass[-1], np.arange(0, len(mass[-1]), self.per)))
+        self.noise = {"R": mass[0] / np.repeat(mass[1], self.per)[:m], "S": mass[1] / np.repeat(mass[2], self.per)[: len(mass[1])], "T": mass[2]}
         rng = np.random.default_rng(7)
         self.seen: dict[str, np.ndarray] = {}
-        self.p = {
-            "Q": rng.normal(0, 0.1, (m + 1, WIDTH)).astype(np.float32),
-            "P": np.full((CONTEXT, WIDTH), 0.5, np.float32),
-            "R": rng.normal(0, 0.1, (m, WIDTH)).astype(np.float32),
-            "r": np.log(self.noise_word).astype(np.float32),
-            "S": rng.normal(0, 0.1, (self.classes, WIDTH)).astype(np.float32),
-            "s": np.log(self.noise_class).astype(np.float32),
-        }
+        self.p = {"Q": rng.normal(0, 0.1, (m + 1, WIDTH)).astype(np.float32), "P": np.full((CONTEXT, WIDTH), 0.5, np.float32)}
+        for k in "RST":
+            self.p[k] = rng.normal(0, 0.1, (len(self.noise[k]), WIDTH)).astype(np.float32)
+            self.p[k.lower()] = np.log(self.noise[k]).astype(np.float32)
 
     def state(self) -> tuple[dict, dict]:
         return self.p, self.seen
@@ -229,14 +228,16 @@ class LogBilinear:
         if not self.seen:
             self.seen = {k: np.full(len(v), 1e-8, np.float32) for k, v in self.p.items()}
         seen = self.seen
-        hit = {k: np.zeros(len(self.p[k]), bool) for k in "QRS"}
-        slot = {k: np.zeros(len(self.p[k]), np.int32) for k in "QRS"}
-        # noise by table lookup: equal shares of the cumulated distribution
-        grid = (np.arange(1 << 12) + 0.5) / (1 << 12)
-        class_table = np.searchsorted(np.cumsum(self.noise_class), grid).clip(0, self.classes - 1)
-        word_table = np.stack([w[np.searchsorted(np.cumsum(self.noise_word[w]), grid).clip(0, len(w) - 1)].astype(np.int32) for w in self.members])
-        log_c = np.log(CLASS_NOISE * self.noise_class).astype(np.float32)
-        log_w = np.log(NOISE * self.noise_word).astype(np.float32)
+        hit = {k: np.zeros(len(self.p[k]), bool) for k in "QRST"}
+        slot = {k: np.zeros(len(self.p[k]), np.int32) for k in "QRST"}
+        # noise by table lookup: equal shares of the cumulated distribution, of all groups or of what lies below one parent
+        grid = (np.arange(TABLE) + 0.5) / TABLE
+        top_table = np.searchsorted(np.cumsum(self.noise["T"]), grid).clip(0, len(self.noise["T"]) - 1)
+        tables = {}
+        for k in "SR":
+            starts = range(0, len(self.noise[k]), self.per)
+            tables[k] = np.stack([(lo + np.searchsorted(np.cumsum(w), grid).clip(0, len(w) - 1)).astype(np.int32) for lo in starts for w in [self.noise[k][lo : lo + self.per]]])
+        log_noise = {k: np.log((CLASS_NOISE if k == "T" else NOISE) * self.noise[k]).astype(np.float32) for k in "RST"}
 
         def move(k: str, at, g: np.ndarray) -> None:
             seen[k][at] += g * g if g.ndim == 1 else np.einsum("rd,rd->r", g, g) / WIDTH
@@ -255,65 +256,64 @@ class LogBilinear:
             if bias:
                 move(bias, own, np.bincount(place, gb, minlength=len(own)).astype(np.float32))
 
-        def contrast(q, right, wrong, out, bias, log_noise, share):
-            """Gradients at the true output and at NOISE noise outputs (rows of wrong)."""
-            O, o = self.p[out], self.p[bias]
+        def contrast(q: np.ndarray, k: str, right: np.ndarray, share: np.float32):
+            """Gradient for q, and rows and gradients of the true output and of NOISE noise outputs below the same parent."""
+            wrong = tables[k][(right // self.per)[:, None], rng.integers(0, TABLE, (len(right), NOISE))]
             at = np.concatenate([right[:, None], wrong], 1)
-            vec = np.take(O, at, axis=0)
-            z = np.einsum("bd,bkd->bk", q, vec) + np.take(o - log_noise, at)
-            g = sigmoid(z)
+            vec = np.take(self.p[k], at, axis=0)
+            g = sigmoid(np.einsum("bd,bkd->bk", q, vec) + np.take(self.p[k.lower()] - log_noise[k], at))
             g[:, 0] -= 1
             g *= share
-            back = np.einsum("bk,bkd->bd", g, vec)
-            flat = at.reshape(-1)
-            return back, flat, (g[:, :, None] * q[:, None, :]).reshape(-1, q.shape[1]), g.reshape(-1)
+            return np.einsum("bk,bkd->bd", g, vec), at.reshape(-1), (g[:, :, None] * q[:, None, :]).reshape(-1, q.shape[1]), g.reshape(-1)
 
         def step(context: np.ndarray, target: np.ndarray) -> None:
-            b = len(target)
-            share = np.float32(1 / b)
+            share = np.float32(1 / len(target))
             q = self.predict(context)
-            cls = self.cls[target]
-            noise_c = class_table[rng.integers(0, 1 << 12, CLASS_NOISE)]  # shared by the batch: one matrix product
-            noise_w = word_table[cls[:, None], rng.integers(0, 1 << 12, (b, NOISE))]
-            own = np.take(self.p["S"], cls, axis=0)
-            true = sigmoid(np.einsum("bd,bd->b", q, own) + self.p["s"][cls] - log_c[cls]) - 1
-            false = sigmoid(q @ self.p["S"][noise_c].T + self.p["s"][noise_c] - log_c[noise_c])
-            true, false = true * share, false * share
-            back1 = true[:, None] * own + false @ self.p["S"][noise_c]
-            at1 = np.concatenate([cls, noise_c])
-            g1, gb1 = np.concatenate([true[:, None] * q, false.T @ q]), np.concatenate([true, false.sum(0)])
-            back2, at2, g2, gb2 = contrast(q, target, noise_w, "R", "r", log_w, share)
-            back = back1 + back2
+            word = self.rank[target]
+            cls = word // self.per
+            top = cls // self.per
+            noise = top_table[rng.integers(0, TABLE, CLASS_NOISE)]  # shared by the batch: one matrix product
+            T, t = self.p["T"], self.p["t"] - log_noise["T"]
+            own = np.take(T, top, axis=0)
+            true = (sigmoid(np.einsum("bd,bd->b", q, own) + t[top]) - 1) * share
+            false = sigmoid(q @ T[noise].T + t[noise]) * share
+            back = true[:, None] * own + false @ T[noise]
+            moves = [("T", np.concatenate([top, noise]), np.concatenate([true[:, None] * q, false.T @ q]), np.concatenate([true, false.sum(0)]))]
+            for k, right in (("S", cls), ("R", word)):
+                more, *rest = contrast(q, k, right, share)
+                back += more
+                moves.append((k, *rest))
             position = np.stack([np.einsum("bd,bd->d", back, np.take(self.p["Q"], context[:, j], axis=0)) for j in range(CONTEXT)])
-            inputs = np.concatenate([back * self.p["P"][j] for j in range(CONTEXT)])
-            rows("Q", None, context.T.reshape(-1), inputs)
+            rows("Q", None, context.T.reshape(-1), np.concatenate([back * self.p["P"][j] for j in range(CONTEXT)]))
             move("P", slice(None), position)
-            rows("S", "s", at1, g1, gb1)
-            rows("R", "r", at2, g2, gb2)
+            for k, at, g, gb in moves:
+                rows(k, k.lower(), at, g, gb)
 
         return step
 
     def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Normalised natural log-probability of every target."""
-        out = np.empty(len(target), np.float64)
-        cls = self.cls[target]
-        q = self.predict(context)
-        step = max(256, SCORES // self.per)  # scores held at once
-        for lo in range(0, len(target), step):
-            z = q[lo : lo + step] @ self.p["S"].T + self.p["s"]
-            own = z[np.arange(len(z)), cls[lo : lo + step]].astype(np.float64)
-            out[lo : lo + step] = own - log_sum(z)
-        order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for k in np.flatnonzero(cut[1:] > cut[:-1]):
-            words = self.members[k]
-            R, r = self.p["R"][words].T, self.p["r"][words]
-            for lo in range(cut[k], cut[k + 1], step):
-                at = order[lo : min(lo + step, cut[k + 1])]
-                z = q[at] @ R + r
-                own = z[np.arange(len(at)), np.searchsorted(words, target[at])].astype(np.float64)
-                out[at] += own - log_sum(z)
-        return out
+        """Normalised natural log-probability of every target: at each level, a matrix product over all alternatives."""
+        word = self.rank[target]
+        order = np.argsort(word // self.per, kind="stable")  # what shares a class, and a group of classes, lies together
+        word = word[order]
+        q = np.ascontiguousarray(self.predict(context[order]).T)
+        out = np.zeros(len(word))
+        for k, own in (("T", word // self.per**2), ("S", word // self.per), ("R", word)):
+            parent = own // self.per if k != "T" else np.zeros(len(own), np.int64)
+            cut = np.flatnonzero(np.append(True, parent[1:] != parent[:-1])) if len(own) else own
+            for a, b in zip(cut, np.append(cut[1:], len(own)), strict=True):
+                lo = int(parent[a]) * self.per if k != "T" else 0
+                hi = lo + self.per if k != "T" else len(self.p["T"])
+                W, w = self.p[k][lo:hi], self.p[k.lower()][lo:hi, None]
+                step = max(64, SCORES // len(W))  # scores held at once
+                for i in range(a, b, step):
+                    j = min(b, i + step)
+                    z = W @ q[:, i:j] + w
+                    mine = z[own[i:j] - lo, np.arange(j - i)].astype(np.float64)
+                    out[i:j] += mine - log_sum(z)
+        back = np.empty(len(out))
+        back[order] = out
+        return back
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -321,23 +321,21 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def log_sum(z: np.ndarray) -> np.ndarray:
-    """Log of the summed exponentials of every row; z is overwritten."""
-    top = z.max(1)
-    z -= top[:, None]
-    return top + np.log(np.exp(z, out=z).sum(1))
+    """Log of the summed exponentials of every column; z is overwritten."""
+    top = z.max(0)
+    z -= top
+    return top + np.log(np.exp(z, out=z).sum(0))
 
 
-def training_parts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[str, int]:
-    """Folder of the training texts, a folder a round and there part after part, each in an order of its own; rounds."""
-    parts = max(1, -(-vocabulary.n // max(PART_TOKENS, PART_SHARE * vocabulary.size)))
-    rounds = int(np.ceil(np.sqrt(parts)))
-    h = F.xxhash64("doc_id", "text")
-    own = docs.where(F.col("doc_id").isNotNull() & (C.crc_bucket(F.col("doc_id"), FOLDS) != HELD_OUT))
-    own = own.select("doc_id", "text", h.alias("h"), F.pmod(h, F.lit(parts)).alias("part")).withColumn("round", F.col("part") % rounds)
-    path = C.scratch(docs.sparkSession, "lm_parts")
-    own = own.repartition(parts, "part").sortWithinPartitions("round", "part", "h", "doc_id", "text")
-    own.select("round", "part", "text").write.partitionBy("round").option("compression", "zstd").parquet(path)
-    return path, rounds
+def schedule(tokens: int, outputs: int) -> tuple[int, int]:
+    """(rounds, parts a round) for so many training tokens: both depend on the corpus alone.
+
+    Up to ROUNDS rounds; the parts of a round grow with the square root of the corpus, and so do the tokens of a part:
+    a larger corpus trains each copy longer between two averages.
+    """
+    least = max(PART_TOKENS, PART_SHARE * outputs)
+    rounds = min(ROUNDS, max(1, -(-tokens // least)))
+    return rounds, max(1, min(int(np.ceil(np.sqrt(tokens / PART_TOKENS))), -(-tokens // (rounds * least))))
 
 
 def trained(docs: DataFrame, vocabulary: Vocabulary, batch: int = BATCH) -> tuple[dict, dict] | None:
@@ -345,11 +343,18 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, batch: int = BATCH) -> tupl
     spark = docs.sparkSession
     if not vocabulary.n:
         return None
-    path, rounds = training_parts(docs, vocabulary)
+    rounds, parts = schedule(vocabulary.n, vocabulary.size)
+    h = F.xxhash64("doc_id", "text")
+    own = docs.where(F.col("doc_id").isNotNull() & (C.crc_bucket(F.col("doc_id"), FOLDS) != HELD_OUT))
+    own = own.select("doc_id", "text", h.alias("h"), F.pmod(h, F.lit(rounds * parts)).cast("int").alias("part"))
+    path = C.scratch(spark, "lm_rounds")
+    own.withColumn("round", F.floor(F.col("part") / parts).cast("int")).write.partitionBy("round").option("compression", "zstd").parquet(path)
     state = None
     for k in range(rounds):
-        texts = spark.read.schema("part long, text string, round int").parquet(path).where(F.col("round") == k).select("part", "text")
-        state = averaged(texts, vocabulary, state, batch) or state
+        texts = spark.read.schema("doc_id long, text string, h long, part int, round int").parquet(path).where(F.col("round") == k)
+        # a part is one task's, in an order of its own
+        dealt = texts.repartitionById(parts, F.pmod("part", F.lit(parts))).sortWithinPartitions("h", "doc_id", "text").select(F.col("part").cast("long"), "text")
+        state = averaged(dealt, vocabulary, state, batch) or state
     return state
 
 
@@ -425,9 +430,8 @@ def averaged(texts: DataFrame, vocabulary: Vocabulary, start: tuple[dict, dict]
 # ---------------------------------------------------------------- scoring
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    C.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = min(1 << 16, C.parts_for(docs, 12))
+    parts = C.parts_for(docs, 12)
     vocabulary = Vocabulary(word_counts(docs, parts).toLocalIterator())
     state = trained(docs, vocabulary)
     parameters = (state[0], {}) if state else None
