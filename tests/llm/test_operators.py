@@ -159,33 +159,70 @@ def test_op2_prior_and_no_positives(spark):
 @data
 def test_op3_recovers_roles_and_texts(spark):
     own = {(r.conv_id, r.turn): (r.role, r.text) for r in queries.op3_chat_formatting(spark, SF).collect()}
-    want = {(r.conv_id, r.turn): (r.role, re.sub(r"\n\s*\n", "\n", r.text)) for r in table(spark, "conversations").collect()}
+    want = {(r.conv_id, r.turn): (r.role, r.text) for r in table(spark, "conversations").collect()}
     assert sum(own.get(k) == v for k, v in want.items()) / len(want) > 0.95
 
 
 def test_op3_viterbi_is_the_best_path():
-    seen = chat.observe("Q: how\nmore\n\nA: so\n\nand then\n\n### Response: x")
-    score = lambda path: chat._START[path[0]] + sum(chat._TRANS[a, b] for a, b in itertools.pairwise(path)) + sum(chat._EMIT[s, m, b] for s, (_, m, b) in zip(path, seen, strict=True))
+    lines = chat.Lines.of("Q: how\nmore\n\nA: so\n\nand then\n\n### Response: x")
+    seen = lines.emissions(5, False, True, True)
+    score = lambda path: chat._START[path[0]] + sum(chat._TRANS[a, b] for a, b in itertools.pairwise(path)) + sum(seen[i, s] for i, s in enumerate(path))
     best = max(itertools.product(range(6), repeat=len(seen)), key=score)
-    assert tuple(chat.viterbi(seen)) == best
+    end, pointers = chat.forward([seen], chat._START[None, None])
+    assert tuple(chat.backward(pointers[0][:, 0], int(end[0, 0].argmax()))) == best and math.isclose(end[0, 0].max(), score(best))
     assert [r for r, _ in chat.parse("User: a\nb\n\nno marker\n\nUser: c")] == ["user", "assistant", "user"]
     assert chat.parse(None) == chat.parse(" \n") == [] and chat.render("user", "a") == "<|user|>\na\n<|end|>\n"
 
 
-def test_op3_long_and_repeated_turns(spark):
-    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"line {i}") for i in range(1030)] + [(1, 0, "user", "line 0")] + [(None, None, None, None)]
-    out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("conv_id = 1").collect()
-    assert {r.stretch for r in out} == {0, 1, 2} and sum(r.text.startswith("line") for r in out) >= 1029
+def test_op3_false_markers_stay_text():
+    assert chat.parse("User: pick one\nA: red\nB: blue") == [("user", "pick one\nA: red\nB: blue")]
+    assert chat.parse("User: see\n```\nuser: x\nassistant: y\n```\n\nAssistant: ok\n    user: z\nend") == [("user", "see\n```\nuser: x\nassistant: y\n```"), ("assistant", "ok\n    user: z\nend")]
+    assert chat.parse("USER: shout\n\nASSISTANT:   back") == [("user", "shout"), ("assistant", "  back")]
+    assert chat.parse("<|user|>\nhello\n\n<|assistant|>\nhi\n  there") == [("user", "hello"), ("assistant", "hi\n  there")]
+    assert chat.parse("User: a\n\n  \nb\n\nAssistant: c") == [("user", "a\n\n  \nb"), ("assistant", "c")]
 
 
-def test_op3_blank_lines_and_numbers(spark):
-    assert chat.parse("User: a\n\n  \nb\n\nAssistant: c") == [("user", "a\n\n  \nb"), ("assistant", "c")]
-    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"one {i}\n\ntwo") for i in range(600)]
+def test_op3_stretches_are_one_transcript(spark):
+    rng = random.Random(3)
+    rows, whole = [], {}
+    for c in range(40):
+        style = rng.choice(chat.STYLES)
+        pieces = []
+        for k in range(rng.randint(1, 5)):
+            turns = ["".join([rng.choice([style[1] + " ", style[2] + " ", "", "", style[0] + " "]), rng.choice(["one", "two\nlines", "```\nuser: x", "```", "par\n\nagraph", "Q: what\nB: that", "    deep"])]) for _ in range(rng.randint(1, 6))]
+            pieces.append("\n\n".join(turns))
+            rows.append((c, k, pieces[-1]))
+        whole[c] = chat.parse("\n\n".join(pieces))
+    out = {}
+    for r in chat.format_transcripts(spark.createDataFrame(rows, "conv_id long, stretch long, transcript string")).collect():
+        out.setdefault(r.conv_id, {})[r.turn] = (r.role, r.text)
+        assert r.rendered == chat.render(r.role, r.text)
+    same = sum([t[k] for k in range(len(t))] == whole[c] for c, t in out.items())
+    assert len(out) == 40 and same >= 36  # the others have several paths of one score
+    for c in range(40):
+        pieces = [{"conv": "", "stretch": k, "transcript": t} for i, k, t in rows if i == c]
+        known = chat.settings(pa.table(dict(zip(("conv", "stretch", "fences", "styles", "first"), zip(*chat.summaries(pieces), strict=True), strict=True)))).to_pylist()
+        score = None
+        for _, _, m in chat.transfers([p | k for p, k in zip(pieces, known, strict=True)]):
+            m = np.frombuffer(m).reshape(7, 6)
+            score = m[6] if score is None else (score[:, None] + m[:6]).max(0)
+        lines = chat.Lines.of("\n\n".join(p["transcript"] for p in pieces))
+        once = chat.forward([lines.emissions(known[0]["style"], False, known[0]["paired"], True)], chat._START[None, None])[0]
+        assert np.allclose(score, once[0, 0])
+
+
+def test_op3_long_repeated_and_awkward(spark):
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"line {i}\n\nmore") for i in range(1030)] + [(1, 0, "user", "line 0\n\nmore")] + [(None, None, None, None), (2, 0, "user", "z " * 200_000), (2, 1, "other", ""), (2, 2, "assistant", None)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    assert all("one 1\n\ntwo" in r.transcript for r in chat.raw_transcripts(turns).where("stretch = 0").collect())
-    plain = turns.withColumn("text", F.lit("x"))
-    out = chat.format_conversations(plain).collect()
-    assert len({r.turn for r in out}) == len(out) and min(r.turn for r in out if r.stretch == 1) == chat.STRETCH
+    for name in ("stretch", "transcript", "conv", "style", "i", "n", "first", "before"):
+        turns = turns.withColumn(name, F.lit("x"))
+    out = chat.format_conversations(turns).collect()
+    one = sorted((r for r in out if r.conv_id == 1), key=lambda r: r.turn)
+    assert [r.turn for r in one] == list(range(len(one))) and len(one) > 900
+    assert "\n\n".join(r.text for r in one).count("line") == 1030
+    assert any(r.conv_id == 2 and len(r.text) >= 399_999 for r in out)
+    assert chat.format_conversations(turns.limit(0)).count() == 0
+    assert chat.format_transcripts(spark.createDataFrame([(1, None, None), (1, 0, ""), (None, None, "Human: x")], "conv_id long, stretch long, transcript string")).collect()[0].conv_id is None
 
 
 # ---------------------------------------------------------------- 4
@@ -442,8 +479,9 @@ def test_op8_probabilities_sum_to_one():
 def test_op8_layout_has_no_say(spark, monkeypatch):
     rng = random.Random(8)
     docs = frame(spark, [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(200))) for i in range(140)])
-    monkeypatch.setattr(lm, "PART_TOKENS", 5_000)
+    monkeypatch.setattr(lm, "PART_TOKENS", 2_000)
     monkeypatch.setattr(lm, "PART_SHARE", 1)
+    assert min(lm.schedule(24_000, 300)) > 1
     most, scores = "spark.sql.execution.arrow.maxRecordsPerBatch", []
     before = spark.conf.get(most)
     for rows, files in ((1000, 1), (7, 5)):
@@ -454,6 +492,52 @@ def test_op8_layout_has_no_say(spark, monkeypatch):
     assert all(math.isclose(scores[0][d], scores[1][d], rel_tol=1e-5) for d in scores[0]) and len(scores[0]) == 140
 
 
+def test_op8_score_is_the_models(spark, monkeypatch):
+    """The column score against a slow reading of the trained parameters: tree of softmaxes and add-one shares, token by token."""
+    rng = random.Random(11)
+    texts = [(i, " ".join(f"W{int(rng.paretovariate(0.8)) % 200}" for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    docs = frame(spark, texts)
+    for name, value in (("SHORTLIST", 20), ("MIN_COUNT", 5), ("PART_TOKENS", 300), ("PART_SHARE", 1)):
+        monkeypatch.setattr(lm, name, value)
+    vocabulary = lm.Vocabulary(lm.word_counts(docs.select("doc_id", "text"), 3).toLocalIterator())
+    state = lm.trained(docs.select("doc_id", "text"), vocabulary)
+    model = lm.LogBilinear(vocabulary.unigram).load((state[0], {}))
+    p, per, m = model.p, model.per, model.m
+    c = Counter(w for i, t in texts if lm.training([i])[0] for w in [*t.lower().split(), "\n"])
+
+    def softmax(k, q, lo, hi, own):
+        z = [float(p[k][j] @ q + p[k.lower()][j]) for j in range(lo, min(hi, len(p[k])))]
+        return math.log(math.exp(z[own - lo]) / sum(map(math.exp, z)))
+
+    got = {r.doc_id: r.score for r in lm.score_documents(docs).collect()}
+    for i, t in texts:
+        words = [w.encode() for w in t.lower().split()]
+        h, bucket, _ = lm.tokens(*C.text_block(pa.array([t])))
+        ids = [*vocabulary.ids(h, bucket).tolist(), vocabulary.end]
+        total = 0.0
+        for k, x in enumerate(ids):
+            before = [ids[k - j] if k >= j else vocabulary.size + lm.BUCKETS for j in range(1, lm.CONTEXT + 1)]
+            q = sum(p["Q"][b] * p["P"][j] for j, b in enumerate(before))
+            r = int(model.rank[x])
+            total += softmax("T", q, 0, m, r // per**2) + softmax("S", q, r // per**2 * per, (r // per**2 + 1) * per, r // per) + softmax("R", q, r // per * per, (r // per + 1) * per, r)
+            if x >= vocabulary.size:
+                total += math.log((c[words[k].decode()] + 1) / vocabulary.bucket_sums[x - vocabulary.size])
+        assert math.isclose(got[i], total / math.log(10), rel_tol=1e-4, abs_tol=1e-4), i
+
+
+@data
+def test_op8_rounds_of_averaging_keep_what_is_learnt(spark, monkeypatch):
+    """Held-out bits a token with 32 parts a round within 2 % of one part."""
+    docs = C.materialize(C.read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text"), "lm_docs")
+    bits = {}
+    for parts in (1, 32):
+        monkeypatch.setattr(lm, "schedule", lambda n, v, parts=parts: (8, parts))
+        r = lm.score_documents(docs).where("held_out").agg(F.sum("score").alias("s"), F.sum("n_tokens").alias("n"), F.sum("base_score").alias("b")).first()
+        bits[parts], base = -r.s / r.n / math.log10(2), -r.b / r.n / math.log10(2)
+    print(bits, base)
+    assert bits[32] <= 1.02 * bits[1] and bits[32] < base
+
+
 def test_op8_nothing_to_learn(spark):
     out = lm.score_documents(frame(spark, [(None, "a b"), (None, None)])).collect()
     assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score, r.held_out) for r in out) == [(1, 0, 0, 0.0, 0.0, False), (3, 0, 0, 0.0, 0.0, False)]
