@@ -19,7 +19,7 @@ class Convention:
     fields: dict[str, str] = field(default_factory=lambda: {"type": "type", "module": "module", "status": "status"})
 
 
-TAGS_ERROR = "'tags' must be a list of strings"
+TAGS_ERROR = "tags: not a list of texts"
 
 
 def normalized_tags(tags: Column) -> Column:
@@ -28,10 +28,10 @@ def normalized_tags(tags: Column) -> Column:
 
 
 def _one_of(name: str, value: Column, key: str, allowed: tuple[str, ...] | None) -> Column:
-    missing = F.when(value.isNull(), F.lit(f"frontmatter is missing required field '{key}'"))
+    missing = F.when(value.isNull(), F.lit(f"{key}: no value"))
     if allowed is None:
         return missing
-    wrong = F.concat(F.lit(f"invalid '{name}': \""), value, F.lit(f'" (allowed: {", ".join(allowed)})'))
+    wrong = F.concat(F.lit(f"{name}: "), value, F.lit(f" is none of {', '.join(allowed)}"))
     return missing.when(~value.isin(*allowed) if allowed else F.lit(True), wrong)
 
 
@@ -49,7 +49,7 @@ def resolved(parsed: DataFrame, convention: Convention, roots: tuple[str, ...] =
             _one_of("type", kind, convention.fields["type"], convention.types),
             _one_of("module", module, convention.fields["module"], None),
             _one_of("status", status, convention.fields["status"], convention.statuses),
-            F.when(title.isNull(), F.lit("the document has no H1 title")),
+            F.when(title.isNull(), F.lit("title: no heading of the first level")),
             *errors,
         ]
     else:

@@ -332,11 +332,11 @@ STRICT = convention.Convention("strict", types=("en", "fr"), statuses=("current"
 @registered(
     with_(C.SQL_CORPUS)
     + """SELECT doc_id, array_to_string(list_filter([
-  CASE WHEN type NOT IN ('en', 'fr') THEN 'invalid ''type'': "' || type || '" (allowed: en, fr)' END,
-  CASE WHEN module = 'src1' THEN 'frontmatter is missing required field ''module''' END,
-  CASE WHEN status IS NULL THEN 'frontmatter is missing required field ''status''' WHEN status NOT IN ('current', 'draft') THEN 'invalid ''status'': "' || status || '" (allowed: current, draft)' END,
-  CASE WHEN module = 'src2' THEN 'the document has no H1 title' END,
-  CASE WHEN module = 'src3' THEN '''tags'' must be a list of strings' END], lambda x: x IS NOT NULL), '; ') AS errors FROM corpus"""
+  CASE WHEN type NOT IN ('en', 'fr') THEN 'type: ' || type || ' is none of en, fr' END,
+  CASE WHEN module = 'src1' THEN 'module: no value' END,
+  CASE WHEN status IS NULL THEN 'status: no value' WHEN status NOT IN ('current', 'draft') THEN 'status: ' || status || ' is none of current, draft' END,
+  CASE WHEN module = 'src2' THEN 'title: no heading of the first level' END,
+  CASE WHEN module = 'src3' THEN 'tags: not a list of texts' END], lambda x: x IS NOT NULL), '; ') AS errors FROM corpus"""
 )
 def strict_validation_errors(spark, sf_dir):
     d = C.documents(spark, sf_dir)
