@@ -11,7 +11,8 @@ its pairs: all its classes are compared with one centre, those that are not link
 then buckets that still hold several components are compared pair by pair where they are small, and joined by an exact
 prefix filter where they are not, so no link between components is lost however large a bucket is.  Components of the verified links are the groups.
 
-A text of one to four words is one shingle.  Null, empty and blank texts are nobody's duplicates.  Rows with equal ids
+Classes are told apart by 128 bits of the word sequence.  A text of one to four words is one shingle.  Very long texts are
+hashed whole.  Null, empty and blank texts are nobody's duplicates.  Rows with equal ids
 or equal rows are documents of their own; of a group the row with the smallest doc_id (null last) stays.  An empty table
 gives an empty result.  Input columns travel inside one struct, so extra columns cannot clash.
 """
@@ -111,13 +112,12 @@ def probability_jaccard(x: np.ndarray, xw: np.ndarray, y: np.ndarray, yw: np.nda
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """docs' columns as ``row``, block, rid, c (class), words and bands; written once, bucketed by block.
+    """docs' columns as ``row``, block, rid, c and c2 (together the class), words and bands; written once, bucketed by block.
 
     A block is a stretch of a few MB of texts, so a task writes few files and texts are later read in place.
     """
-    C.small_batches(docs.sparkSession)
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("t"))
-    own = ("block", "rid", "c", "words")
+    own = ("block", "rid", "c", "c2", "words")
     schema = T.StructType([src.schema["row"], *[T.StructField(n, T.LongType()) for n in own], T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +133,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                     bands = (bands + who[:, k::ROWS]) * _U(0xB492B66FBE98F273 + 2 * k)
                 bands = C.mix(bands + np.arange(bands.shape[1], dtype=_U))
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1).view(np.int64)), bands.shape[1]).cast(pa.list_(pa.int64()))
-                columns = (np.full(j - i, block), (block >> 24 << 40) + n + np.arange(j - i), whole[0].view(np.int64), words.astype(np.int64))
+                columns = (np.full(j - i, block), (block >> 24 << 40) + n + np.arange(j - i), whole[0].view(np.int64), whole[1].view(np.int64), words.astype(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.slice(i, j - i).column(0), *map(pa.array, columns), lists], names=schema.names)
                 block, n = block + 1, n + j - i
 
@@ -141,19 +141,21 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(table: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
-    """(c, set): sorted hashes and counts of the wanted rows (block, rid), packed; bucketed by class."""
+    """(c, set): sorted hashes and counts of the wanted rows (block, rid, c), packed; bucketed by class."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.filter(pa.array(np.isin(left.column("rid").to_numpy(), right.column("rid").to_numpy())))
-        classes, sets = [], []
+        rid, c = (right.column(n).to_numpy() for n in ("rid", "c"))
+        order = np.argsort(rid)
+        at = np.searchsorted(rid[order], left.column("rid").to_numpy()).clip(0, max(len(rid) - 1, 0))
+        hit = rid[order][at] == left.column("rid").to_numpy() if len(rid) else np.zeros(left.num_rows, bool)
+        left, sets = left.filter(pa.array(hit)), []
         for i, j, buf, off in C.blocks(left.column("t")):
             row, g, count, _, _ = shingles(buf, off)
             cut = np.searchsorted(row, np.arange(j - i + 1))
             sets += [g[a:b].tobytes() + count[a:b].astype(np.uint32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            classes += left.column("c").slice(i, j - i).to_pylist()
-        return pa.table({"c": pa.array(classes, pa.int64()), "set": pa.array(sets, pa.binary())})
+        return pa.table({"c": pa.array(c[order][at[hit]] if len(rid) else c, pa.int64()), "set": pa.array(sets, pa.binary())})
 
-    texts = table.select("block", "rid", "c", F.col("row.text").alias("t"))
+    texts = table.select("block", "rid", F.col("row.text").alias("t"))
     sets = texts.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(run, "c long, set binary")
     return C.bucketed(sets.repartition(buckets, "c"), "sets", "c", buckets, "snappy")
 
@@ -223,7 +225,10 @@ def foreign_pairs(classes: DataFrame, sets: DataFrame, similarity: float) -> Dat
                 cols = [pa.array(h[:n]), same(c, pa.int64()), same(root, pa.int64()), pa.array(rest[:n]), same(total, pa.int64()), same(bool((w == 1).all()), pa.bool_()), prev]
                 yield pa.RecordBatch.from_arrays(cols, names=["h", "c", "root", "rest", "total", "plain", "prev"])
 
-    prefix = C.materialize(own.mapInArrow(run, "h long, c long, root long, rest long, total long, plain boolean, prev long"), "prefixes")
+    prefix = C.materialize(own.mapInArrow(run, "h long, c long, root long, rest long, total long, plain boolean, prev long"), "all_prefixes")
+    # a shingle that one component alone puts first makes no pair; a hot one is split between tasks
+    mixed = prefix.groupBy("h").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("h")
+    prefix = C.materialize(prefix.join(C.materialize(mixed, "mixed_shingles"), "h"), "prefixes")
     other = prefix.select("h", *[F.col(x).alias(f"{x}_b") for x in ("c", "root", "rest", "total", "plain", "prev")])
     # with shares p and q of the weights still to come, the similarity is at most pq / (q + (1 - q) p), and the same turned round
     p, q, m = F.col("rest") / F.col("total"), F.col("rest_b") / F.col("total_b"), F.least("rest", "rest_b")
@@ -241,12 +246,13 @@ def class_links(classes: DataFrame, table: DataFrame, buckets: int, similarity:
     classes: (c, block, rid, bands), one row a class; table has the row (block, rid) with its text.
     """
     slots = classes.select("c", F.posexplode("bands").alias("band", "key"))
-    full = slots.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    # sums are written before rows are joined with them: a bucket with many rows is then split between tasks
+    full = C.materialize(slots.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "full_buckets")
     shared = slots.join(full, ["band", "key"])
     # how many others a class meets over all bands: an unedited original meets more than its copies do
     mass = shared.groupBy("c").agg(F.sum("n").alias("mass"))
     members = C.materialize(shared.select("band", "key", "c").join(mass, "c").select("band", "key", "c", "mass"), "buckets")
-    wanted = classes.select("c", "block", "rid").join(members.select("c").distinct(), "c", "left_semi").select("block", "rid")
+    wanted = classes.select("c", "block", "rid").join(members.select("c").distinct(), "c", "left_semi").select("block", "rid", "c")
     sets = shingle_sets(table, wanted, buckets)
     links, roots, active = None, None, members
     tried = None
@@ -254,6 +260,7 @@ def class_links(classes: DataFrame, table: DataFrame, buckets: int, similarity:
         # first what meets most others, which bands mostly agree on; then any, another one in each band
         rank = F.struct((-F.col("mass") if k == 0 else F.xxhash64("c", "band", F.lit(k))).alias("order"), "c")
         centres = active.groupBy("band", "key").agg(F.min(rank)["c"].alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
+        centres = C.materialize(centres, f"centres_{k}")
         stars = active.join(centres, ["band", "key"]).where("c <> centre")
         pairs = stars.select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b")).distinct()
         if tried is not None:
@@ -274,6 +281,7 @@ def class_links(classes: DataFrame, table: DataFrame, buckets: int, similarity:
     of = roots.select(F.col("node").alias("c"), "root")
     labelled = members.join(of, "c", "left").withColumn("root", F.coalesce("root", "c"))
     split = labelled.groupBy("band", "key").agg((F.min("root") < F.max("root")).alias("split"), F.count("*").alias("n")).where("split").drop("split")
+    split = C.materialize(split, "split_keys")
     labelled = C.materialize(labelled.join(split, ["band", "key"]).select("band", "key", "c", "root", "n"), "split_buckets")
     few = labelled.where(F.col("n") <= FEW)
     other = few.select("band", "key", F.col("c").alias("b"), F.col("root").alias("root_b"))
@@ -287,31 +295,36 @@ def class_links(classes: DataFrame, table: DataFrame, buckets: int, similarity:
 
 
 def grouped(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """The written table of sketched(), and (c, head): the first document (late, id, block, rid) of each class's group."""
+    """The written table of sketched(), and (c, c2, head): the first document (late, id, block, rid) of each class's group."""
     table = sketched(docs)
     order = F.struct(F.col("row.doc_id").isNull().alias("late"), F.col("row.doc_id").alias("id"), "rid", "block")
-    worded = table.where("words > 0").select("c", "bands", order.alias("place"))
-    classes = C.materialize(worded.groupBy("c").agg(F.min("place").alias("first"), F.first("bands").alias("bands")), "classes")
-    _, roots = class_links(classes.select("c", "first.block", "first.rid", "bands"), table, C.buckets_for(docs), similarity)
-    rooted = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", "first", F.coalesce("root", "c").alias("root"))
-    heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
-    return table, C.materialize(rooted.join(heads, "root").select("c", "head"), "verdicts")
+    worded = table.where("words > 0").select("c", "c2", "bands", order.alias("place"))
+    classes = C.materialize(worded.groupBy("c", "c2").agg(F.min("place").alias("first"), F.first("bands").alias("bands")), "classes")
+    # a class is named by c; the rare classes that differ in c2 alone get names of their own
+    clashes = C.materialize(classes.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c", F.lit(True).alias("clash")), "clashes")
+    named = classes.withColumn("name", F.col("c"))
+    if not clashes.isEmpty():
+        named = classes.join(clashes, "c", "left").withColumn("name", F.when(F.col("clash"), F.xxhash64("c", "c2")).otherwise(F.col("c"))).drop("clash")
+    _, roots = class_links(named.select(F.col("name").alias("c"), "first.block", "first.rid", "bands"), table, C.buckets_for(docs), similarity)
+    rooted = named.join(roots.withColumnRenamed("node", "name"), "name", "left").select("c", "c2", "first", F.coalesce("root", "name").alias("root"))
+    heads = C.materialize(rooted.groupBy("root").agg(F.min("first").alias("head")), "heads")
+    return table, C.materialize(rooted.join(heads, "root").select("c", "c2", "head"), "verdicts")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (least id of its group of near-duplicates, its own where it has none) and keep."""
     table, verdicts = grouped(docs.select("doc_id", "text"), similarity)
-    rows = table.select(F.col("row.doc_id").alias("doc_id"), "rid", F.when(F.col("words") > 0, F.col("c")).alias("c"))
-    out = rows.join(verdicts, "c", "left")
-    keep = F.col("head").isNull() | (F.col("head.rid") == F.col("rid"))
-    return out.select("doc_id", F.coalesce("head.id", "doc_id").alias("class_id"), keep.alias("keep"))
+    worded = table.where("words > 0").select(F.col("row.doc_id").alias("doc_id"), "rid", "c", "c2").join(verdicts, ["c", "c2"])
+    out = worded.select("doc_id", F.coalesce("head.id", "doc_id").alias("class_id"), (F.col("head.rid") == F.col("rid")).alias("keep"))
+    blank = table.where("words = 0").select("row.doc_id", F.col("row.doc_id").alias("class_id"), F.lit(True).alias("keep"))
+    return out.unionByName(blank)
 
 
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs without all but one document of each group; texts are filtered where they lie."""
     table, verdicts = grouped(docs, similarity)
-    rows = table.where("words > 0").select("c", "block", "rid")
-    gone = rows.join(verdicts, "c").where(F.col("head.rid") != F.col("rid")).select(F.col("block").alias("in_block"), F.col("rid").alias("gone"))
+    rows = table.where("words > 0").select("c", "c2", "block", "rid")
+    gone = rows.join(verdicts, ["c", "c2"]).where(F.col("head.rid") != F.col("rid")).select(F.col("block").alias("in_block"), F.col("rid").alias("gone"))
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         return left.filter(pa.array(~np.isin(left.column("rid").to_numpy(), right.column("gone").to_numpy()))).select(["row"])
