@@ -7,14 +7,19 @@ unique drop out of every later round.  Two equal ranks at the last round mean a
 words or more is a run by itself.  The first copy - smallest doc_id, then place - stays and later copies are deleted,
 also within one document.
 
-Null and empty texts have no lines and come back as they are (null as empty).  Lines without a word never count and are
-never deleted.  Rows equal in doc_id and text are one document and share its verdict; null ids come after all others.
+``repeated_runs`` reports the maximal runs themselves, with their first copies.
+
+Null and empty texts have no lines and come back as they are (null as empty).  Very long texts are rows of lines like
+others.  Lines without a word never count and are
+never deleted.  Rows equal in doc_id and text are one document and share its verdict (ties of ids: by a key
+of the text); null ids come after all others.
 An empty table gives an empty result.  Input columns travel inside one struct, so extra columns cannot clash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm import common as C
@@ -25,51 +30,88 @@ MIN_LINES, LONG_WORDS = 2, 50
 
 
 def line_table(docs: DataFrame, long_words: int) -> DataFrame:
-    """k (document key), place (order of documents), seq, pos, rank (line ID) and whether the line is long."""
+    """doc and k (the document: id and key of its text), seq, pos, r1 and r2 (line ID of 128 bits) and whether the line is long."""
     text = F.coalesce(F.col("text"), F.lit(""))
     worded = F.filter(
         F.transform(F.split("t", "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("x"))), lambda s: F.length(F.translate(s["x"], SPACES, "")) > 0
     )
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t")).select(
-        F.xxhash64("doc_id", "t").alias("k"), F.struct(F.col("doc_id").isNull().alias("late"), "doc_id").alias("place"), worded.alias("lines")
-    )
-    line = rows.select("k", "place", F.posexplode("lines").alias("seq", "line"))
-    return line.select(
-        "k", "place", "seq", F.col("line.pos").alias("pos"), F.xxhash64("line.x").alias("rank"), (F.regexp_count("line.x", F.lit(WORD)) >= long_words).alias("long")
-    )
+    rows = docs.select(document(F.col("doc_id")).alias("doc"), text.alias("t")).select("doc", F.xxhash64("t").alias("k"), worded.alias("lines"))
+    line = rows.select("doc", "k", F.posexplode("lines").alias("seq", "line"))
+    long = F.regexp_count("line.x", F.lit(WORD)) >= long_words
+    return line.select("doc", "k", "seq", F.col("line.pos").alias("pos"), F.xxhash64("line.x").alias("r1"), F.xxhash64(F.lit(1), "line.x").alias("r2"), long.alias("long"))
 
 
-def reranked(at: DataFrame) -> DataFrame:
-    """Drops positions of unique rank; adds ``first``, the earliest place of the rank."""
-    where = F.struct("place", "k", "seq")
-    groups = at.groupBy("rank").agg(F.min(where).alias("first"), F.count("*").alias("n")).where("n > 1").select("rank", "first")
-    return at.join(groups, "rank")
+def document(doc_id: Column) -> Column:
+    """The id by which documents are ordered; null comes last."""
+    return F.coalesce(doc_id.cast("long"), F.lit((1 << 63) - 1))
 
 
-def deleted_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
-    """(k, pos) of every line to delete."""
-    lines = C.materialize(line_table(docs, long_words), "lines").dropDuplicates(["k", "seq"])
-    later = F.struct("place", "k", "seq") != F.col("first")
-    at = C.materialize(reranked(lines), "ranks_1")
-    cut = at.where(F.col("long") & later).select("k", "seq", F.lit(1).alias("run"))
+def place() -> Column:
+    return F.struct("doc", "k", "seq")
+
+
+def reranked(at: DataFrame, name: str) -> DataFrame:
+    """Drops positions of unique rank; adds ``first``, the earliest place of the rank, and ``copies``.
+
+    The ranks' sums are written before positions are joined with them, so a rank that very many lines have is summed
+    before the shuffle and split in the join.
+    """
+    groups = at.groupBy("r1", "r2").agg(F.min(place()).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    return at.join(C.materialize(groups, f"{name}_groups"), ["r1", "r2"])
+
+
+def doubled(at: DataFrame, ahead: DataFrame, step: Column | int) -> DataFrame:
+    """Ranks of longer runs: the rank of a position and the rank ``step`` lines further on make one; ranks of ``ahead`` that have no partner leave."""
+    onward = ahead.select("doc", "k", F.col("seq").alias("there"), F.col("r1").alias("n1"), F.col("r2").alias("n2"))
+    paired = at.withColumn("there", F.col("seq") + step).join(onward, ["doc", "k", "there"])
+    ranks = ("r1", "r2", "n1", "n2")
+    return paired.select("doc", "k", "seq", F.xxhash64(*ranks).alias("r1"), F.xxhash64(F.lit(1), *ranks).alias("r2"))
+
+
+def ranked_runs(lines: DataFrame, min_lines: int) -> tuple[DataFrame, DataFrame]:
+    """Positions whose line occurs again, and positions from which ``min_lines`` lines do; both with first and copies."""
+    single = at = C.materialize(reranked(lines, "ranks_1"), "ranks_1")
     span = 1
     while span < min_lines:
         step = min(span, min_lines - span)
-        ahead = at.select("k", (F.col("seq") - step).alias("seq"), F.col("rank").alias("next"))
-        paired = at.join(ahead, ["k", "seq"]).select("k", "place", "seq", F.xxhash64("rank", "next").alias("rank"))
         span += step
-        at = C.materialize(reranked(paired), f"ranks_{span}")
-    runs = cut.unionByName(at.where(later).select("k", "seq", F.lit(span).alias("run"))) if span > 1 else at.where(later).select("k", "seq", F.lit(1).alias("run"))
-    seqs = runs.select("k", F.explode(F.sequence("seq", F.col("seq") + F.col("run") - 1)).alias("seq")).distinct()
-    return seqs.join(lines, ["k", "seq"]).select("k", "pos")
+        at = C.materialize(reranked(C.materialize(doubled(at, at, step), f"pairs_{span}"), f"ranks_{span}"), f"ranks_{span}")
+    return single, at
+
+
+def deleted_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
+    """(doc, k, pos) of every line to delete."""
+    lines = C.materialize(line_table(docs, long_words).dropDuplicates(["doc", "k", "seq"]), "lines")
+    later = place() != F.col("first")
+    single, at = ranked_runs(lines, min_lines)
+    cut = single.where(F.col("long") & later).select("doc", "k", "seq", F.lit(1).alias("run"))
+    runs = cut.unionByName(at.where(later).select("doc", "k", "seq", F.lit(min_lines).alias("run")))
+    seqs = runs.select("doc", "k", F.explode(F.sequence("seq", F.col("seq") + F.col("run") - 1)).alias("seq")).distinct()
+    return seqs.join(lines, ["doc", "k", "seq"]).select("doc", "k", "pos")
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """Maximal repeated runs: doc_id, seq (first line among those with a word), run (lines), first_doc_id, first_seq.
+
+    A position's longest common prefix with the first copy of its rank goes on as long as the next position's first copy
+    is the next line of the same document; such an interval of positions is one run.
+    """
+    lines = C.materialize(line_table(docs, 1 << 30).dropDuplicates(["doc", "k", "seq"]), "lines")
+    at = ranked_runs(lines, min_lines)[1].where(place() != F.col("first"))
+    same = ["doc", "k", "first_doc", "first_k", "ahead"]
+    at = at.select("doc", "k", "seq", F.col("first.doc").alias("first_doc"), F.col("first.k").alias("first_k"), (F.col("seq") - F.col("first.seq")).alias("ahead"))
+    interval = at.withColumn("interval", F.col("seq") - F.row_number().over(W.partitionBy(*same).orderBy("seq"))).groupBy(*same, "interval")
+    out = interval.agg(F.min("seq").alias("seq"), (F.count("*") + min_lines - 1).alias("run"))
+    known = lambda c: F.when(F.col(c) < (1 << 63) - 1, F.col(c))
+    return out.select(known("doc").alias("doc_id"), "seq", "run", known("first_doc").alias("first_doc_id"), (F.col("seq") - F.col("ahead")).alias("first_seq"))
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
     """``row`` (docs' columns), text without the deleted lines, n_lines and n_deleted."""
-    gone = deleted_lines(docs, min_lines, long_words).groupBy("k").agg(F.collect_list("pos").alias("gone"))  # within one document
+    gone = deleted_lines(docs, min_lines, long_words).groupBy("doc", "k").agg(F.collect_list("pos").alias("gone"))  # within one document
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("t"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("k"))
-    joined = rows.join(gone, "k", "left").select("row", "t", F.split("t", "\n").alias("lines"), "gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("t"), document(F.col("doc_id")).alias("doc"), F.xxhash64(text).alias("k"))
+    joined = rows.join(gone, ["doc", "k"], "left").select("row", "t", F.split("t", "\n").alias("lines"), "gone")
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     kept = F.when(F.col("gone").isNull(), F.col("t")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
     n = F.size(F.filter("lines", lambda x: F.length(F.translate(x, SPACES, "")) > 0))
