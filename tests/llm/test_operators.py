@@ -392,6 +392,46 @@ def test_op6_filter_keeps_pairs_of_exactly_the_threshold(spark):
     assert [r.similarity for r in found] == [0.8] * 3
 
 
+@data
+def test_op6_bands_lose_no_pair(spark):
+    """Recall at table size: every pair of different texts that is 0.8 alike by brute force over shared shingles lies in one group."""
+    rows = [(r.doc_id, r.text) for r in C.read_table(spark, "/root/testdata/sf0.01", "documents").collect()]
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall(t or "")
+        sets[i] = Counter(zip(*(w[k:] for k in range(5)))) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+    holders = {}
+    for i, x in sets.items():
+        for g in x:
+            holders.setdefault(g, []).append(i)
+    shared = Counter(p for h in holders.values() for p in itertools.combinations(h, 2))
+    pairs = 0
+    group = {r.doc_id: r.class_id for r in queries.op6_minhash_near_dedup(spark, "/root/testdata/sf0.01").collect()}
+    for (a, b), n in shared.items():
+        x, y = sets[a], sets[b]
+        if n >= 0.8 * max(len(x), len(y)) * 0.8 and x != y and sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in set(x) | set(y)) for i in set(x) & set(y)) >= 0.8 if len(x) + len(y) < 1200 else False:
+            pairs += 1
+            assert group[a] == group[b], (a, b)
+    assert pairs > 0
+
+
+def test_op6_classes_of_one_name(spark, monkeypatch):
+    """Word sequences whose first hashes agree are different classes all the same."""
+    real = near_dedup.shingles
+
+    def clashing(buf, off, n=near_dedup.WORDS):
+        row, g, count, whole, words = real(buf, off, n)
+        return row, g, count, [whole[0] % np.uint64(2), whole[1]], words
+
+    monkeypatch.setattr(near_dedup, "shingles", clashing)
+    texts = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcdef"]
+    docs = [(i, texts[i % 6]) for i in range(12)]
+    block = C.text_block(pa.array([t for _, t in docs]))
+    assert len(set(clashing(*block)[3][0].tolist())) <= 2  # in this process; workers import the module anew
+    out = near_dedup.near_duplicates(frame(spark, docs)).collect()
+    assert {r.doc_id: r.class_id for r in out} == {i: i % 6 for i in range(12)}
+
+
 def test_op6_probability_jaccard_and_registers():
     rng = np.random.default_rng(1)
     for _ in range(20):
@@ -439,6 +479,30 @@ def test_op7_runs(spark, min_lines):
     assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().executedPlan().toString())
 
 
+def test_op7_maximal_runs(spark):
+    rng = random.Random(70)
+    block = [f"line {k}" for k in range(11)]
+    docs = [(i, "\n".join(rng.choice([block[a : a + rng.randint(1, 9)], [f"own {i}"], ["x", "x"]])[k] for a in [rng.randint(0, 8)] for _ in range(4) for k in [0])) for i in range(6)]
+    docs += [(10, "\n".join(block)), (11, "\n".join(["head", *block[2:9], "tail"])), (12, "\n\n".join(block[3:])), (13, None), (14, "a\na\na\na")]
+    lines = {i: [x for x in (t or "").split("\n") if WORD.search(x)] for i, t in docs}
+    first, runs = {}, []
+    for i, ls in sorted(lines.items()):
+        for a in range(len(ls) - 1):
+            f = first.setdefault((ls[a], ls[a + 1]), (i, a))
+            if f == (i, a):
+                continue
+            last = runs[-1] if runs else None
+            if last and last[0] == i and last[1] + last[2] - 1 == a and (last[3], last[4] + last[2] - 1) == f:
+                last[2] += 1
+            else:
+                runs.append([i, a, 2, *f])
+    want = {tuple(r) for r in runs}
+    out = line_dedup.repeated_runs(frame(spark, docs))
+    assert {tuple(r) for r in out.collect()} == want and max(w[2] for w in want) >= 7
+    assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().executedPlan().toString())
+    assert line_dedup.repeated_runs(frame(spark, docs).limit(0)).count() == 0
+
+
 # ---------------------------------------------------------------- 8
 @data
 def test_op8_counts_and_gain(spark):
