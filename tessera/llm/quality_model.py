@@ -1,6 +1,7 @@
 """Quality classifier by positive-unlabelled learning.
 
-A linear model over statistics of the whole text minimises the non-negative unbiased risk
+A linear model over the whole text - 24 statistics of its form, and how often its words, pairs of words and runs of four
+bytes fall into each of HASHED slots of their hashes - minimises the non-negative unbiased risk
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 
@@ -9,8 +10,8 @@ positive against unlabelled text ranks both samples, and the prior is the least
 above any threshold that leaves enough positives.
 
 It is fitted on at most ``SAMPLE_P`` positives and ``SAMPLE_U`` unlabelled rows, the first by a hash of their ids; every
-row is scored.  Null and empty texts have all statistics at zero and are scored like any other.  Equal texts get equal
-scores; rows with a null id are scored and never learnt from.  Without any positive, every score is 0.5.  An empty table
+row is scored.  Null and empty texts have all statistics at zero and are scored like any other; very long texts are read whole.  Equal texts get equal
+scores; rows with a null id are scored and never learnt from; of rows with one id the least text is learnt from.  Without any positive, every score is 0.5.  An empty table
 gives an empty result.  Extra columns are not read.
 """
 
@@ -36,6 +37,14 @@ _CLASS[[ord(c) for c in ".,;:'\"()-"]] = 3
 _CLASS[10] = 5
 _CLASS[[0x20, 9, 11, 12, 13]] = 6
 N_FEATURES = 24
+#: Slots of each kind of hashed run, and what is added to a text's number of runs, so that short texts weigh less.
+HASHED, KINDS, SMOOTH = 512, 3, 20
+
+
+def distinct(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Distinct hashes of each document; rows rise."""
+    _, first = np.unique(C.mix(h + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+    return np.bincount(row[first], minlength=n)
 
 
 def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -54,16 +63,14 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         np.cumsum(np.stack([(c == 4), (c == 0), (c == 1) | (c == 7)], 1), axis=0, out=kinds[1:])
     inside = kinds[end] - kinds[start]
     mean = lambda x: np.bincount(doc, x, minlength=n) / per_word
-    both = np.unique(np.stack([doc.astype(np.uint64), h], 1), axis=0)[:, 0].astype(np.int64) if len(h) else np.zeros(0, np.int64)
     g, at = C.gram_hashes(h, doc, 3)
     grams = np.bincount(doc[at], minlength=n)
-    fresh = np.unique(np.stack([doc[at].astype(np.uint64), g], 1), axis=0)[:, 0].astype(np.int64) if len(g) else np.zeros(0, np.int64)
     cuts = np.flatnonzero(buf == 10)
     lines = np.bincount(np.searchsorted(off[1:], cuts, "right"), minlength=n) + (size > 0)
     average = mean(length)
     same = np.zeros(len(h), bool)
     same[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
-    repeated = 1 - np.bincount(fresh, minlength=n) / np.maximum(grams, 1)
+    repeated = 1 - distinct(g, doc[at], n) / np.maximum(grams, 1)
     marked, shouted = mean(inside[:, 0] > 0), mean((inside[:, 1] > 1) & (inside[:, 2] == 0))
     out = np.stack(
         [
@@ -75,7 +82,7 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
             marked,
             mean((inside[:, 1] == 0) & (inside[:, 2] == 0)),
             shouted,
-            np.bincount(both, minlength=n) / per_word,
+            distinct(h, doc, n) / per_word,
             repeated,
             mean(same),
             (repeated > 0.35).astype(float),
@@ -91,16 +98,42 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out.astype(np.float32)
 
 
+def hashed_runs(buf: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(slot, document row, 1 / smoothed number of runs of each document) of words, pairs of words and runs of four bytes."""
+    n = len(off) - 1
+    buf = C.lower_ascii(buf)
+    start, end, doc = C.word_spans(buf, off)
+    h = C.word_hashes(buf, start, end)
+    g, at = C.gram_hashes(h, doc, 2)
+    wide = buf.astype(np.uint32)
+    four = (wide[:-3] | wide[1:-2] << 8 | wide[2:-1] << 16 | wide[3:] << 24) * np.uint32(0x9E3779B1) >> np.uint32(16) if len(buf) > 3 else wide[:0]
+    row = np.repeat(np.arange(n), np.diff(off))
+    inside = row[: len(four)] == row[3:] if len(four) else np.zeros(0, bool)
+    out = []
+    for k, (slot, own) in enumerate(((h, doc), (g, doc[at]), (four[inside], row[: len(four)][inside]))):
+        out.append(((slot % slot.dtype.type(HASHED)).astype(np.int64) + k * HASHED, own, 1 / (np.bincount(own, minlength=n) + SMOOTH)))
+    return out
+
+
+def features(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """(documents, N_FEATURES + KINDS * HASHED): statistics and shares of slots."""
+    n = len(off) - 1
+    shares = np.zeros((n, KINDS * HASHED), np.float32)
+    for slot, row, weight in hashed_runs(buf, off):
+        np.add.at(shares.reshape(-1), row * (KINDS * HASHED) + slot, weight[row].astype(np.float32))
+    return np.concatenate([statistics(buf, off), shares], 1)
+
+
 def featured(docs: DataFrame) -> DataFrame:
-    """doc_id and x, the statistics."""
+    """doc_id and x, the features as 16-bit floats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, buf, off in C.blocks(batch.column(1)):
-                x = statistics(buf, off)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), N_FEATURES).cast(pa.list_(pa.float32()))], names=["doc_id", "x"])
+            for i, j, buf, off in C.blocks(batch.column(1), 1 << 20):
+                x = features(buf, off).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x array<float>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x binary")
 
 
 # ---------------------------------------------------------------- learning
@@ -133,20 +166,26 @@ def estimated_prior(p: np.ndarray, u: np.ndarray, least: float = 0.3) -> float:
 
 
 class Model:
-    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, steps: int = 3000):
-        every = np.concatenate([positive, unlabelled]).astype(float)
-        self.centre = every.mean(0) if len(every) else np.zeros(N_FEATURES)
-        self.scale = every.std(0) + 1e-3 if len(every) else np.ones(N_FEATURES)
-        self.w = np.zeros(N_FEATURES + 1)
+    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, steps: int = 600):
+        size = N_FEATURES + KINDS * HASHED
+        every = np.concatenate([positive, unlabelled]).astype(np.float32)
+        self.centre = every.mean(0) if len(every) else np.zeros(size, np.float32)
+        self.scale = every.std(0) + np.repeat([1e-3, 1e-4], [N_FEATURES, KINDS * HASHED]).astype(np.float32) if len(every) else np.ones(size, np.float32)
+        #: Slots weigh less at first and are held shorter than statistics: there are many of them.
+        self.scale[N_FEATURES:] *= 8
+        self.hold = np.repeat([1e-4, 3e-3, 0], [N_FEATURES, KINDS * HASHED, 1]).astype(np.float32)
+        self.w = np.zeros(size + 1, np.float32)
         self.prior = 0.5
         if len(positive) > 1 and len(unlabelled) > 1:
-            p, u = self._inputs(positive), self._inputs(unlabelled)
-            self.prior = estimated_prior(p, u)
-            self.w = descend(lambda w: self._gradient(w, p, u), N_FEATURES + 1, steps)
+            p, u = self._inputs(positive.astype(np.float32)), self._inputs(unlabelled.astype(np.float32))
+            form = np.r_[0:N_FEATURES, size]
+            self.prior = estimated_prior(p[:, form].astype(float), u[:, form].astype(float))
+            self.w = descend(lambda w: self._gradient(w.astype(np.float32), p, u), size + 1, steps).astype(np.float32)
 
     def _inputs(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.centre) / self.scale, -8, 8)
-        return np.concatenate([z, np.ones((len(z), 1))], 1)
+        z = (x - self.centre) / self.scale
+        z[:, :N_FEATURES] = np.clip(z[:, :N_FEATURES], -8, 8)
+        return np.concatenate([z, np.ones((len(z), 1), np.float32)], 1)
 
     def _gradient(self, w: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
         zp, zu = p @ w, u @ w
@@ -154,10 +193,16 @@ class Model:
         minus_p, minus_u = sigmoid(zp) @ p / len(p), sigmoid(zu) @ u / len(u)
         risk = np.logaddexp(0, zu).mean() - self.prior * np.logaddexp(0, zp).mean()
         rest = minus_u - self.prior * minus_p
-        return self.prior * plus + rest + 1e-4 * w if risk >= 0 else self.prior * plus - 0.1 * rest + 1e-4 * w
+        return self.prior * plus + (rest if risk >= 0 else -0.1 * rest) + self.hold * w
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return sigmoid(self._inputs(x) @ self.w)
+    def score(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Probability of the good class of each text of a block; slots are looked up in the weights and never laid out."""
+        z = np.clip((statistics(buf, off) - self.centre[:N_FEATURES]) / self.scale[:N_FEATURES], -8, 8) @ self.w[:N_FEATURES] + self.w[-1]
+        each = self.w[N_FEATURES:-1] / self.scale[N_FEATURES:]
+        z = z.astype(np.float64) - float(self.centre[N_FEATURES:] @ each)
+        for slot, row, weight in hashed_runs(buf, off):
+            z += np.bincount(row, each[slot], minlength=len(z)) * weight
+        return sigmoid(z)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample_p: int = SAMPLE_P, sample_u: int = SAMPLE_U) -> Model:
@@ -168,8 +213,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample_p: int = SAMPL
     chosen = positive.unionByName(anything).groupBy("doc_id").agg(F.max("p").alias("p"), F.max(~F.col("p")).alias("u"))
     chosen = chosen.withColumnRenamed("doc_id", "chosen")  # at most sample_p + sample_u rows
     texts = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).select("doc_id", "text")
-    rows = featured(texts).dropDuplicates(["doc_id"]).join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).orderBy("doc_id").collect()
-    x = lambda key: np.array([r["x"] for r in rows if r[key]], np.float32).reshape(-1, N_FEATURES)
+    one = texts.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = featured(one).join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).orderBy("doc_id").collect()
+    size = N_FEATURES + KINDS * HASHED
+    x = lambda key: np.frombuffer(b"".join(bytes(r["x"]) for r in rows if r[key]), np.float16).reshape(-1, size)
     return Model(x("p"), x("u"))
 
 
@@ -179,7 +226,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, buf, off in C.blocks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(model.score(statistics(buf, off)))], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(model.score(buf, off))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
