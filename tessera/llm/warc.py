@@ -6,13 +6,17 @@ the lines of the version declared and synthesises what WARC asks for and ARC lac
 UUID over URL, date and place), an ISO timestamp, a record type and SHA-256 digests.  Of equal payloads of at least
 ``MIN_REVISIT`` bytes the first - smallest page_id, then place - is the response, the others are revisits without payload.
 
+WARC files hold one gzip member a record, so a record can be read alone, and are bounded by bytes: records are written by
+classes of size, each with as many to a file as FILE_BYTES allow.  A task's first file begins with a warcinfo record.
+
 Null payloads are empty and null URLs become ``urn:unknown``; blanks in a URL are percent-encoded.  A null page_id is
-kept null and comes after all others; equal rows are records of their own.  An empty table gives archives without
-records.  Only page_id, url and html are read, so other columns may have any name.
+kept null and comes after all others; equal rows are records of their own.  Very long payloads are a file of their own.  An empty table
+gives no record.  Only page_id, url and html are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 import zlib
@@ -26,7 +30,8 @@ from tessera.llm import common as C
 
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 4 << 20
-RECORDS_PER_FILE = 4096
+#: Uncompressed bytes of a WARC file, and the classes of payload size that are written together; a longer record is a file.
+FILE_BYTES, SIZE_CLASSES = 64 << 20, (1 << 14, 1 << 18, 1 << 22, 1 << 31)
 #: Fields of a record line, by version (fixed by the format).
 ARC_FIELDS = {
     b"1": ("url", "ip", "date", "type", "length"),
@@ -146,53 +151,85 @@ def warc_record(uri, date, place, head, payload, digest, first) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
+    end = data.index(b"\r\n\r\n")
+    lines = data[:end].decode().split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError("no WARC record")
+    own = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    return own, data[end + 4 : end + 4 + int(own["content-length"])]
+
+
+def zipped(record: bytes) -> bytes:
+    """A gzip member that ends in a zero byte, as the length field of all records below 16 MB does; others get an empty member behind."""
+    member = gzip.compress(record, 5, mtime=0)
+    return member if member[-1] == 0 else member + gzip.compress(b"", 5, mtime=0)
+
+
+def members(data: memoryview, step: int = 1 << 16) -> Iterator[bytes]:
+    """The contents of all gzip members that are not empty, one at a time."""
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at {at}")
-        own = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        n = int(own["content-length"])
-        yield own, data[end + 4 : end + 4 + n]
-        at = end + 4 + n + 4
+        unpack, out = zlib.decompressobj(31), []
+        while not unpack.eof and at < len(data):
+            out.append(unpack.decompress(data[at : at + step]))
+            at += step
+        at -= len(unpack.unused_data) + max(0, at - len(data))
+        if not unpack.eof:
+            raise ValueError("the last gzip member is cut")
+        if any(out):
+            yield b"".join(out)
+
+
+def warcinfo() -> bytes:
+    block = b"software: tessera\r\nformat: WARC File Format 1.1\r\n"
+    name = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, 'tessera/warcinfo')}>"
+    return f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {name}\r\nWARC-Date: {iso_date(CRAWL_DATE.encode())}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
 def write_warc(archives: DataFrame, path: str) -> None:
-    """Converts ARC archives and writes gzipped WARC files under path, through Spark's own file writer."""
+    """Converts ARC archives and writes WARC files of gzip members under path, through Spark's own file writer."""
     records = C.materialize(convert(archives).withColumn("place", F.monotonically_increasing_id()), "arc_records")
     order = F.struct(F.col("page_id").isNull().alias("late"), "page_id", "place", "uri", "date")
     long = F.col("payload_bytes") >= MIN_REVISIT
-    firsts = records.where(long).groupBy("digest").agg(F.min(order).alias("first"))
+    firsts = C.materialize(records.where(long).groupBy("digest").agg(F.min(order).alias("first")), "first_records")
     decided = records.select("place", "digest", "payload_bytes").where(long).join(firsts, "digest")
     # payloads move once, dealt by record and not by digest; what revisits leave out does not move at all
     decided = decided.where(F.col("first.place") != F.col("place")).select("place", F.struct("first.uri", "first.date", "first.place").alias("first"))
+    decided = C.materialize(decided, "revisits")
     joined = records.join(decided, "place", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = [warcinfo()]
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                out = []
+                out = before
                 for r in batch.slice(lo, 256).to_pylist():
                     first = r["first"] and (r["first"]["uri"], r["first"]["date"], r["first"]["place"])
-                    out.append(warc_record(r["uri"], r["date"], r["place"], r["head"], r["payload"], r["digest"], first)[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                    out.append(warc_record(r["uri"], r["date"], r["place"], r["head"], r["payload"], r["digest"], first))
+                before = []
+                yield pa.RecordBatch.from_arrays([pa.array([zipped(x)[:-1] for x in out], pa.binary())], names=["value"])
 
-    # the text writer puts the last line feed of each record back
-    lines = joined.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    lines.write.option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    # the text writer, told to end its lines with a zero byte, puts the last byte of each record back
+    sizes = {r["k"] for r in records.select(F.least(*[F.when(F.col("payload_bytes") < b, k) for k, b in enumerate(SIZE_CLASSES)]).alias("k")).distinct().collect()}  # four numbers
+    for k in sorted(sizes) or [0]:  # an empty table gives a file without records
+        low, high = SIZE_CLASSES[k - 1] if k else 0, SIZE_CLASSES[k]
+        own = joined.where((F.col("payload_bytes") >= low) & (F.col("payload_bytes") < high))
+        lines = own.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+        lines.write.mode("append").option("lineSep", "\0").option("maxRecordsPerFile", max(1, FILE_BYTES // (high + 1024))).text(path)
 
 
 def read_warc(spark, path: str) -> DataFrame:
     """Every record of the files under path: page_id, uri, record_id, type, digest, payload_bytes, refers_to_record, payload."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for own, block in parse_warc(zlib.decompress(content.as_py(), 31)):
+                for own, block in map(parse_record, members(memoryview(content.as_buffer()))):
+                    if own["warc-type"] == "warcinfo":
+                        continue
                     if f"sha256:{hashlib.sha256(block).hexdigest()}" != own["warc-block-digest"]:
                         raise ValueError(f"block of {own['warc-record-id']} differs from its digest")
                     head, payload = split_http(block)
@@ -215,6 +252,9 @@ def convert_pages(pages: DataFrame) -> DataFrame:
     path = C.scratch(spark, "warc")
     write_warc(arc_archives(pages), path)
     read = C.materialize(read_warc(spark, path).drop("payload"), "warc_records")
-    # responses that have a revisit: one row a group of copies
     named = read.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"))
-    return read.join(named, "refers_to_record", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "uri", "record_id")
+    # only revisits have something to look up; a response that very many refer to is one row of the written table
+    revisits = read.where("record_type = 'revisit'").join(named, "refers_to_record")
+    responses = read.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long"))
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "uri", "record_id")
+    return responses.select(*columns).unionByName(revisits.select(*columns))
