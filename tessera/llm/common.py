@@ -8,7 +8,6 @@ over random byte values, mixed at the end; they depend on the string alone, so t
 from __future__ import annotations
 
 import functools
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -27,16 +26,33 @@ _MULT_INV = pow(_MULT, -1, 1 << 64)
 
 # ---------------------------------------------------------------- shared folder
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, one in the warehouse.
+
+    Without a cluster (a master ``local``) any folder is shared, and the warehouse lies on the same disk.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessera-scratch"
     return found.rstrip("/")
 
 
+#: What this process has written and not yet released: folders, and tables of the session's catalog.
+_FOLDERS: list[str] = []
+_TABLES: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    _FOLDERS.append(folder)
+    return f"{folder}/{name}"
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all scratch tables and folders that this process has written; call it when their results are consumed."""
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
+    jvm = spark.sparkContext._jvm
+    while _FOLDERS:
+        path = jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -50,6 +66,7 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int, codec: str = "zst
     """Writes df in the shared folder as a table bucketed by key: later joins and groupings by key read it in place."""
     spark, table = df.sparkSession, f"tessera_{name}_{uuid.uuid4().hex}"
     df.write.format("parquet").option("compression", codec).option("path", scratch(spark, name)).bucketBy(buckets, key).saveAsTable(table)
+    _TABLES.append(table)
     return spark.table(table)
 
 
@@ -57,13 +74,6 @@ def buckets_for(df: DataFrame, mb: int = 24) -> int:
     return int(min(1 << 16, max(8, input_bytes(df) // (mb << 20))))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many texts: what a task holds in flight stays a few MB, and long texts do not multiply."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, rows)
-
-
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of df (of a plain scan: its files); where it knows none, 32 MB a shuffle partition."""
     known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

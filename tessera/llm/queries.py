@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common as C
-from tessera.llm import chat, decontaminate, line_dedup, lm, near_dedup, packing, quality_model, quality_rules, suffix_dedup, warc
+from tessera.llm import chat, decontaminate, line_dedup, lm, near_dedup, packing, pipeline, quality_model, quality_rules, suffix_dedup, warc
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,8 +96,6 @@ LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON d.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     own = (
         op1_suffix_array_dedup,
         op2_quality_classifier,
@@ -110,7 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_warc,
         op10_benchmark_decontamination,
     )
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
