@@ -32,6 +32,11 @@ def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def with_frequency(index: DataFrame) -> DataFrame:
+    """Postings that carry their term's df: what a stored index holds."""
+    return index.join(document_frequency(index), "term")
+
+
 def wanted_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, times): a repeated term counts as often as it is written."""
     terms = F.transform(X.query_terms(F.col("text")), lambda t: X.folded(t))
@@ -44,12 +49,14 @@ def weight(tf: Column, length: Column, n: Column, df: Column, average: Column) -
 
 
 def scored(queries: DataFrame, index: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score) of every chunk that holds a query's term."""
+    """(query_id, chunk_id, score) of every chunk that holds a query's term.  Postings that carry df are read once."""
     wanted = wanted_terms(queries)
-    hits = index.join(wanted.select("term").distinct(), "term", "left_semi")  # only the queries' postings go on
-    frequency = document_frequency(hits)
-    stats = corpus_stats(lengths)
-    joined = hits.join(wanted.join(frequency, "term"), "term").join(lengths, "chunk_id").crossJoin(stats)  # stats is one row
+    if "df" in index.columns:
+        hits = index.join(wanted, "term")
+    else:
+        own = index.join(wanted.select("term").distinct(), "term", "left_semi")  # only the queries' postings go on
+        hits = own.join(wanted.join(document_frequency(own), "term"), "term")
+    joined = hits.join(lengths, "chunk_id").crossJoin(corpus_stats(lengths))  # one row
     each = F.col("times") * weight(F.col("tf"), F.col("n_tokens"), F.col("n_chunks"), F.col("df"), F.col("avg_len"))
     return joined.groupBy("query_id", "chunk_id").agg(F.sum(each).alias("score"))
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,16 +94,16 @@ def lexical_filtered(spark, sf_dir):
     return _lexical(spark, sf_dir, True)
 
 
-@registered(with_(C.sql_vector(50)) + "SELECT query_id, chunk_id, rank, round(distance, 6) AS distance FROM vector")
+@registered(with_(C.sql_vector(50, of_documents=False)) + "SELECT query_id, chunk_id, rank, round(distance, 6) AS distance FROM vector")
 def vector_knn(spark, sf_dir):
-    found = vector.search_vector(C.queries(spark, sf_dir), C.vectors(spark, sf_dir), fusion.candidates(K))
+    found = vector.search_vector(C.vector_queries(spark, sf_dir), C.all_vectors(spark, sf_dir), fusion.candidates(K))
     return found.select("query_id", "chunk_id", "rank", F.round("distance", 6).alias("distance"))
 
 
-@registered(with_(C.SQL_CORPUS, C.SQL_ALLOWED, C.sql_vector(50, "chunk_id IN (SELECT chunk_id FROM allowed)")) + "SELECT query_id, chunk_id, rank, round(distance, 6) AS distance FROM vector")
+@registered(with_(C.SQL_CORPUS, C.SQL_ALLOWED, C.sql_vector(50, "chunk_id IN (SELECT chunk_id FROM allowed)", of_documents=False)) + "SELECT query_id, chunk_id, rank, round(distance, 6) AS distance FROM vector")
 def vector_postfilter(spark, sf_dir):
     ix = C.index(spark, sf_dir)
-    found = vector.search_vector(C.queries(spark, sf_dir), ix.vectors, fusion.candidates(K), ix.allowed(C.SEARCH_FILTERS))
+    found = vector.search_vector(C.vector_queries(spark, sf_dir), C.all_vectors(spark, sf_dir), fusion.candidates(K), ix.allowed(C.SEARCH_FILTERS))
     return found.select("query_id", "chunk_id", "rank", F.round("distance", 6).alias("distance"))
 
 
@@ -148,11 +150,11 @@ def missing_vectors(spark, sf_dir):
 
 
 @registered(
-    with_(C.sql_vector(10_000_000)) + "SELECT query_id, chunk_id, rank, round(1 - distance * distance / 2, 6) AS cosine FROM vector WHERE rank <= 100"
+    with_(C.sql_vector(10_000_000, of_documents=False)) + "SELECT query_id, chunk_id, rank, round(1 - distance * distance / 2, 6) AS cosine FROM vector WHERE rank <= 100"
 )
 def vector_cosine_ranks(spark, sf_dir):
     """Cosines of the nearest stored vectors by rank: of unit vectors they fall as ranks rise."""
-    near = vector.knn(C.queries(spark, sf_dir), C.vectors(spark, sf_dir), 100)
+    near = vector.knn(C.vector_queries(spark, sf_dir), C.all_vectors(spark, sf_dir), 100)
     return near.select("query_id", "chunk_id", "rank", F.round(1 - F.col("distance") ** 2 / 2, 6).alias("cosine"))
 
 
@@ -209,6 +211,21 @@ def eval_recall_mrr(spark, sf_dir):
     return s.select("cases", F.round("recall_at_k", 9).alias("recall_at_k"), F.round("mrr", 9).alias("mrr"), "failures")
 
 
+@registered(
+    with_(C.SQL_CORPUS, *LEXICAL, C.sql_lexical(150), C.sql_vector(150), C.SQL_FUSED)
+    + """SELECT count(*) AS cases, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 9) AS recall_at_k, round(avg(coalesce(1.0 / rank, 0)), 9) AS mrr,
+  CAST(sum(CASE WHEN rank <= 5 THEN 0 ELSE 1 END) AS BIGINT) AS failures
+FROM (SELECT q.doc_id, min(f.fused_rank) AS rank FROM (SELECT doc_id FROM documents WHERE doc_id % 20 = 0) q
+      LEFT JOIN fused f ON f.query_id = q.doc_id AND f.chunk_id = q.doc_id AND f.fused_rank <= 15 GROUP BY q.doc_id)"""
+)
+def eval_recall_mrr_hybrid(spark, sf_dir):
+    ix = C.index(spark, sf_dir)
+    asked = C.queries(spark, sf_dir).select("query_id", F.col("text").alias("question"), "embedding")
+    cases = asked.join(ix.documents.select(F.col("doc_id").alias("query_id"), F.col("path").alias("expected")), "query_id")
+    s = search.quality(ix, cases, K)["hybrid"]
+    return s.select("cases", F.round("recall_at_k", 9).alias("recall_at_k"), F.round("mrr", 9).alias("mrr"), "failures")
+
+
 # ---------------------------------------------------------------- incremental maintenance
 def _snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Two listings made of the corpus: what is labelled was there before, and what is not toxic is there now; German texts changed."""
@@ -367,9 +384,9 @@ def read_documents(spark, sf_dir):
 # ---------------------------------------------------------------- beyond SQL: held against fixtures and invariants in the tests
 @registered()
 def chunk_documents(spark, sf_dir):
-    @F.udf(T.ArrayType(T.StringType()), useArrow=True)
-    def parts(text):
-        return split_to_bound(text or "", 480)
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def parts(text: pd.Series) -> pd.Series:
+        return pd.Series([split_to_bound(t or "", 480) for t in text])
 
     return C.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(parts("text")).alias("position", "content"))
 
@@ -382,32 +399,50 @@ def excerpts_of_results(spark, sf_dir):
 
 @registered()
 def match_centre(spark, sf_dir):
-    """Where in a query's own document the window of 120 lies that says most about its terms."""
+    """Where in a document the window of 120 lies that says most about the document's own terms."""
 
-    @F.udf("int", useArrow=True)
-    def centre(text, query):
-        return best_centre(locate(units(text or ""), [units(t) for t in tokenize_query(query)]), 120)
+    @F.pandas_udf("int")
+    def centre(text: pd.Series) -> pd.Series:
+        out = []
+        for t in text:
+            terms = Counter(units(x) for x in tokenize_query(t or ""))
+            out.append(best_centre(locate(units(t or ""), list(terms)), 120, terms))
+        return pd.Series(out, dtype="Int32")
 
-    d = C.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("content"))
-    return C.queries(spark, sf_dir).select("query_id", "text").join(d, "query_id").select("query_id", centre("content", "text").alias("centre"))
+    return C.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), centre("text").alias("centre"))
 
 
 @registered()
 def lead_excerpts(spark, sf_dir):
-    asked = C.queries(spark, sf_dir).select("query_id", "text")
-    d = C.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("content"))
-    return asked.join(d, "query_id").select("query_id", excerpts(F.col("content"), F.col("text"), F.lit(1)).alias("excerpt"))
+    d = C.table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("query_id"), excerpts(F.col("text"), F.col("text"), F.lit(1)).alias("excerpt"))
 
 
-@registered()
+#: Markdown flattened; fences aside, which the tables do not hold.
+SQL_FLAT = r"""flat AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^\s*#{1,6}\s')), ' '),
+  '[`*_>|]', ' ', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\s+', ' ', 'g'), '^ | $', '', 'g') AS flat FROM documents)"""
+
+
+@registered(with_(SQL_FLAT) + "SELECT doc_id, flat FROM flat")
 def flatten_markdown(spark, sf_dir):
-    @F.udf("string", useArrow=True)
-    def flat(text):
-        return flatten(text or "").text
+    @F.pandas_udf("string")
+    def flat(text: pd.Series) -> pd.Series:
+        return pd.Series([flatten(t or "").text for t in text])
 
     return C.table(spark, sf_dir, "documents").select("doc_id", flat("text").alias("flat"))
 
 
+@registered(
+    with_(SQL_FLAT, "cut AS (SELECT doc_id, flat, substr(flat, 1, 120) AS head, 121 - instr(reverse(substr(flat, 1, 120)), ' ') AS blank FROM flat)")
+    + """SELECT doc_id, CASE WHEN length(flat) <= 120 THEN flat WHEN contains(head, ' ') AND blank - 1 > 60 THEN substr(head, 1, blank - 1) || '…' ELSE head || '…' END AS excerpt FROM cut"""
+)
+def support_excerpts(spark, sf_dir):
+    """How a result that is not the lead one begins, of every document."""
+    d = C.table(spark, sf_dir, "documents")
+    return d.select("doc_id", excerpts(F.col("text"), F.lit("unused"), F.lit(2)).alias("excerpt"))
+
+
 @registered(r"SELECT doc_id, array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: length(x) > 0), lambda x: trim(x)), '|') AS headings FROM documents")
 def headings(spark, sf_dir):
     """Headings of texts whose every line is made one."""

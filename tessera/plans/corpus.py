@@ -1,21 +1,27 @@
 """The driver's tables seen as a document corpus, in DataFrames and in SQL.
 
 A row of ``documents`` is a document of one chunk; labels give its status, ``embeddings`` its vector.  Searches take as
-queries every document whose id is divisible by 20: its first six terms, and its vector where it has one.
+queries every document whose id is divisible by 20: its whole text, and its vector where it has one.  They run over an
+index that is stored once a table and application, under the warehouse.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import text as X
 from tessera.operators import lexical
 from tessera.operators.filters import Filters
 from tessera.plans.search import Index
 
 EXCLUDED = ("draft", "deprecated")
-QUERY_TERMS, QUERY_EVERY = 6, 20
+QUERY_EVERY = 20
+
+#: Stored tables of this process: (application, folder of tables, name) -> path.
+_STORED: dict[tuple[str, str, str], str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,14 +63,33 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, text, embedding (null where the document has none)."""
     d = table(spark, sf_dir, "documents").where(F.col("doc_id") % QUERY_EVERY == 0)
-    text = F.array_join(F.slice(X.query_terms(F.col("text")), 1, QUERY_TERMS), " ")
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    return d.select(F.col("doc_id").alias("query_id"), text.alias("text")).join(v, "query_id", "left")
+    return d.select(F.col("doc_id").alias("query_id"), "text").join(v, "query_id", "left")
+
+
+def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, embedding: every vector whose id is divisible by 20, with or without a document."""
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % QUERY_EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def all_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessera-index/{uuid.uuid4().hex}/{name}"
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
 
 
 def index(spark: SparkSession, sf_dir: str, by_line: bool = False, with_vectors: bool = True) -> Index:
-    own = line_chunks(spark, sf_dir) if by_line else chunks(spark, sf_dir)
-    return Index(documents(spark, sf_dir), own, lexical.postings(own), lexical.chunk_lengths(own), vectors(spark, sf_dir) if with_vectors else None)
+    own, kind = (line_chunks(spark, sf_dir), "lines") if by_line else (chunks(spark, sf_dir), "documents")
+    postings = stored(spark, sf_dir, f"{kind}-postings", lambda: lexical.with_frequency(lexical.postings(own)).repartitionByRange("term").sortWithinPartitions("term", "chunk_id"))
+    lengths = stored(spark, sf_dir, f"{kind}-lengths", lambda: lexical.chunk_lengths(own))
+    return Index(documents(spark, sf_dir), own, postings, lengths, vectors(spark, sf_dir) if with_vectors else None)
 
 
 #: Of the filtered searches.
@@ -95,7 +120,7 @@ stats AS (SELECT count(*) AS n, avg(n_tokens) AS average FROM lengths)"""
 
 SQL_WANTED = r"""wanted AS (
   SELECT query_id, lower(strip_accents(term)) AS term, count(*) AS times FROM (
-    SELECT doc_id AS query_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')[1:6]) AS term FROM documents WHERE doc_id % 20 = 0)
+    SELECT doc_id AS query_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS term FROM documents WHERE doc_id % 20 = 0)
   GROUP BY query_id, lower(strip_accents(term)))"""
 
 SQL_SCORED = """scored AS (
@@ -112,12 +137,13 @@ def sql_lexical(limit: int, where: str = "true", name: str = "lexical") -> str:
   WHERE rank <= {limit})"""
 
 
-def sql_vector(limit: int, where: str = "true", name: str = "vector") -> str:
-    """Four times the limit first, then the filter, then the limit."""
+def sql_vector(limit: int, where: str = "true", name: str = "vector", of_documents: bool = True) -> str:
+    """Four times the limit first, then the filter, then the limit; vectors of documents, or all."""
+    own = "vec_id IN (SELECT doc_id FROM documents)" if of_documents else "true"
     return f"""{name}_all AS (
   SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS distance
-  FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0 AND vec_id IN (SELECT doc_id FROM documents)) q
-  CROSS JOIN (SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)) v),
+  FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0 AND {own}) q
+  CROSS JOIN (SELECT * FROM embeddings WHERE {own}) v),
 {name}_near AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 10), chunk_id) AS near FROM {name}_all) WHERE near <= {4 * limit}),
 {name} AS (

@@ -66,15 +66,15 @@ class Transformed:
 def transform(files: DataFrame, config: Config, roots: tuple[str, ...] = ()) -> Transformed:
     """Accepted documents with their chunks, and for every other file why it was skipped.
 
-    Identifiers are hashes of the path, so they stay the same over passes; chunk ids add the position.
+    Identifiers are 64-bit hashes of the path, and of path and position, so they stay the same over passes.
     """
     good = files.where(F.col("error").isNull())
     meta = resolved(parsed(good, config), config.convention, roots)
     errors = F.when(F.col("parse_error").isNotNull(), F.array("parse_error")).when(F.size("errors") > 0, F.col("errors")).when(F.size("chunks") == 0, F.array(F.lit(NO_CONTENT)))
-    meta = meta.withColumn("errors", errors).withColumn("doc_id", F.xxhash64("path").bitwiseAND(F.lit((1 << 42) - 1)))
+    meta = meta.withColumn("errors", errors).withColumn("doc_id", F.xxhash64("path"))
     ok = meta.where(F.col("errors").isNull())
     documents = ok.select("doc_id", "path", "title", "summary", "type", "module", "status", "owner", "tags", "updated", "hash")
-    chunks = ok.select("doc_id", F.posexplode("chunks").alias("position", "c")).select((F.col("doc_id") * (1 << 20) + F.col("position")).alias("chunk_id"), "doc_id", "c.heading", "c.content", "position")
+    chunks = ok.select("doc_id", "path", F.posexplode("chunks").alias("position", "c")).select(F.xxhash64("path", "position").alias("chunk_id"), "doc_id", "c.heading", "c.content", "position")
     skipped = meta.where(F.col("errors").isNotNull()).select("path", "errors").unionByName(files.where(F.col("error").isNotNull()).select("path", F.array("error").alias("errors")))
     notices = good.where(F.col("encoding") != "utf-8").select("path", "encoding")
     return Transformed(documents, chunks, skipped, notices)

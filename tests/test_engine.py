@@ -5,6 +5,7 @@ import sqlite3
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import cli
 from tessera.engine import Engine, concept_embeddings
@@ -50,7 +51,7 @@ def test_rebuild_search_read(spark, project):
     assert all(r["path"] != "guides/old.md" for r in found["results"])
     everything = json.loads(engine.search_docs("restoring", include_excluded=True, lexical=True))
     assert {r["path"] for r in everything["results"]} == {"guides/backup.md", "guides/old.md"}
-    assert "no document has type" in json.loads(engine.search_docs("restoring", type="adr", lexical=True))["noMatchReason"]
+    assert json.loads(engine.search_docs("restoring", type="adr", lexical=True))["noMatchReason"].startswith('type: "adr" is not in use')
     assert engine.read_doc("docs/guides/backup.md").count("# Backup") == 1
     assert "tape" in engine.read_doc("guides/backup.md", "réstore")
     assert "Available sections" in engine.read_doc("api.md", "zzz") and "Closest paths" in engine.read_doc("apis.md")
@@ -137,6 +138,15 @@ def test_fusion_ties_cap_and_limit(spark):
     assert [r.chunk_id for r in capped.orderBy("rank").collect()] == [3, 1]
 
 
+def test_many_equal_vectors_give_k_rows(spark):
+    """A vector that very many rows share: no more than k rows a query and block leave the scan, by the smallest ids."""
+    vectors = spark.range(5000).select(F.col("id").alias("chunk_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    q = spark.range(3).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.5)).alias("embedding"))
+    found = vector.knn(q, vectors, 4)
+    assert sorted((r.query_id, r.chunk_id, r["rank"]) for r in found.collect()) == [(i, c, c + 1) for i in range(3) for c in range(4)]
+    assert vector.knn(q, vectors.limit(0), 4).count() == vector.knn(q.limit(0), vectors, 4).count() == 0
+
+
 def test_postfilter_may_underfill(spark):
     vectors = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(20)] + [(99, None)], "chunk_id long, embedding array<float>")
     q = spark.createDataFrame([(0, [0.0, 0.0]), (1, None)], "query_id long, embedding array<float>")

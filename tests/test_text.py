@@ -1,3 +1,7 @@
+import math
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +172,25 @@ def test_excerpts():
     assert excerpt.locate("ÁáA", ["a"]) == [(0, 1, "a"), (1, 2, "a"), (2, 3, "a")]
     assert excerpt.best_centre([], 10) is None
     assert excerpt.best_centre([(0, 3, "the"), (100, 103, "the"), (110, 116, "zebra")], 50) == 108
+
+
+def test_windows_against_every_window():
+    """The best centre against a search through all windows; repeated query terms count like repeated spans."""
+    rng = random.Random(9)
+    for _ in range(200):
+        terms = ["a", "bb", "ccc", "dddd"]
+        times = {t: rng.randint(1, 3) for t in terms}
+        spans = sorted({(p, p + len(t), t) for t in terms for p in rng.sample(range(80), rng.randint(0, 5))})
+        budget = rng.randint(4, 40)
+        every = sorted([s for s in spans for _ in range(times[s[2]])], key=lambda s: s[:2])
+        count = Counter(s[2] for s in every)
+        best = None
+        for right in range(len(every)):
+            reach = max(s[1] for s in every[: right + 1])
+            left = next(i for i in range(right + 1) if every[i][0] >= reach - budget or i == right)
+            own = {s[2] for s in every[left : right + 1]}
+            key = (-round(sum(math.log(1 + len(every) / count[t]) for t in own), 9), -sum(map(len, own)), every[left][0])
+            if best is None or key < best[0]:
+                best = (key, (every[left][0] + every[right][1]) // 2)
+        got = excerpt.best_centre(spans, budget, times)
+        assert got == excerpt.best_centre(every, budget) == (best and best[1])
