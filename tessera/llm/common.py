@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once by the numpy kernels; bounds their scratch memory (about 100 bytes a text byte).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 _U = np.uint64
 _MULT = 0x9E3779B97F4A7C15 | 1
