@@ -164,7 +164,9 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, slack: fl
             if inverse.sum(0) @ column <= 1 + slack / 2:  # earlier columns of this turn may have changed the worths
                 continue
             step = inverse @ column
-            rising = step > 1e-9
+            rising = step > 1e-7
+            if not rising.any():
+                continue
             r = int(np.argmin(np.where(rising, x / np.where(rising, step, 1), np.inf)))
             basis[:, r] = column
             inverse[r] /= step[r]
@@ -176,7 +178,11 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, slack: fl
             if done % 200 == 0:
                 inverse = np.linalg.inv(basis)
                 x = np.maximum(inverse @ need, 0)
-    x = np.maximum(np.linalg.inv(basis) @ need, 0)
+    x = np.linalg.solve(basis, need)
+    if not (np.isfinite(x).all() and x.min() > -1e-6 and np.allclose(basis @ x, need)):  # a basis that rounding has spoilt
+        basis = first_basis(size, need, capacity)
+        x = np.linalg.solve(basis, need)
+    x = np.maximum(x, 0)
     times = np.floor(x + 1e-7).astype(np.int64)
     left = need - basis @ times
     for j in np.argsort(times - x):
