@@ -131,6 +131,25 @@ def first_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> np.ndar
     return basis
 
 
+def inverted(basis: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row pivots, element by element: threaded matrix libraries stall in a driver beside a busy JVM."""
+    n = len(basis)
+    a = np.concatenate([basis, np.eye(n)], 1)
+    for k in range(n):
+        r = k + int(np.abs(a[k:, k]).argmax())
+        if r != k:
+            a[[k, r]] = a[[r, k]]
+        a[k] /= a[k, k]
+        rows = np.flatnonzero(a[:, k])
+        rows = rows[rows != k]
+        a[rows] -= a[rows, k][:, None] * a[k]
+    return a[:, n:]
+
+
+def times_vector(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return (matrix * vector).sum(1)
+
+
 def configurations(sizes: list[int], demand: list[int], capacity: int, slack: float = SLACK, pivots: int = PIVOTS) -> list[tuple[list[int], int]]:
     """(pattern, how often) of the cutting-stock program over sizes in falling order.
 
@@ -142,8 +161,8 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, slack: fl
         return []
     size, need = np.array(sizes), np.array(demand, float)
     basis = first_basis(size, need, capacity)
-    inverse = np.linalg.inv(basis)
-    x, done, moved = inverse @ need, 0, True
+    inverse = inverted(basis)
+    x, done, moved = times_vector(inverse, need), 0, True
     while moved and done < pivots:
         worth, moved = inverse.sum(0), False
         best, pick = knapsack(size, worth, capacity)
@@ -161,9 +180,9 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, slack: fl
                 else:
                     column[pick[room]] += 1
                     room -= size[pick[room]]
-            if inverse.sum(0) @ column <= 1 + slack / 2:  # earlier columns of this turn may have changed the worths
+            if (inverse.sum(0) * column).sum() <= 1 + slack / 2:  # earlier columns of this turn may have changed the worths
                 continue
-            step = inverse @ column
+            step = times_vector(inverse, column)
             rising = step > 1e-7
             if not rising.any():
                 continue
@@ -171,20 +190,19 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, slack: fl
             basis[:, r] = column
             inverse[r] /= step[r]
             step[r] = 0
-            x[r] = max(inverse[r] @ need, 0)
+            x[r] = max((inverse[r] * need).sum(), 0)
             inverse -= np.outer(step, inverse[r])
             done, moved = done + 1, True
-            x = np.maximum(inverse @ need, 0)
-            if done % 200 == 0:
-                inverse = np.linalg.inv(basis)
-                x = np.maximum(inverse @ need, 0)
-    x = np.linalg.solve(basis, need)
-    if not (np.isfinite(x).all() and x.min() > -1e-6 and np.allclose(basis @ x, need)):  # a basis that rounding has spoilt
+            if done % 1000 == 0:
+                inverse = inverted(basis)
+            x = np.maximum(times_vector(inverse, need), 0)
+    x = times_vector(inverted(basis), need)
+    if not (np.isfinite(x).all() and x.min() > -1e-6 and np.allclose(times_vector(basis, x), need)):  # a basis that rounding has spoilt
         basis = first_basis(size, need, capacity)
-        x = np.linalg.solve(basis, need)
+        x = times_vector(inverted(basis), need)
     x = np.maximum(x, 0)
     times = np.floor(x + 1e-7).astype(np.int64)
-    left = need - basis @ times
+    left = need - times_vector(basis, times)
     for j in np.argsort(times - x):
         if basis[:, j].any() and x[j] > 1e-7 and (left >= basis[:, j] - 1e-7).all():
             times[j] += 1
