@@ -8,6 +8,7 @@ over random byte values, mixed at the end; they depend on the string alone, so t
 from __future__ import annotations
 
 import functools
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -49,10 +50,19 @@ def release(spark: SparkSession) -> None:
     """Removes all scratch tables and folders that this process has written; call it when their results are consumed."""
     while _TABLES:
         spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
-    jvm = spark.sparkContext._jvm
     while _FOLDERS:
-        path = jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, _FOLDERS.pop())
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def let_shuffles_go(spark: SparkSession) -> None:
+    """Spark removes a shuffle's files when the driver's garbage collector finds that nothing refers to it any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -189,10 +199,9 @@ def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts = np.flatnonzero(edge)
     stop = ~w
     stop[cuts] = True
-    stop[n] = True
-    stops = np.flatnonzero(stop)
-    ends = stops[np.searchsorted(stops, starts, "right")] if len(starts) else starts
-    return starts, ends, np.searchsorted(off[1:], starts, "right")
+    stop[1:] &= w[:-1]
+    stop[0] = False
+    return starts, np.flatnonzero(stop), np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(starts, off)))
 
 
 def lower_ascii(buf: np.ndarray) -> np.ndarray:

@@ -41,14 +41,19 @@ ROUNDS, PART_TOKENS, PART_SHARE = 8, 1 << 20, 16
 TABLE = 1 << 10
 #: Rows of a parameter that travel together when copies are averaged.
 SLICE = 1 << 15
-#: Scores of outputs held at once while probabilities are normalised.
-SCORES = 1 << 17
+#: Scores of outputs held at once while probabilities are normalised; tokens of one class that are scored together.
+SCORES, LANES = 1 << 17, 32
+#: Scores between which their exponentials are summed as they are.
+PLAIN = 80
 
 _U = np.uint64
 END_HASH = _U(0x1D8E4E27C47D124F)
 
 
 # ---------------------------------------------------------------- tokens
+_SIZES = np.digitize(np.arange(11), (4, 7, 10)) * 16
+
+
 def tokens(buf: np.ndarray, off: np.ndarray):
     """Hash, bucket and document row of every word of a block."""
     buf = C.lower_ascii(buf)
@@ -62,7 +67,7 @@ def tokens(buf: np.ndarray, off: np.ndarray):
     size = end - start
     last = letter[end - 1]
     tail = np.where(last | (size == 1), buf[end - 1], buf[np.maximum(end - 2, start)])  # last byte but for one mark
-    bucket = np.digitize(size, (4, 7, 10)) * 16 + (beyond[end] > beyond[start]) * 8 + last * 4 + (tail >> 1 & 3)
+    bucket = _SIZES[np.minimum(size, 10)] + (beyond[end] > beyond[start]) * 8 + last * 4 + (tail >> 1 & 3)
     return h, bucket.astype(np.int64), doc
 
 
@@ -151,15 +156,25 @@ class Vocabulary:
         self.h, self.c = h, c
         self.size = len(h)
         order = np.argsort(h)
-        self.sorted, self.id_of = h[order], order
+        self.sorted, self.id_of, self.starts = h[order], order, None
         self.end = int(np.flatnonzero(h == END_HASH)[0]) if len(h) else 0
         self.unigram = np.concatenate([c + 1.0, self.bucket_sums]) if len(h) else self.bucket_sums
         self.unigram = self.unigram / self.unigram.sum()
 
     def ids(self, h: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Looked up from where the hashes of one's leading bits start: hashes are spread evenly, so few steps are left."""
         if not self.size:
             return bucket
-        at = np.minimum(np.searchsorted(self.sorted, h), self.size - 1)
+        bits = self.size.bit_length() + 2
+        if self.starts is None:
+            self.starts = np.append(0, np.cumsum(np.bincount(self.sorted >> _U(64 - bits), minlength=1 << bits))).astype(np.int32)
+        at = np.minimum(self.starts[h >> _U(64 - bits)], self.size - 1)
+        behind = np.flatnonzero(self.sorted[at] < h)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[at[behind] < self.size - 1]
+            behind = behind[self.sorted[at[behind]] < h[behind]]
+        at = np.minimum(at, self.size - 1)
         return np.where(self.sorted[at] == h, self.id_of[at], self.size + bucket)
 
     def stream(self, h: np.ndarray, bucket: np.ndarray, doc: np.ndarray, docs: int):
@@ -214,10 +229,19 @@ class LogBilinear:
         return self
 
     def predict(self, context: np.ndarray) -> np.ndarray:
-        q = np.take(self.p["Q"], context[:, 0], axis=0) * self.p["P"][0]
+        return self.predicted(context, *running(context))[0]
+
+    def predicted(self, context: np.ndarray, line: np.ndarray, odd: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Predictions, and the inputs of the line: a token's input is read once, though it is context of CONTEXT others."""
+        Q, P, n = self.p["Q"], self.p["P"], len(context)
+        inputs = np.take(Q, line, axis=0)
+        q = inputs[CONTEXT - 1 :] * P[0]
         for j in range(1, CONTEXT):
-            q += np.take(self.p["Q"], context[:, j], axis=0) * self.p["P"][j]
-        return q
+            q += inputs[CONTEXT - 1 - j : CONTEXT - 1 - j + n] * P[j]
+        some = np.unique(np.concatenate(odd))
+        if len(some):
+            q[some] = sum(np.take(Q, context[some, j], axis=0) * P[j] for j in range(CONTEXT))
+        return q, inputs
 
     def trainer(self):
         """step(context, target): one noise-contrastive step, each row's step scaled by its past gradients.
@@ -261,14 +285,15 @@ class LogBilinear:
             wrong = tables[k][(right // self.per)[:, None], rng.integers(0, TABLE, (len(right), NOISE))]
             at = np.concatenate([right[:, None], wrong], 1)
             vec = np.take(self.p[k], at, axis=0)
-            g = sigmoid(np.einsum("bd,bkd->bk", q, vec) + np.take(self.p[k.lower()] - log_noise[k], at))
+            g = sigmoid(np.einsum("bd,bkd->bk", q, vec) + (np.take(self.p[k.lower()], at) - np.take(log_noise[k], at)))
             g[:, 0] -= 1
             g *= share
             return np.einsum("bk,bkd->bd", g, vec), at.reshape(-1), (g[:, :, None] * q[:, None, :]).reshape(-1, q.shape[1]), g.reshape(-1)
 
         def step(context: np.ndarray, target: np.ndarray) -> None:
             share = np.float32(1 / len(target))
-            q = self.predict(context)
+            line, odd = running(context)
+            q, inputs = self.predicted(context, line, odd)
             word = self.rank[target]
             cls = word // self.per
             top = cls // self.per
@@ -283,8 +308,19 @@ class LogBilinear:
                 more, *rest = contrast(q, k, right, share)
                 back += more
                 moves.append((k, *rest))
-            position = np.stack([np.einsum("bd,bd->d", back, np.take(self.p["Q"], context[:, j], axis=0)) for j in range(CONTEXT)])
-            rows("Q", None, context.T.reshape(-1), np.concatenate([back * self.p["P"][j] for j in range(CONTEXT)]))
+            position, n = np.empty_like(self.p["P"]), len(target)
+            ids, parts = [line], [np.zeros_like(inputs)]
+            for j in range(CONTEXT):  # steps of a token's input are summed along the line before they are summed by token
+                own, g = slice(CONTEXT - 1 - j, CONTEXT - 1 - j + n), back * self.p["P"][j]
+                position[j] = np.einsum("bd,bd->d", back, inputs[own])
+                if len(odd[j]):
+                    at = context[odd[j], j]
+                    position[j] += np.einsum("bd,bd->d", back[odd[j]], np.take(self.p["Q"], at, axis=0) - inputs[own][odd[j]])
+                    ids.append(at)
+                    parts.append(g[odd[j]])
+                    g[odd[j]] = 0
+                parts[0][own] += g
+            rows("Q", None, np.concatenate(ids), np.concatenate(parts))
             move("P", slice(None), position)
             for k, at, g, gb in moves:
                 rows(k, k.lower(), at, g, gb)
@@ -294,14 +330,22 @@ class LogBilinear:
     def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Normalised natural log-probability of every target: at each level, a matrix product over all alternatives."""
         word = self.rank[target]
-        order = np.argsort(word // self.per, kind="stable")  # what shares a class, and a group of classes, lies together
+        cls = word // self.per
+        few = len(self.p["S"]) <= 1 << 16
+        order = np.argsort(cls.astype(np.uint16) if few else cls, kind="stable")  # what shares a class, and a group of classes, lies together
         word = word[order]
-        q = np.ascontiguousarray(self.predict(context[order]).T)
+        rows = np.take(self.predict(context), order, axis=0)
+        q = np.ascontiguousarray(rows.T)
         out = np.zeros(len(word))
         for k, own in (("T", word // self.per**2), ("S", word // self.per), ("R", word)):
             parent = own // self.per if k != "T" else np.zeros(len(own), np.int64)
             cut = np.flatnonzero(np.append(True, parent[1:] != parent[:-1])) if len(own) else own
-            for a, b in zip(cut, np.append(cut[1:], len(own)), strict=True):
+            end = np.append(cut[1:], len(own))
+            if k == "R":  # very many small groups of alternatives: all but the last, which may be shorter, go together
+                whole = parent[cut] < len(self.p["R"]) // self.per
+                self.tiled(rows, word, cut[whole], end[whole], out)
+                cut, end = cut[~whole], end[~whole]
+            for a, b in zip(cut, end, strict=True):
                 lo = int(parent[a]) * self.per if k != "T" else 0
                 hi = lo + self.per if k != "T" else len(self.p["T"])
                 W, w = self.p[k][lo:hi], self.p[k.lower()][lo:hi, None]
@@ -310,21 +354,50 @@ class LogBilinear:
                     j = min(b, i + step)
                     z = W @ q[:, i:j] + w
                     mine = z[own[i:j] - lo, np.arange(j - i)].astype(np.float64)
-                    out[i:j] += mine - log_sum(z)
+                    out[i:j] += mine - log_sum(z, 0)
         back = np.empty(len(out))
         back[order] = out
         return back
 
+    def tiled(self, q: np.ndarray, word: np.ndarray, cut: np.ndarray, end: np.ndarray, out: np.ndarray) -> None:
+        """Adds to out what tokens lack within their class: runs of one class in tiles of LANES tokens, many products at once."""
+        per, count = self.per, -(-(end - cut) // LANES)
+        at = np.repeat(cut, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * LANES
+        size, cls = np.minimum(np.repeat(end, count) - at, LANES), np.repeat(word[cut] // per, count)
+        W = self.p["R"][: len(self.p["R"]) // per * per].reshape(-1, per, WIDTH)
+        w = self.p["r"][: len(W) * per].reshape(-1, per, 1)
+        lane = np.arange(LANES)
+        step = max(1, SCORES // (per * LANES))
+        for i in range(0, len(at), step):
+            j = min(len(at), i + step)
+            there = np.minimum(at[i:j, None] + lane, len(word) - 1)  # lanes beyond a tile's size are not read
+            z = np.matmul(W[cls[i:j]], np.take(q, there, axis=0).transpose(0, 2, 1))
+            z += w[cls[i:j]]
+            used = np.flatnonzero((lane < size[i:j, None]).reshape(-1))
+            own = there.reshape(-1)[used]
+            tile, place = used // LANES, used % LANES
+            mine = z[tile, word[own] - cls[i + tile] * per, place].astype(np.float64)
+            out[own] += mine - log_sum(z, 1).reshape(-1)[used]
+
+
+def running(context: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The line of tokens that contexts slide over, and for each position the rows whose context differs from it (starts of texts)."""
+    n = len(context)
+    line = np.concatenate([context[0, :0:-1], context[:, 0]]) if n else np.zeros(CONTEXT - 1, np.int64)
+    return line, [np.flatnonzero(context[:, j] != line[CONTEXT - 1 - j : CONTEXT - 1 - j + n]) for j in range(CONTEXT)]
+
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def log_sum(z: np.ndarray) -> np.ndarray:
-    """Log of the summed exponentials of every column; z is overwritten."""
-    top = z.max(0)
+def log_sum(z: np.ndarray, axis: int) -> np.ndarray:
+    """Log of the summed exponentials along an axis; z is overwritten."""
+    if z.size and z.max() < PLAIN and z.min() > -PLAIN:
+        return np.log(np.exp(z, out=z).sum(axis))
+    top = z.max(axis, keepdims=True)
     z -= top
-    return top + np.log(np.exp(z, out=z).sum(0))
+    return top.squeeze(axis) + np.log(np.exp(z, out=z).sum(axis))
 
 
 def schedule(tokens: int, outputs: int) -> tuple[int, int]:
@@ -355,6 +428,10 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, batch: int = BATCH) -> tupl
         # a part is one task's, in an order of its own
         dealt = texts.repartitionById(parts, F.pmod("part", F.lit(parts))).sortWithinPartitions("h", "doc_id", "text").select(F.col("part").cast("long"), "text")
         state = averaged(dealt, vocabulary, state, batch) or state
+        del texts, dealt  # the round is over: its texts and shuffles are read no more
+        C.delete(spark, f"{path}/round={k}")
+        C.let_shuffles_go(spark)
+    C.delete(spark, path)
     return state
 
 
@@ -484,8 +561,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
                     target, context, row = vocabulary.stream(h, bucket, doc, j - i)
                     logp = model.log_prob(context, target) / np.log(10) - share[target]
                     by = lambda x: np.bincount(row, x, minlength=j - i)  # noqa: B023, E731
-                    word_ids = vocabulary.ids(h, bucket)
-                    rare = word_ids >= vocabulary.size
+                    ends = np.cumsum(np.bincount(doc, minlength=j - i) + 1) - 1
+                    rare = np.delete(target, ends) >= vocabulary.size
                     g, d = h[rare], doc[rare]
                     order = np.argsort(g, kind="stable")  # rows rise within a word
                     g, d = g[order], d[order]

@@ -577,6 +577,66 @@ def test_op8_probabilities_sum_to_one():
     assert abs(np.exp(model.log_prob(context, np.arange(130))).sum() - 1) < 1e-4
 
 
+def small_stream(rng, words, texts):
+    """A vocabulary of all words, and the ids and contexts of random texts, some of them empty."""
+    lines = [" ".join(f"w{min(int(x), words - 1)}" for x in rng.pareto(0.4, rng.integers(0, 30))) for _ in range(texts)]
+    every = " ".join(f"w{i}" for i in range(words))
+    h, bucket, _ = lm.tokens(*C.text_block(pa.array([every])))
+    h, bucket, n = np.append(h, lm.END_HASH), np.append(bucket, 0), np.append(np.arange(words, 0, -1) + lm.MIN_COUNT, texts)
+    order = np.argsort(h)
+    blob = C.pack(h[order], n[order].astype(np.int64), bucket[order].astype(np.uint8))
+    vocabulary = lm.Vocabulary([{"n": int(n.sum()), "v": len(h), "sums": [1.0] * lm.BUCKETS, "top": blob}])
+    return vocabulary, vocabulary.stream(*lm.tokens(*C.text_block(pa.array(lines))), texts)
+
+
+def test_op8_ids_by_leading_bits():
+    rng = np.random.default_rng(4)
+    vocabulary, _ = small_stream(rng, 3000, 1)
+    edges = np.array([0, 1, 2**63, 2**64 - 1], np.uint64)
+    h = np.concatenate([vocabulary.h, vocabulary.h + np.uint64(1), vocabulary.h - np.uint64(1), edges, rng.integers(0, 2**64, 5000, np.uint64)])
+    own = {int(x): i for i, x in enumerate(vocabulary.h)}
+    assert vocabulary.ids(h, np.full(len(h), 7)).tolist() == [own.get(int(x), vocabulary.size + 7) for x in h]
+
+
+def test_op8_classes_are_scored_together(monkeypatch):
+    """Few sums of scores whatever the number of classes, and each token's probability as a slow reading of the tree has it, also for scores out of range."""
+    rng = np.random.default_rng(5)
+    vocabulary, (target, context, _) = small_stream(rng, 3000, 300)
+    model = lm.LogBilinear(vocabulary.unigram)
+    calls, log_sum = [], lm.log_sum
+    monkeypatch.setattr(lm, "log_sum", lambda *a: calls.append(1) or log_sum(*a))
+    for scale in (1, 40):
+        for k in "QTSR":
+            model.p[k] = rng.normal(0, scale, model.p[k].shape).astype(np.float32)
+        calls.clear()
+        got = model.log_prob(context, target)
+        assert len(calls) < len(model.p["S"]) / 2 and len(model.p["S"]) > 200
+        p, per = {k: v.astype(float) for k, v in model.p.items()}, model.per
+        q = sum(p["Q"][context[:, j]] * p["P"][j] for j in range(lm.CONTEXT))
+        for i in range(0, len(target), 7):
+            r, want = int(model.rank[target[i]]), 0.0
+            for k, lo, own in (("T", 0, r // per**2), ("S", r // per**2 * per, r // per), ("R", r // per * per, r)):
+                z = p[k][lo : lo + (per if k != "T" else len(p["T"]))] @ q[i] + p[k.lower()][lo : lo + (per if k != "T" else len(p["T"]))]
+                want += z[own - lo] - z.max() - np.log(np.exp(z - z.max()).sum())
+            assert math.isclose(got[i], want, rel_tol=1e-4, abs_tol=1e-4), (scale, i)
+
+
+def test_op8_steps_along_the_line(monkeypatch):
+    """Reading and moving a token's input once a step agrees with doing so for every context it is in."""
+    rng = np.random.default_rng(6)
+    vocabulary, (target, context, _) = small_stream(rng, 400, 60)
+    states = []
+    for each in (False, True):
+        if each:
+            monkeypatch.setattr(lm, "running", lambda c, f=lm.running: (f(c)[0], [np.arange(len(c))] * lm.CONTEXT))
+        model = lm.LogBilinear(vocabulary.unigram)
+        step = model.trainer()
+        for lo in range(0, len(target), 100):
+            step(context[lo : lo + 100], target[lo : lo + 100])
+        states.append(model.p)
+    assert all(np.allclose(states[0][k], states[1][k], rtol=1e-4, atol=1e-5) for k in states[0])
+
+
 def test_op8_layout_has_no_say(spark, monkeypatch):
     rng = random.Random(8)
     docs = frame(spark, [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(200))) for i in range(140)])
@@ -626,6 +686,21 @@ def test_op8_score_is_the_models(spark, monkeypatch):
         assert math.isclose(got[i], total / math.log(10), rel_tol=1e-4, abs_tol=1e-4), i
 
 
+def test_op8_texts_of_rounds_are_removed(spark, monkeypatch):
+    docs = frame(spark, [(i, f"w{i % 9} w{i % 5}") for i in range(80)]).select("doc_id", "text")
+    vocabulary = lm.Vocabulary(lm.word_counts(docs, 3).toLocalIterator())
+    paths, left, scratch, averaged = [], [], C.scratch, lm.averaged
+
+    def counted(texts, *rest):
+        left.append(sum(x.startswith("round=") for x in os.listdir(paths[0])))
+        return averaged(texts, *rest)
+
+    monkeypatch.setattr(lm, "schedule", lambda n, v: (4, 2))
+    monkeypatch.setattr(C, "scratch", lambda *a: paths.append(scratch(*a).removeprefix("file:")) or paths[-1])
+    monkeypatch.setattr(lm, "averaged", counted)
+    assert lm.trained(docs, vocabulary) and left == [4, 3, 2, 1] and not os.path.exists(paths[0])
+
+
 @data
 def test_op8_rounds_of_averaging_keep_what_is_learnt(spark, monkeypatch):
     """Held-out bits a token with 32 parts a round within 2 % of one part."""
