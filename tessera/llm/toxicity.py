@@ -156,7 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, toxic: int = SAMPLE_T
     said = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learn).groupBy(F.col("doc_id").cast("long").alias("chosen")).agg(F.max("toxic").cast("int").alias("toxic"))
     pick = lambda y, n: said.where(F.col("toxic") == y).orderBy(F.xxhash64("chosen"), "chosen").limit(n)
     chosen = pick(1, toxic).unionByName(pick(0, clean))  # at most toxic + clean rows of two numbers
-    texts = docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("chosen")).groupBy("chosen", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("chosen"), "text")
+    texts = own.join(F.broadcast(chosen), "chosen").groupBy("chosen", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
