@@ -84,10 +84,10 @@ class Machine:
         n, positive = len(texts), int(toxic.sum())
         base = (positive + 0.5) / (n + 2)
         self.b = float(np.log(base / (1 - base)))
-        sizes = np.array([len(t) for t in texts], np.int64)
-        every = np.concatenate(texts).astype(np.int64) if n else np.zeros(0, np.int64)
-        seen = np.bincount(every, minlength=SLOTS)
-        bad = np.bincount(every, np.repeat(toxic, sizes), minlength=SLOTS)
+        seen, bad = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        for t, y in zip(texts, toxic.tolist(), strict=True):  # text by text: its slots are distinct
+            seen[t] += 1
+            bad[t] += y
         share = positive / max(n, 1)
         z = np.abs(bad - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
         learnt = np.flatnonzero((seen >= LEAST_TEXTS) & (z >= LEAST_Z))
@@ -97,9 +97,9 @@ class Machine:
         self.w = np.zeros(len(learnt), np.float32)
         self.v = np.zeros((len(learnt), RANK), np.float32)
         if 0 < positive < n and len(learnt):
-            place = column[every]
-            row = np.repeat(np.arange(n), sizes)[place >= 0]
-            self._fit(place[place >= 0], np.searchsorted(row, np.arange(n + 1)), toxic.astype(np.float32), -(-steps * BATCH // n))
+            places = [p[p >= 0] for p in (column[t] for t in texts)]
+            cut = np.append(0, np.cumsum([len(p) for p in places]))
+            self._fit(np.concatenate(places), cut, toxic.astype(np.float32), -(-steps * BATCH // n))
         kept = (self.w != 0) | (self.v != 0).any(1)
         self.column = np.full(SLOTS, -1, np.int32)
         self.column[learnt[kept]] = np.arange(kept.sum())
