@@ -62,6 +62,14 @@ class Facets:
         row = facets(documents).first()
         return cls(*(tuple(row[c]) for c in ("types", "modules", "tags", "statuses")))
 
+    @classmethod
+    def of_counts(cls, counts: DataFrame) -> Facets:
+        """From counts (field, value, n) kept beside the documents, as many rows as there are values."""
+        found: dict[str, list[str]] = {}
+        for r in counts.where(F.col("field").isin("type", "module", "tag", "status")).orderBy("value").collect():
+            found.setdefault(r["field"], []).append(r["value"])
+        return cls(*(tuple(found.get(f, ())) for f in ("type", "module", "tag", "status")))
+
 
 def without_impossible(filters: Filters, known: Facets) -> tuple[Filters, list[str]]:
     """Filters without those on fields that no document declares, and the names of these."""

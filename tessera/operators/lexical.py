@@ -1,7 +1,21 @@
-"""The inverted index as tables, and BM25 over a batch of queries."""
+"""The inverted index as blocks of postings, and exact BM25 over a batch of queries.
+
+Chunks are dealt to parts by a hash of their document.  A block is a row: the postings of one term in one part, packed into
+arrays, with what bounds every score in it (the greatest frequency, the least length).  Nothing in a block depends on other
+chunks, so blocks of changed documents can be added and withdrawn; document frequencies are sums over blocks.
+
+A term's contribution to a score is rounded to a whole number of units once, and units are added: the sum is the same in any
+order, on any number of tasks, and ties are ties.
+"""
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,56 +23,118 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
-#: Ranks compare scores to so many places, since sums in another order differ beyond.
-PLACES = 10
+#: Units of a score.
+UNIT = 10**8
+#: Chunks of a part on average; indexes of at most SINGLE parts are scored in one round.
+PART_CHUNKS, SINGLE = 4096, 8
+#: Queries that are scored over a part together.
+QUERY_BLOCK = 512
+
+BLOCKS = "part int, term string, gen long, n long, chunk_ids array<long>, tfs array<int>, lengths array<int>, most int, least int"
+#: Sums over chunks: how many, and their tokens.
+TOTALS = "part int, gen long, n_chunks long, n_tokens long"
+
+
+# ---------------------------------------------------------------- the index
+def parts_of(n_chunks: int, of_chunks: int = PART_CHUNKS) -> int:
+    return max(1, math.ceil(n_chunks / of_chunks))
+
+
+def part_of(doc_id: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id.cast("long")), F.lit(parts)).cast("int")
+
+
+def _tokens(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("terms", X.index_terms(F.concat_ws("\n", "content", "heading")))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
     """(term, chunk_id, tf) over heading and content; counted within a chunk, so no shuffle on terms."""
-    terms = X.index_terms(F.concat_ws("\n", "content", "heading"))
-    return chunks.select("chunk_id", F.explode(terms).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf")
+    terms = _tokens(chunks)
+    return terms.select("chunk_id", F.explode("terms").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf")
 
 
-def chunk_lengths(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", F.size(X.index_terms(F.concat_ws("\n", "content", "heading"))).alias("n_tokens"))
+def blocks(chunks: DataFrame, parts: int, gen: int = 0) -> DataFrame:
+    """Blocks of chunks (chunk_id, doc_id, heading, content).  Texts are dealt by part once; all counting is within parts."""
+    own = chunks.select("chunk_id", part_of(F.col("doc_id"), parts).alias("part"), "content", "heading").repartition(parts, "part")
+    terms = _tokens(own).select("part", "chunk_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    counted = terms.groupBy("part", "chunk_id", "length", "term").agg(F.count("*").cast("int").alias("tf"))
+    packed = counted.groupBy("part", "term").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "tf", "length"))).alias("p"))  # a part's chunks at most
+    return packed.select(
+        "part",
+        "term",
+        F.lit(gen).cast("long").alias("gen"),
+        F.size("p").cast("long").alias("n"),
+        F.col("p.chunk_id").alias("chunk_ids"),
+        F.col("p.tf").alias("tfs"),
+        F.col("p.length").alias("lengths"),
+        F.array_max("p.tf").alias("most"),
+        F.array_min("p.length").alias("least"),
+    )
 
 
-def corpus_stats(lengths: DataFrame) -> DataFrame:
-    """One row: n_chunks, avg_len.  Always of the whole corpus, whatever a search filters."""
-    return lengths.agg(F.count("*").alias("n_chunks"), F.avg("n_tokens").alias("avg_len"))
+def totals(chunks: DataFrame, parts: int, gen: int = 0) -> DataFrame:
+    length = F.size(X.index_terms(F.concat_ws("\n", "content", "heading")))
+    own = chunks.select(part_of(F.col("doc_id"), parts).alias("part"), length.cast("long").alias("n_tokens"))
+    return own.groupBy("part").agg(F.count("*").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens")).select("part", F.lit(gen).cast("long").alias("gen"), "n_chunks", "n_tokens")
 
 
-def document_frequency(index: DataFrame) -> DataFrame:
-    return index.groupBy("term").agg(F.count("*").alias("df"))
+def withdrawn(chunks: DataFrame, parts: int, gen: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks and totals that take chunks out of the sums again; the chunks' postings are told apart by their generation."""
+    terms = postings(chunks).join(chunks.select("chunk_id", "doc_id"), "chunk_id").groupBy(part_of(F.col("doc_id"), parts).alias("part"), "term").agg(F.count("*").alias("n"))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    minus = terms.select("part", "term", F.lit(gen).cast("long").alias("gen"), (-F.col("n")).alias("n"), none("long").alias("chunk_ids"), none("int").alias("tfs"), none("int").alias("lengths"), F.lit(0).alias("most"), F.lit(1).alias("least"))
+    sums = totals(chunks, parts, gen)
+    return minus, sums.select("part", "gen", (-F.col("n_chunks")).alias("n_chunks"), (-F.col("n_tokens")).alias("n_tokens"))
+
+
+@dataclass
+class Inverted:
+    """Blocks, totals, the number of parts, and what was withdrawn: (part, chunk_id, gen), postings older than gen."""
+
+    blocks: DataFrame
+    totals: DataFrame
+    parts: int
+    gone: DataFrame | None = None
+
+    @classmethod
+    def of(cls, chunks: DataFrame, parts: int = 1) -> Inverted:
+        return cls(blocks(chunks, parts), totals(chunks, parts), parts)
 
+    def narrowed(self, terms: list[str]) -> Inverted:
+        """Only these terms' blocks, by a filter that reaches the files; the totals stay the corpus's."""
+        return Inverted(self.blocks.where(F.col("term").isin(terms)), self.totals, self.parts, self.gone)
 
-def with_frequency(index: DataFrame) -> DataFrame:
-    """Postings that carry their term's df: what a stored index holds."""
-    return index.join(document_frequency(index), "term")
+    def postings(self) -> DataFrame:
+        """(term, chunk_id, tf) of what is not withdrawn."""
+        zipped = F.explode(F.arrays_zip("chunk_ids", "tfs")).alias("p")
+        out = self.blocks.where("n > 0").select("term", "gen", zipped).select("term", F.col("p.chunk_ids").alias("chunk_id"), F.col("p.tfs").cast("long").alias("tf"), "gen")
+        if self.gone is not None:
+            late = self.gone.groupBy(F.col("chunk_id").alias("_chunk")).agg(F.max("gen").alias("_gen"))
+            out = out.join(late, (F.col("chunk_id") == F.col("_chunk")) & (F.col("gen") < F.col("_gen")), "left_anti")
+        return out.select("term", "chunk_id", "tf")
 
 
+def document_frequency(index: DataFrame) -> DataFrame:
+    """(term, df) of postings, or of blocks."""
+    return index.groupBy("term").agg((F.sum("n") if "n" in index.columns else F.count("*")).alias("df"))
+
+
+# ---------------------------------------------------------------- queries
 def wanted_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, times): a repeated term counts as often as it is written."""
     terms = F.transform(X.query_terms(F.col("text")), lambda t: X.folded(t))
     return queries.select("query_id", F.explode(terms).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def weight(tf: Column, length: Column, n: Column, df: Column, average: Column) -> Column:
+def rareness(n: Column, df: Column) -> Column:
     rare = F.log((n - df + 0.5) / (df + 0.5))
-    return F.when(rare > 0, rare).otherwise(IDF_FLOOR) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
+    return F.when(rare > 0, rare).otherwise(IDF_FLOOR)
 
 
-def scored(queries: DataFrame, index: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score) of every chunk that holds a query's term.  Postings that carry df are read once."""
-    wanted = wanted_terms(queries)
-    if "df" in index.columns:
-        hits = index.join(wanted, "term")
-    else:
-        own = index.join(wanted.select("term").distinct(), "term", "left_semi")  # only the queries' postings go on
-        hits = own.join(wanted.join(document_frequency(own), "term"), "term")
-    joined = hits.join(lengths, "chunk_id").crossJoin(corpus_stats(lengths))  # one row
-    each = F.col("times") * weight(F.col("tf"), F.col("n_tokens"), F.col("n_chunks"), F.col("df"), F.col("avg_len"))
-    return joined.groupBy("query_id", "chunk_id").agg(F.sum(each).alias("score"))
+def weight(rare, tf, length, average):
+    """One term's contribution; the same operations in columns and in numpy."""
+    return rare * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
 def top(scores: DataFrame, limit: int, best: Column, *ties: Column) -> DataFrame:
@@ -67,9 +143,124 @@ def top(scores: DataFrame, limit: int, best: Column, *ties: Column) -> DataFrame
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def search_lexical(queries: DataFrame, index: DataFrame, lengths: DataFrame, limit: int, allowed: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, score, rank); only chunks in ``allowed`` (chunk_id) compete, statistics stay the corpus's."""
-    scores = scored(queries, index, lengths)
+_SCORED = "query_id long, chunk_id long, units long"
+
+
+def _scorer(limit: int, filtered: bool):
+    """Scores a block of queries over one part: the first ``limit`` chunks of each, ties to the smaller chunk id."""
+
+    def run(own: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[], [], []]
+        kinds = own["kind"].to_numpy() if len(own) else np.zeros(0, np.int32)
+        posted = own.filter(pa.array(kinds == 0))
+        if len(posted) and len(asked):
+            terms = pc.unique(posted["term"])
+            ids, tf, length = (pc.list_flatten(posted[c]).to_numpy() for c in ("chunk_ids", "tfs", "lengths"))
+            count = pc.list_value_length(posted["chunk_ids"]).to_numpy()
+            of_row = pc.index_in(posted["term"], value_set=terms).to_numpy()
+            term, gen = np.repeat(of_row, count), np.repeat(posted["gen"].to_numpy(), count)
+            keep = _standing(own.filter(pa.array(kinds == 2)), ids, gen)
+            order = np.flatnonzero(keep)[np.argsort(term[keep], kind="stable")]
+            ids, tf, length, term = ids[order], tf[order], length[order], term[order]
+            cut = np.searchsorted(term, np.arange(len(terms) + 1))
+            chunks, place = np.unique(ids, return_inverse=True)
+            may = np.ones(len(chunks), bool)
+            if filtered:
+                may = np.isin(chunks, pc.list_flatten(own.filter(pa.array(kinds == 1))["chunk_ids"]).to_numpy())
+            flat = pc.index_in(pc.list_flatten(asked["terms"]), value_set=terms)
+            known = flat.is_valid().to_numpy()
+            at = flat.fill_null(0).to_numpy()
+            times, rare = (pc.list_flatten(asked[c]).to_numpy() for c in ("times", "rares"))
+            rares = np.zeros(len(terms))
+            rares[at[known]] = rare[known]
+            units = np.rint(weight(rares[term], tf, length, asked["average"][0].as_py()) * UNIT)
+            ends = np.append(0, np.cumsum(pc.list_value_length(asked["terms"]).to_numpy()))
+            for q, (a, b) in zip(asked["query_id"].to_pylist(), zip(ends[:-1], ends[1:], strict=True), strict=True):
+                own_at, own_times = at[a:b][known[a:b]], times[a:b][known[a:b]]
+                size = cut[own_at + 1] - cut[own_at]
+                hit = np.repeat(cut[own_at] - np.append(0, np.cumsum(size))[:-1], size) + np.arange(size.sum())
+                score = np.bincount(place[hit], units[hit] * np.repeat(own_times, size), len(chunks))  # whole numbers below 2^53
+                held = np.zeros(len(chunks), bool)
+                held[place[hit]] = True
+                found = np.flatnonzero(held & may)
+                if len(found) > limit:
+                    least = np.partition(score[found], len(found) - limit)[len(found) - limit]
+                    found = found[score[found] >= least]
+                found = found[np.argsort(-score[found], kind="stable")[:limit]]
+                out[0].append(np.full(len(found), q, np.int64))
+                out[1].append(chunks[found])
+                out[2].append(score[found].astype(np.int64))
+        columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
+        return pa.table(dict(zip(("query_id", "chunk_id", "units"), columns, strict=True)))
+
+    return lambda own, asked: run(own, asked)
+
+
+def _standing(gone: pa.Table, ids: np.ndarray, gen: np.ndarray) -> np.ndarray:
+    """Which postings are not withdrawn by a later generation."""
+    if not len(gone):
+        return np.ones(len(ids), bool)
+    late, since = pc.list_flatten(gone["chunk_ids"]).to_numpy(), np.repeat(gone["gen"].to_numpy(), pc.list_value_length(gone["chunk_ids"]).to_numpy())
+    order = np.lexsort((since, late))
+    late, since = late[order], since[order]
+    last = np.searchsorted(late, ids, "right") - 1  # the latest of each chunk
+    hit = (last >= 0) & (late[np.maximum(last, 0)] == ids)
+    return ~(hit & (gen < since[np.maximum(last, 0)]))
+
+
+def _round(pairs: DataFrame, packed: DataFrame, own: DataFrame, marks: list[DataFrame], limit: int, filtered: bool) -> DataFrame:
+    """Scores of pairs (query_id, part).  A block of queries meets a part's blocks in one group."""
+    right = packed.join(pairs, "query_id").withColumnsRenamed({"part": "of_part", "deal": "of_deal"})
+    here = right.select(F.col("of_part").alias("part"), F.col("of_deal").alias("deal")).distinct()
+    left = own.select("part", "term", "gen", "chunk_ids", "tfs", "lengths", F.lit(0).alias("kind"))
+    for m in marks:
+        left = left.unionByName(m, allowMissingColumns=True)
+    left = left.join(here, "part")
+    return left.groupBy("part", "deal").cogroup(right.groupBy("of_part", "of_deal")).applyInArrow(_cogrouped(limit, filtered), _SCORED)
+
+
+def _cogrouped(limit: int, filtered: bool):
+    score = _scorer(limit, filtered)
+    return lambda left, right: score(left, right)
+
+
+def search_lexical(queries: DataFrame, index: Inverted, limit: int, allowed: DataFrame | None = None, single: int = SINGLE) -> DataFrame:
+    """(query_id, chunk_id, score, rank); only chunks in ``allowed`` (chunk_id, doc_id) compete, statistics stay the corpus's.
+
+    First what bounds a query's scores in each part is added up.  The parts with the greatest bounds are scored, and then
+    those whose bound reaches the last score that these gave: no other part can hold a chunk of the first ``limit``.
+    """
+    wanted = wanted_terms(queries)
+    own = index.blocks.join(wanted.select("term").distinct(), "term", "left_semi")  # only the queries' blocks go on
+    stats = index.totals.agg(F.sum("n_chunks").alias("n_chunks"), (F.sum("n_tokens") / F.sum("n_chunks")).alias("average"))
+    asked = wanted.join(document_frequency(own).where("df > 0"), "term").crossJoin(stats)  # one row
+    asked = asked.select("query_id", "term", "times", "average", rareness(F.col("n_chunks"), F.col("df")).alias("rare"))
+    deals = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    listed = F.collect_list(F.struct("term", "times", "rare"))  # one query's terms
+    packed = asked.groupBy("query_id").agg(listed.alias("t"), F.first("average").alias("average"))
+    packed = packed.select("query_id", part_of(F.col("query_id"), deals).alias("deal"), F.col("t.term").alias("terms"), F.col("t.times").alias("times"), F.col("t.rare").alias("rares"), "average")
+    marks = []
     if allowed is not None:
-        scores = scores.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
-    return top(scores, limit, F.round("score", PLACES).desc(), F.col("chunk_id")).select("query_id", "chunk_id", "score", "rank")
+        marks.append(_marked(allowed.select(part_of(F.col("doc_id"), index.parts).alias("part"), "chunk_id", F.lit(0).cast("long").alias("gen")), 1))
+    if index.gone is not None:
+        marks.append(_marked(index.gone, 2))
+    most = weight(F.col("rare"), F.col("most"), F.col("least"), F.col("average"))
+    bounds = own.where("n > 0").select("part", "term", "most", "least").join(asked, "term").groupBy("query_id", "part").agg(F.sum(F.col("times") * (F.ceil(most * UNIT) + 1)).alias("bound"))
+    score = lambda pairs: _round(pairs.select("query_id", "part"), packed, own, marks, limit, allowed is not None)
+    best = (F.col("units").desc(), F.col("chunk_id"))
+    if index.parts <= single:
+        scores = score(bounds)
+    else:
+        ranked = bounds.withColumn("nth", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "part")))
+        some = 1 + index.parts // 8
+        first = top(score(ranked.where(F.col("nth") <= some)), limit, *best)
+        last = first.where(F.col("rank") == limit).select("query_id", F.col("units").alias("last"))
+        rest = ranked.where(F.col("nth") > some).join(last, "query_id", "left").where(F.col("last").isNull() | (F.col("bound") >= F.col("last")))
+        scores = first.drop("rank").unionByName(score(rest))
+    return top(scores, limit, *best).select("query_id", "chunk_id", (F.col("units") / UNIT).alias("score"), "rank")
+
+
+def _marked(chunks: DataFrame, kind: int) -> DataFrame:
+    """Chunks of a part in one row a generation, beside its blocks."""
+    ids = F.collect_list("chunk_id").alias("chunk_ids")  # a part's chunks at most
+    return chunks.groupBy("part", "gen").agg(ids).withColumn("kind", F.lit(kind))

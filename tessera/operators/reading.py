@@ -107,10 +107,12 @@ def lines(documents: DataFrame) -> DataFrame:
     return documents.select("path", "type", line.alias("line"))
 
 
-def overview(documents: DataFrame, sync_warnings: list[str] = (), config_warnings: list[str] = ()) -> str:  # type: ignore[assignment]
-    """The text of the overview; the result of a report, so its lines are collected."""
-    found = counts(documents).orderBy("field", "value").collect()
-    out = [f"Indexed documents: {documents.count()}"]
+def overview(documents: DataFrame, sync_warnings: list[str] = (), config_warnings: list[str] = (), kept: DataFrame | None = None) -> str:  # type: ignore[assignment]
+    """The text of the overview; the result of a report, so its lines are collected.  Where counts (field, value, n) are
+    kept beside the documents, no document is read to count."""
+    found = (counts(documents) if kept is None else kept).where(F.col("field").isin("documents", "type", "module")).orderBy("field", "value").collect()
+    n = documents.count() if kept is None else sum(r["n"] for r in found if r["field"] == "documents")
+    out = [f"Indexed documents: {n}"]
     for f in ("type", "module"):
         if own := [f"{r['value']} ({r['n']})" for r in found if r["field"] == f]:
             out.append(f"By {f}: {', '.join(own)}")

@@ -80,16 +80,16 @@ def hybrid_filtered(spark, sf_dir):
 def _lexical(spark, sf_dir, allowed: bool) -> DataFrame:
     ix = C.index(spark, sf_dir, with_vectors=False)
     own = ix.allowed(C.SEARCH_FILTERS) if allowed else None
-    found = lexical.search_lexical(C.queries(spark, sf_dir), ix.postings, ix.lengths, fusion.candidates(K), own)
-    return found.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    found = lexical.search_lexical(C.queries(spark, sf_dir), ix.inverted, fusion.candidates(K), own)
+    return found.select("query_id", "chunk_id", "rank", "score")
 
 
-@registered(with_(*LEXICAL, C.sql_lexical(50)) + "SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM lexical")
+@registered(with_(*LEXICAL, C.sql_lexical(50)) + "SELECT query_id, chunk_id, rank, score FROM lexical")
 def lexical_bm25(spark, sf_dir):
     return _lexical(spark, sf_dir, False)
 
 
-@registered(with_(C.SQL_CORPUS, C.SQL_ALLOWED, *LEXICAL, C.sql_lexical(50, "chunk_id IN (SELECT chunk_id FROM allowed)")) + "SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM lexical")
+@registered(with_(C.SQL_CORPUS, C.SQL_ALLOWED, *LEXICAL, C.sql_lexical(50, "chunk_id IN (SELECT chunk_id FROM allowed)")) + "SELECT query_id, chunk_id, rank, score FROM lexical")
 def lexical_filtered(spark, sf_dir):
     return _lexical(spark, sf_dir, True)
 
@@ -111,7 +111,7 @@ def vector_postfilter(spark, sf_dir):
 def rrf_fusion(spark, sf_dir):
     ix, asked = C.index(spark, sf_dir), C.queries(spark, sf_dir)
     n = fusion.candidates(K)
-    fused = fusion.fuse([lexical.search_lexical(asked, ix.postings, ix.lengths, n), vector.search_vector(asked, ix.vectors, n)])
+    fused = fusion.fuse([lexical.search_lexical(asked, ix.inverted, n), vector.search_vector(asked, ix.vectors, n)])
     return fused.select("query_id", "chunk_id", "fused_rank", "best", F.col("rank_0").alias("lexical_rank"), F.col("rank_1").alias("vector_rank"), F.round("score", 9).alias("score"))
 
 
@@ -254,7 +254,8 @@ def sync_diff(spark, sf_dir):
 @registered(with_(C.SQL_CORPUS, SQL_SNAPSHOTS) + "SELECT path FROM diff WHERE state = 'deleted' AND NOT (path = 'docs/src2' OR starts_with(path, 'docs/src2/') OR path = 'docs/src3' OR starts_with(path, 'docs/src3/'))")
 def sync_delete_protected(spark, sf_dir):
     old, new = _snapshots(spark, sf_dir)
-    return sync.deletable(sync.diff(new, old), ["docs/src2", "docs/src3"])
+    unreadable = C.documents(spark, sf_dir).where(F.col("module").isin("src2", "src3")).select(F.concat(F.lit("docs/"), "module").alias("path"))
+    return sync.deletable(sync.diff(new, old), unreadable)
 
 
 @registered(with_(C.SQL_CORPUS, SQL_SNAPSHOTS) + "SELECT path, hash FROM old WHERE path NOT IN (SELECT path FROM new) UNION ALL SELECT path, hash FROM new")
@@ -269,7 +270,7 @@ def delete_cascade(spark, sf_dir):
     ix = C.index(spark, sf_dir, with_vectors=False)
     gone = ix.documents.where("status = 'deprecated'").select("doc_id")
     stale = ix.chunks.join(gone, "doc_id", "left_semi").select("chunk_id")
-    return without(ix.postings, stale, "chunk_id").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
+    return without(ix.inverted.postings(), stale, "chunk_id").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
 
 
 @registered("SELECT doc_id, sha256(text) AS hash FROM documents")

@@ -7,6 +7,7 @@ index that is stored once a table and application, under the warehouse.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -20,7 +21,7 @@ from tessera.plans.search import Index
 EXCLUDED = ("draft", "deprecated")
 QUERY_EVERY = 20
 
-#: Stored tables of this process: (application, folder of tables, name) -> path.
+#: Stored tables of this process: (application, state of the table they are made of, name) -> path.
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
@@ -76,8 +77,16 @@ def all_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
 
 
+def state(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A table's files with their sizes and times, hashed: what is stored of it holds as long as these do."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    told = sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files)
+    return hashlib.sha256("\n".join(told).encode()).hexdigest()
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, state(spark, sf_dir, "documents"), name)
     if key not in _STORED:
         path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessera-index/{uuid.uuid4().hex}/{name}"
         build().write.parquet(path)
@@ -87,9 +96,10 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
 
 def index(spark: SparkSession, sf_dir: str, by_line: bool = False, with_vectors: bool = True) -> Index:
     own, kind = (line_chunks(spark, sf_dir), "lines") if by_line else (chunks(spark, sf_dir), "documents")
-    postings = stored(spark, sf_dir, f"{kind}-postings", lambda: lexical.with_frequency(lexical.postings(own)).repartitionByRange("term").sortWithinPartitions("term", "chunk_id"))
-    lengths = stored(spark, sf_dir, f"{kind}-lengths", lambda: lexical.chunk_lengths(own))
-    return Index(documents(spark, sf_dir), own, postings, lengths, vectors(spark, sf_dir) if with_vectors else None)
+    totals = stored(spark, sf_dir, f"{kind}-totals", lambda: lexical.totals(own, 1))
+    parts = lexical.parts_of(totals.agg(F.sum("n_chunks")).first()[0] or 0)
+    blocks = stored(spark, sf_dir, f"{kind}-blocks", lambda: lexical.blocks(own, parts).sortWithinPartitions("part", "term"))
+    return Index(documents(spark, sf_dir), own, lexical.Inverted(blocks, totals, parts), vectors(spark, sf_dir) if with_vectors else None)
 
 
 #: Of the filtered searches.
@@ -123,9 +133,10 @@ SQL_WANTED = r"""wanted AS (
     SELECT doc_id AS query_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS term FROM documents WHERE doc_id % 20 = 0)
   GROUP BY query_id, lower(strip_accents(term)))"""
 
+#: A term's contribution is a whole number of units of 1e-8, so that sums do not depend on their order.
 SQL_SCORED = """scored AS (
-  SELECT query_id, chunk_id, sum(times * CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END
-                                 * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_tokens / average))) AS score
+  SELECT query_id, chunk_id, CAST(sum(times * CAST(round(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END
+                                 * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_tokens / average)) * 100000000) AS BIGINT)) AS BIGINT) AS units, units / 1e8 AS score
   FROM wanted JOIN postings USING (term) JOIN frequency USING (term) JOIN lengths USING (chunk_id) CROSS JOIN stats
   GROUP BY query_id, chunk_id)"""
 
@@ -133,7 +144,7 @@ SQL_SCORED = """scored AS (
 def sql_lexical(limit: int, where: str = "true", name: str = "lexical") -> str:
     return f"""{name} AS (
   SELECT query_id, chunk_id, score, rank FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, chunk_id) AS rank FROM scored WHERE {where})
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY units DESC, chunk_id) AS rank FROM scored WHERE {where})
   WHERE rank <= {limit})"""
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -13,17 +13,15 @@ from pyspark.sql import functions as F
 from tessera.functions import chunking
 from tessera.functions.markdown import outline, scalar, split_frontmatter
 from tessera.functions.text import SPACE_CHARS
-from tessera.operators import lexical, vector
+from tessera.operators import vector
 from tessera.operators.convention import resolved
 from tessera.sources.config import Config
+from tessera.sources.embeddings import Remembered, Unavailable
 from tessera.sources.snapshots import SnapshotStore
 
 PARSED = "path string, hash string, title string, summary string, fields map<string,string>, tags array<string>, tags_ok boolean, chunks array<struct<heading:string,content:string>>, parse_error string"
 NO_CONTENT = "the document has no indexable content"
 
-#: Embeddings of a frame (chunk_id, text): (chunk_id, embedding).
-Embed = Callable[[DataFrame], DataFrame]
-
 
 def parse_one(path: str, text: str, config: Config) -> dict:
     own = {"path": path, "hash": hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), "fields": {}, "tags": None, "tags_ok": True, "chunks": [], "title": "", "summary": "", "parse_error": None}
@@ -80,13 +78,9 @@ def transform(files: DataFrame, config: Config, roots: tuple[str, ...] = ()) ->
     return Transformed(documents, chunks, skipped, notices)
 
 
-def datasets(documents: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None) -> dict[str, DataFrame]:
-    found = {"documents": documents, "chunks": chunks, "postings": lexical.postings(chunks), "lengths": lexical.chunk_lengths(chunks)}
-    return found if vectors is None else found | {"vectors": vectors}
-
-
-def embed_chunks(chunks: DataFrame, embed: Embed) -> DataFrame:
-    return embed(chunks.select("chunk_id", vector.passage().alias("text"))).select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding"))
+def embedded(chunks: DataFrame, provider: Remembered) -> DataFrame:
+    """(chunk_id, embedding) of chunks; raises Unavailable."""
+    return provider.vectors(chunks.select("chunk_id", vector.passage().alias("text")))
 
 
 @dataclass
@@ -99,17 +93,17 @@ class Report:
     warning: str | None = None
 
 
-def rebuild(files: DataFrame, store: SnapshotStore, config: Config, embed: Embed | None = None, roots: tuple[str, ...] = ()) -> Report:
-    """A whole new snapshot; if embedding fails the index is lexical and says why."""
+def rebuild(files: DataFrame, store: SnapshotStore, config: Config, provider: Remembered | None = None, roots: tuple[str, ...] = ()) -> Report:
+    """A whole new index; if embedding fails it is lexical and says why."""
     t = transform(files, config, roots)
-    warning, mode = None, "lexical"
-    try:
-        store.write(**datasets(t.documents, t.chunks, embed_chunks(t.chunks, embed) if embed else None))
-        mode = "hybrid" if embed else mode
-    except Exception as e:
-        if embed is None:
-            raise
-        warning = f"embeddings are unavailable, the index is lexical: {str(e).splitlines()[0]}"
-        store.write(**datasets(t.documents, t.chunks))
+    warning, mode, vectors = None, "lexical", None
+    if provider is not None:
+        try:
+            vectors, mode = embedded(t.chunks, provider), "hybrid"
+        except Unavailable as e:
+            warning = f"embeddings are unavailable, the index is lexical: {e}"
+    store.write(documents=t.documents, chunks=t.chunks, **({"vectors": vectors} if vectors is not None else {}))
+    if provider is not None:
+        provider.sweep()
     rows = lambda df: [tuple(r) for r in df.orderBy("path").collect()]  # a report of what was left out
     return Report(store.read("documents").count(), store.read("chunks").count(), rows(t.skipped), rows(t.notices), mode, warning)

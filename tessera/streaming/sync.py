@@ -9,18 +9,18 @@ from __future__ import annotations
 import threading
 import time
 from collections.abc import Callable
+from contextlib import suppress
 from dataclasses import dataclass, field
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.lexical import chunk_lengths, postings
-from tessera.operators.vector import missing_vectors, passage
-from tessera.plans.indexing import Embed, embed_chunks, transform
+from tessera.operators import lexical
+from tessera.operators.vector import missing_vectors
+from tessera.plans.indexing import embedded, transform
 from tessera.sources.config import Config
-from tessera.sources.snapshots import SnapshotStore, upserted, without
+from tessera.sources.embeddings import Remembered, Unavailable
+from tessera.sources.snapshots import MAX_SEGMENTS, Conflict, SnapshotStore, Version, counted, of_generation
 
 
 def diff(found: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -30,13 +30,18 @@ def diff(found: DataFrame, indexed: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", state.alias("state"))
 
 
-def protected(path: Column, prefixes: list[str]) -> Column:
-    """Whether the path is, or lies under, one that could not be read in this pass."""
-    return reduce(or_, [(path == p) | path.startswith(f"{p}/") for p in prefixes], F.lit(False))
+def ancestors(path: Column) -> Column:
+    """The path and every folder it lies under."""
+    names = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(names)), lambda n: F.array_join(F.slice(names, F.lit(1), n), "/"))
 
 
-def deletable(states: DataFrame, prefixes: list[str]) -> DataFrame:
-    return states.where((F.col("state") == "deleted") & ~protected(F.col("path"), prefixes)).select("path")
+def deletable(states: DataFrame, unreadable: DataFrame) -> DataFrame:
+    """Paths that are gone; what could not be read in this pass (path) protects itself and all that lies under it."""
+    gone = states.where(F.col("state") == "deleted").select("path")
+    above = gone.select("path", F.explode(ancestors(F.col("path"))).alias("above"))
+    safe = above.join(unreadable.select(F.col("path").alias("above")).distinct(), "above", "left_semi").select("path")
+    return gone.join(safe, "path", "left_anti")
 
 
 @dataclass
@@ -57,42 +62,71 @@ class SyncReport:
         return out + ([f"WARNING {self.warning}"] if self.warning else [])
 
 
-def sync(files: DataFrame, store: SnapshotStore, config: Config, embed: Embed | None = None, roots: tuple[str, ...] = ()) -> SyncReport:
+def sync(files: Callable[[], DataFrame], store: SnapshotStore, config: Config, provider: Remembered | None = None, roots: tuple[str, ...] = (), tries: int = 5) -> SyncReport:
     """One pass: changed files are transformed, and a known path that is now rejected goes; missing ones go unless their
-    folder could not be read; chunks of unchanged documents without a vector get one."""
-    report = SyncReport()
-    old = {n: store.read(n) for n in ("documents", "chunks", "vectors", "postings", "lengths")}
+    folder could not be read; chunks of unchanged documents without a vector get one.  Only what changed is written; a pass
+    that another one has overtaken lists the files anew and starts again from the other's result."""
+    for left in range(tries - 1, -1, -1):
+        try:
+            report = _pass(files(), store, config, provider, roots)
+            break
+        except Conflict:
+            if not left:
+                raise
+    if len(store.current().segments) > MAX_SEGMENTS:
+        with suppress(Conflict):  # the other pass compacts
+            store.compact()
+    return report
+
+
+def _pass(files: DataFrame, store: SnapshotStore, config: Config, provider: Remembered | None, roots: tuple[str, ...]) -> SyncReport:
+    report, base = SyncReport(), store.current()
+    whole = SnapshotStore(store.spark, store.path, base or Version(0, 1, ()))
+    gen, parts = (base.number if base else 0) + 1, base.parts if base else 1
+    old_documents, old_chunks, old_vectors = (whole.read(n) for n in ("documents", "chunks", "vectors"))
+    bad = files.where(F.col("error").isNotNull())
     hashed = files.where(F.col("error").isNull()).withColumn("hash", F.sha2(F.col("text").cast("binary"), 256)).persist()
-    states = diff(hashed, old["documents"]).persist()
-    unreadable = [r["path"] for r in files.where(F.col("error").isNotNull()).select("path").collect()]  # what failed, with the report
+    states = diff(hashed, old_documents).persist()
     changed = states.where(F.col("state").isin("new", "changed"))
-    t = transform(files.join(changed.select("path"), "path", "left_semi").unionByName(files.where(F.col("error").isNotNull())), config, roots)
+    t = transform(files.join(changed.select("path"), "path", "left_semi").unionByName(bad), config, roots)
     new_documents, new_chunks = t.documents.persist(), t.chunks.persist()
-    gone = deletable(states, unreadable).persist()
+    gone = deletable(states, bad).persist()
     replaced = changed.select("path").unionByName(gone)
-    stale = old["documents"].join(replaced, "path", "left_semi").select("doc_id")
-    stale_chunks = old["chunks"].join(stale, "doc_id", "left_semi").select("chunk_id")
-    documents = without(old["documents"], replaced, "path").unionByName(new_documents)
-    chunks = without(old["chunks"], stale, "doc_id").unionByName(new_chunks)
-    vectors = without(old["vectors"], stale_chunks, "chunk_id")
-    inverted = {"postings": without(old["postings"], stale_chunks, "chunk_id").unionByName(postings(new_chunks)), "lengths": without(old["lengths"], stale_chunks, "chunk_id").unionByName(chunk_lengths(new_chunks))}
-    if embed is not None:
+    stale = old_documents.join(replaced, "path", "left_semi").persist()
+    stale_chunks = old_chunks.join(stale.select("doc_id"), "doc_id", "left_semi").persist()
+    kept = [hashed, states, new_documents, new_chunks, gone, stale, stale_chunks]
+    minus, less = lexical.withdrawn(stale_chunks, parts, gen)
+    own = {
+        "documents": new_documents,
+        "chunks": new_chunks,
+        "blocks": lexical.blocks(new_chunks, parts, gen).unionByName(minus),
+        "totals": lexical.totals(new_chunks, parts, gen).unionByName(less),
+        "gone": stale_chunks.select(lexical.part_of(F.col("doc_id"), parts).alias("part"), "doc_id", "chunk_id"),
+        "counts": counted(new_documents).unionByName(counted(stale, -1)),
+    }
+    if provider is not None:
         try:
-            kept = states.where("state = 'same'").select("path")
-            gaps = missing_vectors(without(old["chunks"], stale, "doc_id"), old["vectors"], old["documents"].join(kept, "path", "left_semi"))
-            filled = embed(gaps.select("chunk_id", passage().alias("text"))).select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding")).persist()
-            report.embedded = filled.count()
-            vectors = upserted(vectors, embed_chunks(new_chunks, embed).unionByName(filled), "chunk_id")
-        except Exception as e:
-            report.warning = f"embeddings are unavailable: {str(e).splitlines()[0]}"
-    store.write(documents=documents, chunks=chunks, vectors=vectors, **inverted)
-    paths = lambda df: [r["path"] for r in df.select("path").orderBy("path").collect()]
-    report.indexed, report.deleted, report.chunks = paths(new_documents), paths(gone), new_chunks.count()
-    report.unchanged = states.where("state = 'same'").count()
-    report.skipped = [(r["path"], list(r["errors"])) for r in t.skipped.orderBy("path").collect()]
-    report.notices = [(r["path"], r["encoding"]) for r in hashed.where(F.col("encoding") != "utf-8").select("path", "encoding").orderBy("path").collect()]
-    for df in (hashed, states, new_documents, new_chunks, gone):
-        df.unpersist()
+            same = states.where("state = 'same'").select("path")
+            gaps = missing_vectors(old_chunks, old_vectors, old_documents.join(same, "path", "left_semi"))
+            ids = gaps.select("chunk_id").persist()
+            kept.append(ids)
+            own["vectors"] = embedded(new_chunks.select("chunk_id", "heading", "content").unionByName(gaps.select("chunk_id", "heading", "content")), provider)
+            report.embedded = ids.count()
+        except Unavailable as e:
+            report.warning = f"embeddings are unavailable: {e}"
+    try:
+        if not (changed.isEmpty() and gone.isEmpty() and not report.embedded) or base is None:
+            store.append(base, store.segment(**{k: of_generation(v, gen) for k, v in own.items()}))
+        paths = lambda df: [r["path"] for r in df.select("path").orderBy("path").collect()]
+        report.indexed, report.deleted, report.chunks = paths(new_documents), paths(gone), new_chunks.count()
+        report.unchanged = states.where("state = 'same'").count()
+        report.skipped = [(r["path"], list(r["errors"])) for r in t.skipped.orderBy("path").collect()]
+        report.notices = [(r["path"], r["encoding"]) for r in hashed.where(F.col("encoding") != "utf-8").select("path", "encoding").orderBy("path").collect()]
+    finally:
+        for df in kept:
+            df.unpersist()
+        if provider is not None:
+            provider.sweep()
     return report
 
 
