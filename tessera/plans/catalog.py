@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +15,7 @@ from tessera.functions.decode import CP1252_CHARS, decoded
 from tessera.functions.excerpt import best_centre, excerpts, flatten, locate
 from tessera.functions.splitting import split_to_bound
 from tessera.functions.text import tokenize_query, units
-from tessera.operators import convention, evaluate, filters, fusion, lexical, reading, vector
+from tessera.operators import convention, evaluate, filters, fusion, lexical, reading, similar, vector
 from tessera.plans import corpus as C
 from tessera.plans import search
 from tessera.sources.snapshots import upserted, without
@@ -288,8 +287,26 @@ def content_hash(spark, sf_dir):
 def closest_paths(spark, sf_dir):
     d = C.documents(spark, sf_dir)
     wanted = d.where(F.col("doc_id") % C.QUERY_EVERY == 0).select(F.concat(F.lit("doc/"), "module", F.lit("-"), F.col("doc_id").cast("string")).alias("target"))
-    near = wanted.crossJoin(d.select("path")).withColumn("d", X.distance(F.col("target"), F.col("path")))  # the stated query set against all rows
-    return near.withColumn("rank", F.row_number().over(W.partitionBy("target").orderBy("d", "path"))).where("rank <= 3").select("target", "path", "rank")
+    return similar.nearest(wanted, d, 3).select("target", "path", "rank")
+
+
+#: Folded: lower case, no diacritics.  Edits are counted in bytes there, so what is left beyond ASCII becomes one byte.
+SQL_OPENINGS = r"""openings AS (SELECT doc_id, substr(text, 1, 40) AS opening FROM documents),
+folds AS (SELECT DISTINCT opening, translate(regexp_replace(lower(strip_accents(opening)), '[\^`¨´]', '', 'g'), 'ßøæœđł', chr(1) || chr(2) || chr(3) || chr(4) || chr(5) || chr(6)) AS folded FROM openings)"""
+
+
+@registered(
+    with_(SQL_OPENINGS)
+    + """SELECT target, opening, rank, distance FROM (
+  SELECT t.opening AS target, c.opening, levenshtein(t.folded, c.folded) / greatest(length(t.folded), length(c.opening), 1) AS distance,
+         row_number() OVER (PARTITION BY t.opening ORDER BY levenshtein(t.folded, c.folded) / greatest(length(t.folded), length(c.opening), 1), c.opening) AS rank
+  FROM (SELECT * FROM folds WHERE opening IN (SELECT opening FROM openings WHERE doc_id % 20 = 0)) t CROSS JOIN folds c) WHERE rank <= 3"""
+)
+def closest_openings(spark, sf_dir):
+    """The documents that begin most like a query's: strings in four languages, compared without case and diacritics."""
+    d = C.table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("path"))
+    found = similar.nearest(d.where(F.col("doc_id") % C.QUERY_EVERY == 0).select(F.col("path").alias("target")), d, 3)
+    return found.select("target", F.col("path").alias("opening"), "rank", "distance")
 
 
 @registered("SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents")
