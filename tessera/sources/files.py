@@ -1,8 +1,9 @@
 """Markdown files as a table: path, text, encoding, error.
 
-``markdown_files`` is a Python data source.  The driver lists the tree once, and each task reads a slice of the list; a
-file or folder that cannot be read gives a row with an error, and only an unreadable root fails.  Files in a store that
-only Spark reads come in by ``stored_files``, over the built-in binary source.
+``markdown_files`` is a Python data source.  The driver lists the first levels of the tree only, until there are folders
+enough to deal; each task then lists its folders with all below them and reads their files, so neither the listing nor the
+files pass through the driver.  A file or folder that cannot be read gives a row with an error, and only an unreadable root
+fails.  Files in a store that only Spark reads come in by ``stored_files``, over the built-in binary source.
 """
 
 from __future__ import annotations
@@ -18,12 +19,33 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from tessera.functions.decode import decoded
 from tessera.sources.config import Root
 
+#: The driver stops going down once it knows so many folders, or at this depth; it deals them to so many tasks at most.
+FOLDERS, DEPTH, TASKS = 256, 3, 1024
 FILES_A_TASK = 256
 
 
 class _Slice(InputPartition):
-    def __init__(self, files: list[tuple[str, str]], errors: list[tuple[str, str]]):
-        self.files, self.errors = files, errors
+    """Files to read, folders to go down into, and errors that the driver met; paths are relative to the root."""
+
+    def __init__(self, files: list[str], folders: list[str], errors: list[tuple[str, str]]):
+        self.files, self.folders, self.errors = files, folders, errors
+
+
+def _level(root: str, folder: str) -> tuple[list[str], list[str], list[tuple[str, str]]]:
+    """Files, folders and errors right below a folder, in order; what begins with a dot is not looked at."""
+    files, folders = [], []
+    try:
+        with os.scandir(os.path.join(root, folder)) as found:
+            entries = sorted((e for e in found if not e.name.startswith(".")), key=lambda e: e.name)
+    except OSError as e:
+        return [], [], [(folder, str(e.strerror))]
+    for e in entries:
+        path = f"{folder}/{e.name}" if folder else e.name
+        if e.is_dir() and not e.is_symlink():
+            folders.append(path)
+        elif e.name.lower().endswith(".md"):
+            files.append(path)
+    return files, folders, []
 
 
 class _Reader(DataSourceReader):
@@ -31,31 +53,38 @@ class _Reader(DataSourceReader):
         self.root = root
 
     def partitions(self) -> list[_Slice]:
-        files, errors = [], []
         os.listdir(self.root)  # an unreadable root fails the scan
-
-        def failed(e: OSError) -> None:
-            errors.append((os.path.relpath(e.filename, self.root).replace(os.sep, "/"), str(e.strerror)))
-
-        for folder, names, found in os.walk(self.root, onerror=failed):
-            names[:] = sorted(n for n in names if not n.startswith("."))
-            for n in found:
-                if not n.startswith(".") and n.lower().endswith(".md"):
-                    full = os.path.join(folder, n)
-                    files.append((os.path.relpath(full, self.root).replace(os.sep, "/"), full))
-        files.sort()
-        slices = [_Slice(files[i : i + FILES_A_TASK], []) for i in range(0, len(files), FILES_A_TASK)]
-        return [*slices, _Slice([], errors)] if errors or not slices else slices
+        files: list[str] = []
+        errors: list[tuple[str, str]] = []
+        folders, depth = [""], 0
+        while folders and len(folders) < FOLDERS and depth < DEPTH:
+            below: list[str] = []
+            for own, deeper, failed in (_level(self.root, f) for f in folders):
+                files, below, errors = files + own, below + deeper, errors + failed
+            folders, depth = below, depth + 1
+        slices = [_Slice(files[i : i + FILES_A_TASK], [], []) for i in range(0, len(files), FILES_A_TASK)]
+        each = -(-len(folders) // TASKS)
+        slices += [_Slice([], folders[i : i + each], []) for i in range(0, len(folders), each or 1)]
+        return [*slices, _Slice([], [], errors)] if errors or not slices else slices
 
     def read(self, partition: _Slice) -> Iterator[tuple]:
-        for path, full in partition.files:
-            try:
-                with open(full, "rb") as f:
-                    yield path, f.read(), None
-            except OSError as e:
-                yield path, None, str(e.strerror)
         for path, why in partition.errors:
             yield path, None, why
+        yield from map(self._row, partition.files)
+        waiting = partition.folders[::-1]
+        while waiting:
+            files, folders, errors = _level(self.root, waiting.pop())
+            for path, why in errors:
+                yield path, None, why
+            yield from map(self._row, files)
+            waiting += folders[::-1]
+
+    def _row(self, path: str) -> tuple:
+        try:
+            with open(os.path.join(self.root, path), "rb") as f:
+                return path, f.read(), None
+        except OSError as e:
+            return path, None, str(e.strerror)
 
 
 class MarkdownFiles(DataSource):

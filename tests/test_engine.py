@@ -120,6 +120,28 @@ def test_scan_of_several_roots(spark, tmp_path):
     assert [r.path for r in files.stored_files(spark, f"file://{tmp_path}/one").collect()] == ["x/a.md"]
 
 
+def test_listing_is_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    """The driver lists the first levels; what lies deeper is listed where it is read, errors included."""
+    root = str(tmp_path)
+    want = set()
+    for i in range(6):
+        for path in (f"t{i}.md", f"a{i}/x.MD", f"a{i}/b/c/d/e{i}.md", f"a{i}/b/.h/no.md", f"a{i}/b/_u.md", f"a{i}/b/c/note.txt"):
+            put(root, path, f"# {path}")
+            want |= {path} if path.lower().endswith(".md") and "/." not in path else set()
+    reader = files._Reader(root)
+    for folders, depth, listed in ((1, 3, 0), (3, 3, 6), (1000, 1, 6), (1000, 2, 12), (1000, 99, len(want))):
+        monkeypatch.setattr(files, "FOLDERS", folders)
+        monkeypatch.setattr(files, "DEPTH", depth)
+        slices = reader.partitions()
+        rows = [r for s in slices for r in reader.read(s)]
+        assert sorted(r[0] for r in rows) == sorted(want) and all(r[1] == f"# {r[0]}".encode() and r[2] is None for r in rows)
+        assert sum(len(s.files) for s in slices) == listed
+    gone = files._Slice(["a0/gone.md"], ["nowhere"], [("bad", "told")])
+    assert [(r[0], r[1]) for r in reader.read(gone)] == [("bad", None), ("a0/gone.md", None), ("nowhere", None)]
+    monkeypatch.undo()
+    assert {r.path for r in files.scan(spark, [config.Root(root, "")]).collect()} == want
+
+
 def test_bm25_against_fts5(spark):
     texts = ["the cat sat on the mat", "the dog", "cats and dogs and the cat", "Árbol verde", "arbol the the the", "nothing here"]
     db = sqlite3.connect(":memory:")
