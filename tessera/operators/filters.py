@@ -124,3 +124,25 @@ def dropped_notice(dropped: list[str]) -> str:
 def explain_empty(filters: Filters, known: Facets) -> str | None:
     """Why nothing matched, as far as the filters tell."""
     return "; ".join(map(str, reasons(filters, known))) or None
+
+
+def explained(requests: DataFrame, documents: DataFrame) -> DataFrame:
+    """(request_id, n, why) of a batch of requests (request_id, type, module; null asks for nothing): how many documents pass,
+    and where none does, which values no document has, or that the values do not come together."""
+    pairs = documents.groupBy("type", "module").agg(F.count("*").alias("n"))  # as many rows as there are pairs of values
+    asked = requests.select("request_id", F.col("type").alias("_type"), F.col("module").alias("_module"))
+    # values meet by equality; a request that leaves one open meets the sums over it
+    sums = pairs.cube("type", "module").agg(F.grouping_id().alias("_level"), F.sum("n").alias("n"))
+    # documents without a value count in the sums only
+    sums = sums.where(~(F.col("_level").isin(0, 1) & F.col("type").isNull()) & ~(F.col("_level").isin(0, 2) & F.col("module").isNull()))
+
+    def matched(name: str, level: Column, type_: Column, module: Column) -> DataFrame:
+        found = sums.select(F.col("_level").alias("_at"), F.col("type").alias("_t"), F.col("module").alias("_m"), F.col("n").alias(name))
+        return asked.join(found, (F.col("_at") == level) & F.col("_t").eqNullSafe(type_) & F.col("_m").eqNullSafe(module)).select("request_id", name)
+
+    none, t, m = F.lit(None).cast("string"), F.col("_type"), F.col("_module")
+    level = F.when(t.isNull(), 2).otherwise(0) + F.when(m.isNull(), 1).otherwise(0)
+    out = asked.join(matched("n", level, t, m), "request_id", "left").join(matched("of_type", F.lit(1), t, none), "request_id", "left").join(matched("of_module", F.lit(2), none, m), "request_id", "left")
+    unknown = F.array_compact(F.array(F.when(t.isNotNull() & F.col("of_type").isNull(), "type"), F.when(m.isNotNull() & F.col("of_module").isNull(), "module")))
+    why = F.when(F.col("n") > 0, "").when(F.size(unknown) > 0, F.concat(F.lit("unknown: "), F.array_join(unknown, ", "))).otherwise("combined")
+    return out.select("request_id", F.coalesce("n", F.lit(0)).alias("n"), why.alias("why"))

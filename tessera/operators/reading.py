@@ -63,6 +63,17 @@ def read(documents: DataFrame, chunks: DataFrame, path: str, section: str | None
     return Read("section-not-found" if known else "no-sections", doc, section=section, listed=known)
 
 
+def sections(chunks: DataFrame, requests: DataFrame) -> DataFrame:
+    """(doc_id, section, content) of a batch of requests (doc_id, section): the chunks whose heading, or a heading inside, holds
+    the section's folded text, in order; requests that no chunk meets are left out."""
+    low = lambda c: X.folded(c, True)
+    own = chunks.join(requests, "doc_id")
+    titles = F.concat(F.array("heading"), F.when(F.col("content").contains("#"), headings(F.col("content"))).otherwise(F.array().cast("array<string>")))
+    hits = own.where(F.exists(titles, lambda h: low(h).contains(low(F.col("section")))))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("position", "content"))), lambda c: c["content"])
+    return hits.groupBy("doc_id", "section").agg(F.array_join(ordered, "\n\n").alias("content"))  # the chunks of one document
+
+
 @F.udf(T.ArrayType(T.StringType()), useArrow=True)
 def _headings(text):
     return headings_in(text or "")

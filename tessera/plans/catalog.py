@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +19,8 @@ from tessera.functions.text import tokenize_query, units
 from tessera.operators import convention, evaluate, filters, fusion, lexical, reading, similar, vector
 from tessera.plans import corpus as C
 from tessera.plans import search
-from tessera.sources.snapshots import upserted, without
+from tessera.sources import files
+from tessera.sources.snapshots import counted, upserted, without
 from tessera.streaming import sync
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -272,6 +274,123 @@ def delete_cascade(spark, sf_dir):
     return without(ix.inverted.postings(), stale, "chunk_id").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
 
 
+def _listings(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The listings of `_snapshots` as chunks with metadata: German texts have changed."""
+    d = C.documents(spark, sf_dir).select("doc_id", "path", "type", "module", "status", "tags", F.col("doc_id").alias("chunk_id"), F.lit("").alias("heading"), F.col("text").alias("content"))
+    old = d.where("status is not null or type <> 'es'")
+    new = d.where("status is null or status <> 'deprecated'").withColumn("content", F.when(F.col("type") == "de", F.concat("content", F.lit(" neu gefaßt"))).otherwise(F.col("content")))
+    hashed = lambda df: df.withColumn("hash", F.sha2(F.col("content").cast("binary"), 256))
+    return hashed(old), hashed(new)
+
+
+def _difference(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a pass withdraws, and what it adds."""
+    states = sync.diff(new, old)
+    of = lambda df, *s: df.join(states.where(F.col("state").isin(*s)).select("path"), "path", "left_semi")
+    return of(old, "changed", "deleted"), of(new, "changed", "new")
+
+
+SQL_LISTED = """listed AS (
+  SELECT doc_id, path, type, module, status, tags, CASE WHEN type = 'de' THEN text || ' neu gefaßt' ELSE text END AS content
+  FROM corpus WHERE status IS NULL OR status <> 'deprecated')"""
+
+
+@registered(
+    with_(C.SQL_CORPUS, SQL_LISTED, "chunks AS (SELECT doc_id AS chunk_id, doc_id, content FROM listed)", C.SQL_INDEX)
+    + "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tokens FROM postings GROUP BY term"
+)
+def incremental_postings(spark, sf_dir):
+    """Term counts of an index after a pass that withdraws and adds blocks: those of the new listing."""
+    old, new = _listings(spark, sf_dir)
+    stale, fresh = _difference(old, new)
+    parts = 8
+    minus, _ = lexical.withdrawn(stale, parts, 2)
+    blocks = lexical.blocks(old, parts, 1).unionByName(lexical.blocks(fresh, parts, 2)).unionByName(minus)
+    gone = stale.select(lexical.part_of(F.col("doc_id"), parts).alias("part"), "chunk_id", F.lit(2).cast("long").alias("gen"))
+    df = lexical.document_frequency(blocks).where("df > 0")
+    tokens = lexical.Inverted(blocks, lexical.totals(new, parts), parts, gone).postings().groupBy("term").agg(F.sum("tf").alias("tokens"))
+    return df.join(tokens, "term").select("term", "df", "tokens")
+
+
+@registered(
+    with_(C.SQL_CORPUS, SQL_LISTED)
+    + """SELECT 'documents' AS field, '' AS value, count(*) AS n FROM listed HAVING count(*) > 0
+UNION ALL SELECT 'type', type, count(*) FROM listed GROUP BY type UNION ALL SELECT 'module', module, count(*) FROM listed GROUP BY module
+UNION ALL SELECT 'status', status, count(*) FROM listed WHERE status IS NOT NULL GROUP BY status
+UNION ALL SELECT 'tag', t, count(*) FROM (SELECT lower(unnest(tags)) AS t FROM listed) GROUP BY t"""
+)
+def counts_by_difference(spark, sf_dir):
+    """Counts and facets after a pass, from the counts before it and what it withdraws and adds."""
+    old, new = _listings(spark, sf_dir)
+    stale, fresh = _difference(old, new)
+    signed = counted(old).unionByName(counted(fresh)).unionByName(counted(stale, -1))
+    return signed.groupBy("field", "value").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+@registered(with_(C.SQL_CORPUS, SQL_SNAPSHOTS) + "SELECT o.doc_id AS chunk_id, o.path FROM old o JOIN diff USING (path) WHERE state = 'same' AND o.doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def vector_gaps(spark, sf_dir):
+    """Chunks that a pass has to embed besides changed ones: of documents that stay, without a vector."""
+    old, new = _snapshots(spark, sf_dir)
+    same = sync.diff(new, old).where("state = 'same'").select("path")
+    kept = old.select("doc_id", "path").join(same, "path", "left_semi")
+    return vector.missing_vectors(C.chunks(spark, sf_dir), C.vectors(spark, sf_dir), kept).select("chunk_id", "path")
+
+
+@registered(with_(C.SQL_CORPUS) + "SELECT path, starts_with(path, 'docs/src1/') OR starts_with(path, 'docs/src2/') OR doc_id = 20 AS excluded FROM corpus")
+def excluded_paths(spark, sf_dir):
+    return C.documents(spark, sf_dir).select("path", files.excluded(F.col("path"), ["docs/src1/", "docs/src2", "20.md"]).alias("excluded"))
+
+
+@registered(with_(C.SQL_CORPUS) + "SELECT doc_id, path FROM corpus")
+def normalized_paths(spark, sf_dir):
+    """Paths as Windows writes them, brought back."""
+    written = F.concat(F.lit(" .\\"), F.translate("path", "/", "\\"), F.lit(" "))
+    return C.documents(spark, sf_dir).select("doc_id", evaluate.normalized_path(written).alias("path"))
+
+
+@registered(with_(C.SQL_CORPUS) + "SELECT path, row_number() OVER (PARTITION BY module ORDER BY coalesce(list_position(['fr', 'de'], type), 0), path) AS rank FROM corpus")
+def index_order_ranks(spark, sf_dir):
+    """Places in the index file, by module: declared types in their order behind undeclared ones, then paths."""
+    order = convention.index_order(convention.Convention("strict", types=("fr", "de")))
+    return C.documents(spark, sf_dir).select("path", F.row_number().over(W.partitionBy("module").orderBy(*order)).alias("rank"))
+
+
+@registered(
+    with_(C.SQL_LINE_CHUNKS)
+    + """SELECT doc_id, 'LINEA 1' AS section, string_agg(content, chr(10) || chr(10) ORDER BY chunk_id) AS content
+FROM chunks WHERE contains('línea ' || (chunk_id % 1000000), 'línea 1') GROUP BY doc_id"""
+)
+def section_reads(spark, sf_dir):
+    """Sections of documents whose lines are headed by their numbers, asked for without case and accent."""
+    lines = C.line_chunks(spark, sf_dir).withColumn("heading", F.concat(F.lit("Línea "), F.col("position").cast("string")))
+    asked = C.table(spark, sf_dir, "documents").select("doc_id", F.lit("LINEA 1").alias("section"))
+    return reading.sections(lines, asked)
+
+
+@registered(
+    with_(C.SQL_CORPUS)
+    + """SELECT request_id, n, CASE WHEN n > 0 THEN '' WHEN kt AND km THEN 'combined'
+  ELSE 'unknown: ' || array_to_string(list_filter([CASE WHEN NOT kt THEN 'type' END, CASE WHEN NOT km THEN 'module' END], lambda x: x IS NOT NULL), ', ') END AS why
+FROM (
+  SELECT r.request_id, count(c.doc_id) AS n, r.type IS NULL OR r.type IN (SELECT type FROM corpus) AS kt, r.module IS NULL OR r.module IN (SELECT module FROM corpus) AS km
+  FROM (SELECT doc_id AS request_id, CASE doc_id % 3 WHEN 0 THEN upper(type) WHEN 1 THEN type END AS type,
+               CASE doc_id % 4 WHEN 0 THEN module || 'x' WHEN 3 THEN NULL ELSE 'src' || (doc_id % 60) END AS module FROM corpus) r
+  LEFT JOIN corpus c ON (r.type IS NULL OR c.type = r.type) AND (r.module IS NULL OR c.module = r.module)
+  GROUP BY r.request_id, r.type, r.module)"""
+)
+def empty_result_reasons(spark, sf_dir):
+    """Requests of every document's kind, some with values that no document has: what passes, and why nothing does."""
+    d, i = C.documents(spark, sf_dir), F.col("doc_id")
+    type_ = F.when(i % 3 == 0, F.upper("type")).when(i % 3 == 1, F.col("type"))
+    module = F.when(i % 4 == 0, F.concat("module", F.lit("x"))).when(i % 4 != 3, F.concat(F.lit("src"), (i % 60).cast("string")))
+    return filters.explained(d.select(i.alias("request_id"), type_.alias("type"), module.alias("module")), d)
+
+
+@registered("SELECT doc_id, 'passage: ' || source || chr(10) || text AS passage FROM documents")
+def embedding_passages(spark, sf_dir):
+    return C.table(spark, sf_dir, "documents").select("doc_id", vector.passage("source", "text").alias("passage"))
+
+
 @registered("SELECT doc_id, sha256(text) AS hash FROM documents")
 def content_hash(spark, sf_dir):
     return C.table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
@@ -468,6 +587,17 @@ def headings(spark, sf_dir):
     return C.table(spark, sf_dir, "documents").select("doc_id", F.array_join(reading.headings(marked), "|").alias("headings"))
 
 
+@registered(
+    """SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'windows-1252' END AS encoding,
+  CASE doc_id % 3 WHEN 0 THEN 'undecodable byte 0x81 at offset ' || (length(text) + 1) WHEN 1 THEN 'undecodable byte 0x07 at offset ' || (length(text) + 1) END AS error FROM documents"""
+)
+def rejected_bytes(spark, sf_dir):
+    """Windows-1252 texts that end in a byte which no such text holds, two in three: which byte, and where."""
+    latin = F.encode(F.translate("text", CP1252_CHARS, "?" * len(CP1252_CHARS)), "ISO-8859-1")
+    last = F.when(F.col("doc_id") % 3 == 0, F.lit(b"\xe9\x81")).when(F.col("doc_id") % 3 == 1, F.lit(b"\xe9\x07")).otherwise(F.lit(b"\xe9A"))
+    return C.table(spark, sf_dir, "documents").select("doc_id", decoded(F.concat(latin, last)).alias("d")).select("doc_id", "d.encoding", "d.error")
+
+
 @registered("SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'utf-16le' WHEN doc_id % 3 = 1 THEN 'utf-8' WHEN strip_accents(text) = text AND NOT contains(text, 'ß') THEN 'utf-8' ELSE 'windows-1252' END AS encoding FROM documents")
 def decode_bytes(spark, sf_dir):
     """Texts written as UTF-16, UTF-8 and Windows-1252 by turns, and decoded."""
