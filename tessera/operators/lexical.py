@@ -26,9 +26,9 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 #: Units of a score.
 UNIT = 10**8
 #: Chunks of a part on average; indexes of at most SINGLE parts are scored in one round.
-PART_CHUNKS, SINGLE = 4096, 8
+PART_CHUNKS, SINGLE = 1024, 64
 #: Queries that are scored over a part together.
-QUERY_BLOCK = 512
+QUERY_BLOCK = 4096
 
 BLOCKS = "part int, term string, gen long, n long, chunk_ids array<long>, tfs array<int>, lengths array<int>, most int, least int"
 #: Sums over chunks: how many, and their tokens.
