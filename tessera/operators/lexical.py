@@ -29,6 +29,8 @@ UNIT = 10**8
 PART_CHUNKS, SINGLE = 1024, 64
 #: Queries that are scored over a part together.
 QUERY_BLOCK = 4096
+#: So many distinct terms of queries, at most, are sent to all tasks to pick their blocks; of more, all blocks are dealt.
+SENT_TERMS = 100_000
 
 BLOCKS = "part int, term string, gen long, n long, chunk_ids array<long>, tfs array<int>, lengths array<int>, most int, least int"
 #: Sums over chunks: how many, and their tokens.
@@ -153,6 +155,7 @@ def _scorer(limit: int, filtered: bool):
         out: list[list[np.ndarray]] = [[], [], []]
         kinds = own["kind"].to_numpy() if len(own) else np.zeros(0, np.int32)
         posted = own.filter(pa.array(kinds == 0))
+        posted = posted.filter(pc.is_in(posted["term"], value_set=pc.list_flatten(asked["terms"]).combine_chunks()))
         if len(posted) and len(asked):
             terms = pc.unique(posted["term"])
             ids, tf, length = (pc.list_flatten(posted[c]).to_numpy() for c in ("chunk_ids", "tfs", "lengths"))
@@ -231,11 +234,13 @@ def search_lexical(queries: DataFrame, index: Inverted, limit: int, allowed: Dat
     those whose bound reaches the last score that these gave: no other part can hold a chunk of the first ``limit``.
     """
     wanted = wanted_terms(queries)
-    own = index.blocks.join(wanted.select("term").distinct(), "term", "left_semi")  # only the queries' blocks go on
+    size = wanted.agg(F.count_distinct("term").alias("terms"), F.count_distinct("query_id").alias("queries")).first()
+    deals, terms = max(1, math.ceil(size["queries"] / QUERY_BLOCK)), wanted.select("term").distinct()
+    own = index.blocks.join(F.broadcast(terms), "term", "left_semi") if size["terms"] <= SENT_TERMS else index.blocks
+    slim = index.blocks.select("part", "term", "n", "most", "least").join(terms, "term", "left_semi")  # without the postings
     stats = index.totals.agg(F.sum("n_chunks").alias("n_chunks"), (F.sum("n_tokens") / F.sum("n_chunks")).alias("average"))
-    asked = wanted.join(document_frequency(own).where("df > 0"), "term").crossJoin(stats)  # one row
+    asked = wanted.join(document_frequency(slim).where("df > 0"), "term").crossJoin(stats)  # one row
     asked = asked.select("query_id", "term", "times", "average", rareness(F.col("n_chunks"), F.col("df")).alias("rare"))
-    deals = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     listed = F.collect_list(F.struct("term", "times", "rare"))  # one query's terms
     packed = asked.groupBy("query_id").agg(listed.alias("t"), F.first("average").alias("average"))
     packed = packed.select("query_id", part_of(F.col("query_id"), deals).alias("deal"), F.col("t.term").alias("terms"), F.col("t.times").alias("times"), F.col("t.rare").alias("rares"), "average")
@@ -245,7 +250,7 @@ def search_lexical(queries: DataFrame, index: Inverted, limit: int, allowed: Dat
     if index.gone is not None:
         marks.append(_marked(index.gone, 2))
     most = weight(F.col("rare"), F.col("most"), F.col("least"), F.col("average"))
-    bounds = own.where("n > 0").select("part", "term", "most", "least").join(asked, "term").groupBy("query_id", "part").agg(F.sum(F.col("times") * (F.ceil(most * UNIT) + 1)).alias("bound"))
+    bounds = slim.where("n > 0").join(asked, "term").groupBy("query_id", "part").agg(F.sum(F.col("times") * (F.ceil(most * UNIT) + 1)).alias("bound"))
     score = lambda pairs: _round(pairs.select("query_id", "part"), packed, own, marks, limit, allowed is not None)
     best = (F.col("units").desc(), F.col("chunk_id"))
     if index.parts <= single:

@@ -518,8 +518,56 @@ def read_documents(spark, sf_dir):
     return reading.whole_text(C.line_chunks(spark, sf_dir), C.documents(spark, sf_dir))
 
 
-# ---------------------------------------------------------------- beyond SQL: held against fixtures and invariants in the tests
-@registered()
+# ---------------------------------------------------------------- splitting and windows
+ROOM = 1920  # units that 480 tokens allow
+
+
+def sql_packed(units: str, glue: str) -> str:
+    """A fold over a list of texts: neighbours joined while they fit, too large ones left as they are and marked."""
+    flushed = "CASE WHEN acc.size > 0 THEN list_append(acc.done, {'t': acc.held, 'big': false}) ELSE acc.done END"
+    wider = f"CASE WHEN acc.size > 0 THEN acc.size + length({glue}) + x.size ELSE x.size END"
+    start = "{'done': CAST([] AS STRUCT(t VARCHAR, big BOOLEAN)[]), 'held': '', 'size': 0}"
+    unit = "{'done': CAST([] AS STRUCT(t VARCHAR, big BOOLEAN)[]), 'held': u, 'size': CAST(length(u) AS INTEGER)}"
+    step = f"""lambda acc, x: CASE
+      WHEN {wider} <= {ROOM} THEN {{'done': acc.done, 'held': CASE WHEN acc.size > 0 THEN acc.held || {glue} || x.held ELSE x.held END, 'size': CAST({wider} AS INTEGER)}}
+      WHEN x.size <= {ROOM} THEN {{'done': {flushed}, 'held': x.held, 'size': x.size}}
+      ELSE {{'done': list_append({flushed}, {{'t': x.held, 'big': true}}), 'held': '', 'size': 0}} END"""
+    return f"list_reduce(list_prepend({start}, list_transform({units}, lambda u: {unit})), {step})"
+
+
+def sql_level(name: str, of: str, units: str, glue: str) -> str:
+    """Texts of ``of`` (doc_id, path, t, big) that are too large, cut into units and packed; the others as they are."""
+    return f"""{name}_folded AS (SELECT doc_id, path, {sql_packed(units, glue)} AS f FROM {of} WHERE big),
+{name}_listed AS (SELECT doc_id, path, CASE WHEN f.size > 0 THEN list_append(f.done, {{'t': f.held, 'big': false}}) ELSE f.done END AS l FROM {name}_folded),
+{name} AS (
+  SELECT doc_id, path, t, big FROM {of} WHERE NOT big
+  UNION ALL SELECT doc_id, list_append(path, i), l[i].t, l[i].big FROM (SELECT doc_id, path, l, unnest(range(1, len(l) + 1)) AS i FROM {name}_listed))"""
+
+
+#: A word that is no sentence's end (fixed values), or a single letter, before the stop.
+SQL_ABBREVIATED = r"""'(?i)(^|[^\p{L}])(\p{L}|sr|sra|srta|dr|dra|ud|uds|art|núm|pág|cap|fig|tab|ej|p|etc|vs)\s*[.!?…]+["''»)]?$'"""
+SQL_MARKED = r"""string_split(regexp_replace(t, '([.!?…]+["''»)]?)(\s+)([\p{Lu}¿¡])', '\1' || chr(1) || '\2' || chr(1) || '\3', 'g'), chr(1))"""
+SQL_SENTENCES = f"""list_filter(list_transform([list_reduce(
+    list_transform(range(0, len({SQL_MARKED}) // 2 + 1), lambda k: {{'done': CAST([] AS VARCHAR[]), 'sep': CASE WHEN k = 0 THEN '' ELSE {SQL_MARKED}[2 * k] END, 'cur': {SQL_MARKED}[2 * k + 1]}}),
+    lambda acc, x: CASE WHEN regexp_matches(acc.cur, {SQL_ABBREVIATED}) THEN {{'done': acc.done, 'sep': '', 'cur': acc.cur || x.sep || x.cur}}
+                        ELSE {{'done': list_append(acc.done, acc.cur), 'sep': '', 'cur': x.cur}} END)], lambda f: list_append(f.done, f.cur))[1], lambda x: x <> '')"""
+
+SQL_STRETCHES = r"""list_filter(string_split_regex(array_to_string(list_transform(string_split(t, chr(10)),
+    lambda l: CASE WHEN regexp_matches(l, '^\s*$') THEN chr(1) ELSE l END), chr(10)), '\n?\x01(\n\x01)*\n?'), lambda b: b <> '')"""
+
+SQL_SPLIT = with_(
+    f"whole AS (SELECT doc_id, CAST([] AS BIGINT[]) AS path, coalesce(text, '') AS t, length(coalesce(text, '')) > {ROOM} AS big FROM documents)",
+    sql_level("by_block", "whole", SQL_STRETCHES, "chr(10) || chr(10)"),
+    sql_level("by_line", "by_block", "string_split(t, chr(10))", "chr(10)"),
+    sql_level("by_sentence", "by_line", SQL_SENTENCES, "' '"),
+    sql_level("by_word", "by_sentence", r"regexp_extract_all(t, '\S+')", "' '"),
+    f"""pieces AS (
+  SELECT doc_id, path, t FROM by_word WHERE NOT big
+  UNION ALL SELECT doc_id, list_append(path, i), substr(t, i * {ROOM} + 1, {ROOM}) FROM (SELECT *, unnest(range(0, CAST(ceil(length(t) / {ROOM}.0) AS BIGINT))) AS i FROM by_word WHERE big))""",
+)
+
+
+@registered(SQL_SPLIT + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS position, t AS content FROM pieces")
 def chunk_documents(spark, sf_dir):
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def parts(text: pd.Series) -> pd.Series:

@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import threading
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextlib import suppress
 from dataclasses import dataclass, field
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators import lexical
 from tessera.operators.vector import missing_vectors
@@ -173,3 +176,59 @@ class Scheduler:
 def stream_sync(notices: DataFrame, run: Callable[[], SyncReport], checkpoint: str):
     """A pass for every micro-batch of a stream of notices (any rows); what is due at the start is worked off, then it ends."""
     return notices.writeStream.foreachBatch(lambda df, _: None if df.isEmpty() else run() and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class ThrottledPasses:
+    """Passes off a stream of notices (any rows), becoming due at least ``floor`` seconds apart, with the clock in the stream's
+    checkpoint; ``last`` is when the last one was due, in milliseconds.
+
+    Notices of one micro-batch are one; what comes within the floor waits for a timer and is worked off by one pass when it
+    has gone by.  The time of the last pass is state of the stream, so a restart keeps the floor.  A pass that fails counts:
+    its error is kept here and the clock has moved on.  If the driver goes down during a pass, that pass runs again.
+    """
+
+    def __init__(self, notices: DataFrame, run: Callable[[], SyncReport], floor: float = 30.0):
+        self._notices, self._run, self._floor_ms = notices, run, int(floor * 1000)
+        self.last: int | None = None
+        self.report: SyncReport | None = None
+        self.error: Exception | None = None
+
+    def due(self) -> DataFrame:
+        """A stream with a row whenever a pass is due."""
+        floor = self._floor_ms
+
+        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """At most one notice a task goes on."""
+            if any(b.num_rows for b in batches):
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32())], names=["key"])
+
+        def clock(key: tuple, notices: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+            last, waiting = state.get if state.exists else (None, False)
+            if state.hasTimedOut:
+                state_now = state.getCurrentProcessingTimeMs()
+            else:
+                waiting = any([len(n) for n in notices]) or waiting
+                state_now = state.getCurrentProcessingTimeMs()
+            go = waiting and (last is None or state_now - last >= floor)
+            if go:
+                last, waiting = state_now, False
+            state.update((last, waiting))
+            if waiting:
+                state.setTimeoutDuration(max(1, last + floor - state_now))
+            if go:
+                yield pd.DataFrame({"at": [state_now]})
+
+        keyed = self._notices.select(F.lit(0).alias("any")).mapInArrow(one, "key int")
+        return keyed.groupBy("key").applyInPandasWithState(clock, "at long", "last long, waiting boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+    def start(self, checkpoint: str, poll: str = "1 second"):
+        def passes(batch: DataFrame, _: int) -> None:
+            at = batch.agg(F.max("at")).first()[0]  # reads all of the batch, or its state would not be kept
+            if at is not None:
+                self.last = at
+                try:
+                    self.report, self.error = self._run(), None
+                except Exception as e:
+                    self.error = e
+
+        return self.due().writeStream.foreachBatch(passes).option("checkpointLocation", checkpoint).trigger(processingTime=poll).start()

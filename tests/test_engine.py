@@ -3,6 +3,7 @@ import math
 import os
 import sqlite3
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -285,3 +286,38 @@ def test_stream_of_notices_runs_passes(spark, tmp_path):
     q = sync.stream_sync(spark.readStream.schema("id long").json(src), lambda: runs.append(1), str(tmp_path / "ck"))
     q.awaitTermination(60)
     assert runs == [1]
+
+
+def test_throttled_passes_keep_the_floor_over_a_restart(spark, tmp_path):
+    """One pass at once, one for all that came within the floor, and the clock outlives the stream; failures count."""
+    src, ck, at, floor = str(tmp_path / "n"), str(tmp_path / "ck"), [], 6.0
+    spark.range(5).write.json(src)
+
+    def run():
+        at.append(passes.last / 1000)
+        if len(at) == 2:
+            raise RuntimeError("no luck")
+        return sync.SyncReport(unchanged=len(at))
+
+    def until(n):
+        end = time.time() + 60
+        while len(at) < n and time.time() < end:
+            time.sleep(0.1)
+        time.sleep(3)  # its batch is committed before the stream is stopped
+        assert len(at) == n
+
+    notices = spark.readStream.schema("id long").json(src)
+    passes = sync.ThrottledPasses(notices, run, floor)
+    query = passes.start(ck, "200 milliseconds")
+    until(1)
+    for _ in range(2):
+        spark.range(3).write.mode("append").json(src)
+    until(2)
+    query.stop()
+    assert at[1] - at[0] >= floor and isinstance(passes.error, RuntimeError)
+    spark.range(3).write.mode("append").json(src)
+    passes = sync.ThrottledPasses(notices, run, floor)
+    query = passes.start(ck, "200 milliseconds")
+    until(3)
+    query.stop()
+    assert at[2] - at[1] >= floor  # the failed pass counts, and so does the time before the restart
