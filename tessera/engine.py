@@ -73,6 +73,7 @@ class Engine:
         path = os.path.join(self.roots[0].path, settings.INDEX_FILE)
         text = reading.index_md(t.documents, self.config.convention)
         skipped = [(r["path"], list(r["errors"])) for r in t.skipped.orderBy("path").collect() if r["errors"] != [indexing.NO_CONTENT]]
+        t.release()
         return path, skipped, write_text(path, text)
 
     def evaluate(self, cases: list[dict], k: int | None = None) -> dict[str, dict]:

@@ -59,6 +59,12 @@ class Transformed:
     chunks: DataFrame
     skipped: DataFrame  # path, errors
     notices: DataFrame  # path, encoding
+    kept: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Drops what was kept so that files are read and parsed once; call it when all of it is written."""
+        for df in self.kept:
+            df.unpersist()
 
 
 def transform(files: DataFrame, config: Config, roots: tuple[str, ...] = ()) -> Transformed:
@@ -66,16 +72,18 @@ def transform(files: DataFrame, config: Config, roots: tuple[str, ...] = ()) ->
 
     Identifiers are 64-bit hashes of the path, and of path and position, so they stay the same over passes.
     """
+    files = files.persist()  # every dataset of an index comes from it
     good = files.where(F.col("error").isNull())
     meta = resolved(parsed(good, config), config.convention, roots)
     errors = F.when(F.col("parse_error").isNotNull(), F.array("parse_error")).when(F.size("errors") > 0, F.col("errors")).when(F.size("chunks") == 0, F.array(F.lit(NO_CONTENT)))
     meta = meta.withColumn("errors", errors).withColumn("doc_id", F.xxhash64("path"))
+    meta = meta.persist()
     ok = meta.where(F.col("errors").isNull())
     documents = ok.select("doc_id", "path", "title", "summary", "type", "module", "status", "owner", "tags", "updated", "hash")
     chunks = ok.select("doc_id", "path", F.posexplode("chunks").alias("position", "c")).select(F.xxhash64("path", "position").alias("chunk_id"), "doc_id", "c.heading", "c.content", "position")
     skipped = meta.where(F.col("errors").isNotNull()).select("path", "errors").unionByName(files.where(F.col("error").isNotNull()).select("path", F.array("error").alias("errors")))
     notices = good.where(F.col("encoding") != "utf-8").select("path", "encoding")
-    return Transformed(documents, chunks, skipped, notices)
+    return Transformed(documents, chunks, skipped, notices, (files, meta))
 
 
 def embedded(chunks: DataFrame, provider: Remembered) -> DataFrame:
@@ -106,4 +114,6 @@ def rebuild(files: DataFrame, store: SnapshotStore, config: Config, provider: Re
     if provider is not None:
         provider.sweep()
     rows = lambda df: [tuple(r) for r in df.orderBy("path").collect()]  # a report of what was left out
-    return Report(store.read("documents").count(), store.read("chunks").count(), rows(t.skipped), rows(t.notices), mode, warning)
+    report = Report(store.read("documents").count(), store.read("chunks").count(), rows(t.skipped), rows(t.notices), mode, warning)
+    t.release()
+    return report

@@ -87,8 +87,8 @@ def _pass(files: DataFrame, store: SnapshotStore, config: Config, provider: Reme
     whole = SnapshotStore(store.spark, store.path, base or Version(0, 1, ()))
     gen, parts = (base.number if base else 0) + 1, base.parts if base else 1
     old_documents, old_chunks, old_vectors = (whole.read(n) for n in ("documents", "chunks", "vectors"))
-    bad = files.where(F.col("error").isNotNull())
-    hashed = files.where(F.col("error").isNull()).withColumn("hash", F.sha2(F.col("text").cast("binary"), 256)).persist()
+    listing = files.select("path", F.lit(None).cast("string").alias("text"), "encoding", "error", F.sha2(F.col("text").cast("binary"), 256).alias("hash")).persist()  # no texts
+    bad, hashed = listing.where(F.col("error").isNotNull()).drop("hash"), listing.where(F.col("error").isNull())
     states = diff(hashed, old_documents).persist()
     changed = states.where(F.col("state").isin("new", "changed"))
     t = transform(files.join(changed.select("path"), "path", "left_semi").unionByName(bad), config, roots)
@@ -97,7 +97,7 @@ def _pass(files: DataFrame, store: SnapshotStore, config: Config, provider: Reme
     replaced = changed.select("path").unionByName(gone)
     stale = old_documents.join(replaced, "path", "left_semi").persist()
     stale_chunks = old_chunks.join(stale.select("doc_id"), "doc_id", "left_semi").persist()
-    kept = [hashed, states, new_documents, new_chunks, gone, stale, stale_chunks]
+    kept = [listing, states, new_documents, new_chunks, gone, stale, stale_chunks]
     minus, less = lexical.withdrawn(stale_chunks, parts, gen)
     own = {
         "documents": new_documents,
@@ -128,6 +128,7 @@ def _pass(files: DataFrame, store: SnapshotStore, config: Config, provider: Reme
     finally:
         for df in kept:
             df.unpersist()
+        t.release()
         if provider is not None:
             provider.sweep()
     return report
