@@ -26,7 +26,7 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 #: Units of a score.
 UNIT = 10**8
 #: Chunks of a part on average; indexes of at most SINGLE parts are scored in one round.
-PART_CHUNKS, SINGLE = 1024, 64
+PART_CHUNKS, SINGLE = 8192, 64
 #: Queries that are scored over a part together.
 QUERY_BLOCK = 4096
 #: So many distinct terms of queries, at most, are sent to all tasks to pick their blocks; of more, all blocks are dealt.
@@ -230,12 +230,13 @@ def _cogrouped(limit: int, filtered: bool):
 def search_lexical(queries: DataFrame, index: Inverted, limit: int, allowed: DataFrame | None = None, single: int = SINGLE) -> DataFrame:
     """(query_id, chunk_id, score, rank); only chunks in ``allowed`` (chunk_id, doc_id) compete, statistics stay the corpus's.
 
-    First what bounds a query's scores in each part is added up.  The parts with the greatest bounds are scored, and then
+    In a large index, what bounds a query's scores in each part is added up first.  The parts with the greatest bounds are scored, and then
     those whose bound reaches the last score that these gave: no other part can hold a chunk of the first ``limit``.
     """
     wanted = wanted_terms(queries)
     size = wanted.agg(F.count_distinct("term").alias("terms"), F.count_distinct("query_id").alias("queries")).first()
-    deals, terms = max(1, math.ceil(size["queries"] / QUERY_BLOCK)), wanted.select("term").distinct()
+    terms, cores = wanted.select("term").distinct(), queries.sparkSession.sparkContext.defaultParallelism
+    deals = max(1, math.ceil(size["queries"] / QUERY_BLOCK), min(size["queries"], math.ceil(cores / index.parts)))  # groups for all cores
     own = index.blocks.join(F.broadcast(terms), "term", "left_semi") if size["terms"] <= SENT_TERMS else index.blocks
     slim = index.blocks.select("part", "term", "n", "most", "least").join(terms, "term", "left_semi")  # without the postings
     stats = index.totals.agg(F.sum("n_chunks").alias("n_chunks"), (F.sum("n_tokens") / F.sum("n_chunks")).alias("average"))
@@ -254,7 +255,8 @@ def search_lexical(queries: DataFrame, index: Inverted, limit: int, allowed: Dat
     score = lambda pairs: _round(pairs.select("query_id", "part"), packed, own, marks, limit, allowed is not None)
     best = (F.col("units").desc(), F.col("chunk_id"))
     if index.parts <= single:
-        scores = score(bounds)
+        parts = queries.sparkSession.range(index.parts).select(F.col("id").cast("int").alias("part"))
+        scores = score(packed.select("query_id").crossJoin(parts))  # at most ``single`` rows a query
     else:
         ranked = bounds.withColumn("nth", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "part")))
         some = 1 + index.parts // 8
