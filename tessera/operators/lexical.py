@@ -26,7 +26,7 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 #: Units of a score.
 UNIT = 10**8
 #: Chunks of a part on average; indexes of at most SINGLE parts are scored in one round.
-PART_CHUNKS, SINGLE = 8192, 64
+PART_CHUNKS, SINGLE = 4096, 64
 #: Queries that are scored over a part together.
 QUERY_BLOCK = 4096
 #: So many distinct terms of queries, at most, are sent to all tasks to pick their blocks; of more, all blocks are dealt.
