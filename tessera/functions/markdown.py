@@ -1,7 +1,8 @@
 """Markdown as the engine needs it: frontmatter, and an outline of title, summary, intro and two levels of sections.
 
 A line scanner follows the block structure of CommonMark as far as it decides which top-level lines are headings and
-paragraphs: ATX and setext headings, fenced and indented code, HTML blocks, quotes and lists with their continuations.
+paragraphs: ATX and setext headings, fenced and indented code, the seven kinds of HTML blocks, link definitions, and quotes
+and lists: what they hold is looked at only to know whether a paragraph is open in them, which alone goes on lazily.
 """
 
 from __future__ import annotations
@@ -20,7 +21,25 @@ _OPEN = re.compile(r" {0,3}(`{3,}(?=[^`]*$)|~{3,})")
 _RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})\r?$")
 _QUOTE = re.compile(r" {0,3}>")
 _ITEM = re.compile(r"( {0,3})([-+*]|\d{1,9}[.)])([ \t]+|\r?$)")
-_HTML = re.compile(r" {0,3}<(?:[A-Za-z/!?])")
+_DEFINITION = re.compile(r" {0,3}\[((?:[^\[\]\\]|\\.)+)\]:[ \t]*(?:<[^<>]*>|\S+)(?:[ \t]+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?[ \t]*\r?$")
+
+#: Tags that begin an HTML block up to a blank line (fixed by CommonMark).
+_BLOCK_TAGS = (
+    "address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset "
+    "h1 h2 h3 h4 h5 h6 head header hr html iframe legend li link main menu menuitem nav noframes ol optgroup option p param search section summary table tbody td tfoot th "
+    "thead title tr track ul"
+).split()
+_ATTRIBUTE = r"""(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s"'=<>`]+|'[^']*'|"[^"]*"))?)"""
+#: How an HTML block begins, where it ends (None: at a blank line), and whether it ends a paragraph.
+_HTML = [
+    (re.compile(r" {0,3}<(?:script|pre|style|textarea)(?:\s|>|$)", re.IGNORECASE), re.compile(r"</(?:script|pre|style|textarea)>", re.IGNORECASE), True),
+    (re.compile(r" {0,3}<!--"), re.compile("-->"), True),
+    (re.compile(r" {0,3}<\?"), re.compile(r"\?>"), True),
+    (re.compile(r" {0,3}<![A-Za-z]"), re.compile(">"), True),
+    (re.compile(r" {0,3}<!\[CDATA\["), re.compile(r"\]\]>"), True),
+    (re.compile(rf" {{0,3}}</?(?:{'|'.join(_BLOCK_TAGS)})(?:\s|/?>|$)", re.IGNORECASE), None, True),
+    (re.compile(rf" {{0,3}}(?:<[A-Za-z][A-Za-z0-9-]*{_ATTRIBUTE}*\s*/?>|</[A-Za-z][A-Za-z0-9-]*\s*>)\s*$"), None, False),
+]
 
 
 @dataclass
@@ -32,8 +51,14 @@ class Block:
     end: int
 
 
-def inline_text(source: str) -> str:
-    """What is read of inline Markdown: no emphasis marks, code without ticks, links by their text, no images."""
+def label(text: str) -> str:
+    """Link labels are compared without case and with single blanks."""
+    return " ".join(text.split()).casefold()
+
+
+def inline_text(source: str, labels: frozenset[str] | set[str] = frozenset()) -> str:
+    """What is read of inline Markdown: no emphasis marks, code without ticks, links by their text, no images; references
+    are links where their label is defined."""
     kept: list[str] = []
 
     def keep(m: re.Match) -> str:
@@ -44,6 +69,9 @@ def inline_text(source: str) -> str:
     s = re.sub(r"\\([!-/:-@\[-`{-~])", lambda m: kept.append(m[1]) or f"\0{len(kept) - 1}\0", s)
     s = re.sub(r"!\[[^\]]*\]\([^)]*\)", "", s)
     s = re.sub(r"\[([^\]]*)\]\([^)]*\)", r"\1", s)
+    if labels:  # [text][label], [label][] and [label]
+        s = re.sub(r"(!?)\[([^\[\]]*)\]\[([^\[\]]+)\]", lambda m: m[0] if label(m[3]) not in labels else "" if m[1] else m[2], s)
+        s = re.sub(r"(!?)\[([^\[\]]+)\](?:\[\])?", lambda m: m[0] if label(m[2]) not in labels else "" if m[1] else m[2], s)
     s = re.sub(r"<((?:https?|mailto):[^>\s]*)>", r"\1", s)
     for mark in (r"\*\*\*", r"\*\*", r"\*"):
         s = re.sub(rf"{mark}(?=\S)(.+?)(?<=\S){mark}", r"\1", s, flags=re.DOTALL)
@@ -54,15 +82,67 @@ def inline_text(source: str) -> str:
     return re.sub("\0(\\d+)\0", lambda m: kept[int(m[1])], s)
 
 
+def html_end(line: str, in_paragraph: bool) -> tuple[re.Pattern | None] | None:
+    """(where the HTML block that this line begins ends,), or None if it begins none."""
+    for begins, ends, interrupts in _HTML:
+        if (interrupts or not in_paragraph) and begins.match(line):
+            return (ends,)
+    return None
+
+
+class Container:
+    """A quote or list that is open: the indent that goes on in it (0 for a quote), and whether a paragraph is open inside."""
+
+    def __init__(self, line: str, width: int):
+        self.width, self.fence, self.open = width, "", False
+        self.take(line)
+
+    def take(self, line: str) -> None:
+        """A line that belongs to it."""
+        inner = line[self.width :] if self.width and not line[: self.width].strip() else line
+        while not self.fence and (m := _QUOTE.match(inner) or _ITEM.match(inner)) and not _RULE.match(inner):
+            inner = inner[m.end() :].removeprefix(" ") if m.re is _QUOTE else inner[m.end() :]
+            self.open = False
+        bare = inner.strip()
+        if self.fence:
+            if _QUOTE.match(inner):
+                bare = inner[_QUOTE.match(inner).end() :].strip()
+            if bare.startswith(self.fence) and not bare.strip(self.fence[0]):
+                self.fence = ""
+            self.open = False
+        elif m := _OPEN.match(inner):
+            self.fence, self.open = m[1], False
+        elif _ATX.match(inner) or _RULE.match(inner) or html_end(inner, self.open) or (self.open and _SETEXT.match(inner)):
+            self.open = False
+        else:
+            self.open = bool(bare) and (self.open or not inner.startswith(("    ", "\t")))
+
+    def blank(self) -> bool:
+        """Whether it goes on behind a blank line."""
+        self.open = False
+        self.fence = self.fence if self.width else ""
+        return self.width > 0
+
+
 def top_blocks(body: str) -> list[Block]:
     """Headings and paragraphs that stand at top level, with their offsets."""
     out: list[Block] = []
     held: list[tuple[str, int, int]] = []  # lines of an open paragraph
-    fence, container, markup, at = "", -1, False, 0
+    labels: set[str] = set()
+    fence, at = "", 0
+    container: Container | None = None
+    markup: tuple[re.Pattern | None] | None = None
+
+    def define() -> None:
+        """Definitions at the beginning of a paragraph are none of it."""
+        while held and (m := _DEFINITION.match(held[0][0])) and label(m[1]):
+            labels.add(label(m[1]))
+            del held[0]
 
     def close() -> None:
+        define()
         if held:
-            out.append(Block("paragraph", 0, inline_text("\n".join(x.strip() for x, _, _ in held)), held[0][1], held[-1][2]))
+            out.append(Block("paragraph", 0, "\n".join(x.strip() for x, _, _ in held), held[0][1], held[-1][2]))
             held.clear()
 
     for line in body.split("\n"):
@@ -75,34 +155,38 @@ def top_blocks(body: str) -> list[Block]:
                 fence = ""
             continue
         if markup:
-            markup = not blank
+            if blank if markup[0] is None else markup[0].search(line):
+                markup = None
             continue
-        if container >= 0:  # inside a list or a quote
+        if container:
             if blank:
-                container = max(container, 1) if container else -1
+                container = container if container.blank() else None
                 continue
-            item = _ITEM.match(line)
-            fresh = _ATX.match(line) or _OPEN.match(line) or _RULE.match(line)
-            if _QUOTE.match(line) or item or (container and indent >= container):
-                container = len(item[0]) if item else container
+            item = None if _RULE.match(line) else _ITEM.match(line)
+            if _QUOTE.match(line) or item or (container.width and indent >= container.width):
+                if item and indent < max(container.width, 1):
+                    container = Container(line, len(item[0]))
+                else:
+                    container.take(line)
                 continue
-            previous_blank = body[: start - 1].endswith("\n") if start else True
-            if not fresh and not previous_blank:
-                continue  # a lazy continuation
-            container = -1
+            if container.open and not (_ATX.match(line) or _OPEN.match(line) or _RULE.match(line) or html_end(line, True)):
+                continue  # its paragraph goes on
+            container = None
         if blank:
             close()
             continue
         if held and (m := _SETEXT.match(line)):
-            text, first = inline_text("\n".join(x.strip() for x, _, _ in held)), held[0][1]
-            held.clear()
-            out.append(Block("heading", 1 if m[1][0] == "=" else 2, text, first, end))
-        elif indent >= 4 and not held:
+            define()
+            if held:
+                out.append(Block("heading", 1 if m[1][0] == "=" else 2, "\n".join(x.strip() for x, _, _ in held), held[0][1], end))
+                held.clear()
+                continue
+        if indent >= 4 and not held:
             continue
-        elif m := _ATX.match(line):
+        if m := _ATX.match(line):
             close()
             title = re.sub(r"^#+$", "", (m[2] or "").strip())
-            out.append(Block("heading", len(m[1]), inline_text(title), start + len(line) - len(line.lstrip(" ")), end))
+            out.append(Block("heading", len(m[1]), title, start + len(line) - len(line.lstrip(" ")), end))
         elif m := _OPEN.match(line):
             close()
             fence = m[1]
@@ -110,15 +194,18 @@ def top_blocks(body: str) -> list[Block]:
             close()
         elif _QUOTE.match(line):
             close()
-            container = 0
+            container = Container(line, 0)
         elif (m := _ITEM.match(line)) and not (held and (not m[3].strip(" \t\r") and m[0].strip() == line.strip() or m[2][0].isdigit() and m[2][:-1] != "1")):
             close()
-            container = len(m[0])
-        elif _HTML.match(line) and not held:
-            markup = True
+            container = Container(line, len(m[0]))
+        elif ends := html_end(line, bool(held)):
+            close()
+            markup = None if ends[0] is not None and ends[0].search(line, line.index("<") + 2) else ends
         else:
             held.append((line, start + len(line) - len(line.lstrip()), end))
     close()
+    for b in out:
+        b.text = inline_text(b.text, labels)
     return out
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tessera.functions import text as X
 from tessera.functions.decode import CP1252_CHARS, decoded
 from tessera.functions.excerpt import best_centre, excerpts, flatten, locate
+from tessera.functions.markdown import outline
 from tessera.functions.splitting import split_to_bound
 from tessera.functions.text import tokenize_query, units
 from tessera.operators import convention, evaluate, filters, fusion, lexical, reading, similar, vector
@@ -603,6 +604,28 @@ def lead_excerpts(spark, sf_dir):
     return d.select(F.col("doc_id").alias("query_id"), excerpts(F.col("text"), F.col("text"), F.lit(1)).alias("excerpt"))
 
 
+@registered(
+    r"""SELECT doc_id, 'Doc ' || doc_id AS title, words || chr(10) || 'and so on.' AS summary, 'Part ' || lang || '|Deep ' || source AS sections, 'Below ' || doc_id AS below
+FROM (SELECT *, array_to_string(regexp_extract_all(text, '\p{L}+')[1:12], ' ') AS words FROM documents)"""
+)
+def document_outlines(spark, sf_dir):
+    """Outlines of documents put into quotes, lists, markup, fences, ATX and setext headings: what of them is title, summary and sections."""
+
+    @F.pandas_udf("title string, summary string, sections string, below string")
+    def outlined(body: pd.Series) -> pd.DataFrame:
+        trees = [outline(b) for b in body]
+        below = ["|".join(c.title for s in t.sections for c in s.children) for t in trees]
+        return pd.DataFrame({"title": [t.title for t in trees], "summary": [t.summary for t in trees], "sections": ["|".join(s.title for s in t.sections) for t in trees], "below": below})
+
+    number = F.col("doc_id").cast("string")
+    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("\\p{L}+"), F.lit(0)), 1, 12), " ")
+    body = F.concat(
+        F.lit("<!-- # no\n\n## no -->\n# Doc "), number, F.lit("\n\n> ## Quoted\n> "), words, F.lit("\nlazily\n\n<div>\n## Markup\n\n"), words, F.lit("\nand so on.\n\n## Part "), "lang",
+        F.lit("\n\n- item\n  ## No\n\n  "), words, F.lit("\n\n### Below "), number, F.lit(" ###\n\n```\n## No\n```\n\nDeep "), "source", F.lit("\n---\n"), words, F.lit("\n"),
+    )
+    return C.table(spark, sf_dir, "documents").select("doc_id", outlined(body).alias("o")).select("doc_id", "o.*")
+
+
 #: Markdown flattened; fences aside, which the tables do not hold.
 SQL_FLAT = r"""flat AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(
   array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^\s*#{1,6}\s')), ' '),

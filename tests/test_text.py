@@ -129,6 +129,54 @@ def test_outline():
     assert markdown.outline("##\n\ntext").sections[0].title == ""
 
 
+def told(body):
+    return [(b.kind[0] + (str(b.depth) if b.depth else ""), b.text) for b in markdown.top_blocks(body)]
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        # HTML blocks end where their kind does, and inline HTML begins none
+        ("<b>bold</b> text\n", [("p", "<b>bold</b> text")]),
+        ("<!-- hidden\n\n## no\n-->\n## yes", [("h2", "yes")]),
+        ("<!-- one line -->\n# T", [("h1", "T")]),
+        ("<script>\n\n# no\n</script>\ntext", [("p", "text")]),
+        ("<?php\n\n# no\n?>\n# yes", [("h1", "yes")]),
+        ("<![CDATA[\n\n# no\n]]>\n# yes", [("h1", "yes")]),
+        ("<div>\n# no\n\n# yes\n</div>", [("h1", "yes")]),
+        ("text\n<div>\n# no\n\nmore", [("p", "text"), ("p", "more")]),
+        ("<span>\n# no\n\n# yes", [("h1", "yes")]),
+        ("text\n<span>\nmore", [("p", "text\n<span>\nmore")]),
+        ("<https://x.org> is a link", [("p", "https://x.org is a link")]),
+        # only a paragraph goes on lazily
+        ("> quoted\nlazily\n\nown", [("p", "own")]),
+        ("> # heading\nown", [("p", "own")]),
+        ("> ---\nown", [("p", "own")]),
+        ("> ```\nown\n```", [("p", "own")]),
+        ("> > deep\nlazily\n# T", [("h1", "T")]),
+        ("- item\nlazily\n\nown", [("p", "own")]),
+        ("- # heading\nown", [("p", "own")]),
+        ("- a\n\n  more of a\n\nown", [("p", "own")]),
+        ("- ```\n  # no\n  ```\n# T", [("h1", "T")]),
+        ("1. a\n   - b\n     ## no\n\n   c\n## T", [("h2", "T")]),
+        ("- a\n***\n## T", [("h2", "T")]),
+        ("> - a\n>   ## no\n## T", [("h2", "T")]),
+        ("> a\n===\nown", []),
+        # setext headings, definitions and references
+        ("two\nlines\n===\ntext", [("h1", "two\nlines"), ("p", "text")]),
+        ("[a]: /x\n# T [a] [b][A] [c]\n", [("h1", "T a b [c]")]),
+        ("see [the  Guide][]\n\n[the guide]: <x y> 'z'", [("p", "see the  Guide")]),
+        ("[a]: /x\n[b]: /y\ntext ![pic][b] [a]", [("p", "text  a")]),
+        ("[a]: /x\n===\n", [("p", "===")]),
+        ("text\n[a]: /x", [("p", "text\n[a]: /x")]),
+        ("`[a]`\n\n[a]: /x", [("p", "[a]")]),
+    ],
+)
+def test_blocks_of_commonmark(body, want):
+    assert told(body) == want
+    assert told(body.replace("\n", "\r\n")) == want
+
+
 def test_headings_in_fragments():
     assert markdown.headings_in("## A\r\n```\n## no\n```\n### B \n# not") == ["A", "B"]
     assert markdown.headings_in("```\n## A") == ["A"]
