@@ -241,7 +241,7 @@ def search_lexical(queries: DataFrame, index: Inverted, limit: int, allowed: Dat
     slim = index.blocks.select("part", "term", "n", "most", "least").join(terms, "term", "left_semi")  # without the postings
     stats = index.totals.agg(F.sum("n_chunks").alias("n_chunks"), (F.sum("n_tokens") / F.sum("n_chunks")).alias("average"))
     asked = wanted.join(document_frequency(slim).where("df > 0"), "term").crossJoin(stats)  # one row
-    asked = asked.select("query_id", "term", "times", "average", rareness(F.col("n_chunks"), F.col("df")).alias("rare"))
+    asked = asked.select("query_id", "term", F.col("times").cast("int").alias("times"), "average", rareness(F.col("n_chunks"), F.col("df")).alias("rare"))
     listed = F.collect_list(F.struct("term", "times", "rare"))  # one query's terms
     packed = asked.groupBy("query_id").agg(listed.alias("t"), F.first("average").alias("average"))
     packed = packed.select("query_id", part_of(F.col("query_id"), deals).alias("deal"), F.col("t.term").alias("terms"), F.col("t.times").alias("times"), F.col("t.rare").alias("rares"), "average")
