@@ -1,6 +1,6 @@
 """Quality classifier by positive-unlabelled learning.
 
-A linear model over the whole text - 24 statistics of its form, and how often its words, pairs of words and runs of four
+A linear model over the whole text - 20 statistics of its form, and how often its words, pairs of words and runs of four
 bytes fall into each of HASHED slots of their hashes - minimises the non-negative unbiased risk
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
@@ -36,7 +36,7 @@ _CLASS[65:91], _CLASS[97:123], _CLASS[48:58] = 0, 1, 2
 _CLASS[[ord(c) for c in ".,;:'\"()-"]] = 3
 _CLASS[10] = 5
 _CLASS[[0x20, 9, 11, 12, 13]] = 6
-N_FEATURES = 24
+N_FEATURES = 20
 #: Slots of each kind of hashed run, and what is added to a text's number of runs, so that short texts weigh less.
 HASHED, KINDS, SMOOTH = 512, 3, 20
 
@@ -85,10 +85,6 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
             distinct(h, doc, n) / per_word,
             repeated,
             mean(same),
-            (repeated > 0.35).astype(float),
-            (marked > 0.3).astype(float),
-            (shouted > 0.3).astype(float),
-            (words < 20).astype(float),
             np.log1p(lines) / 5,
             np.minimum(words / np.maximum(lines, 1), 100) / 100,
         ],
@@ -168,24 +164,32 @@ def estimated_prior(p: np.ndarray, u: np.ndarray, least: float = 0.3) -> float:
 class Model:
     def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, steps: int = 600):
         size = N_FEATURES + KINDS * HASHED
-        every = np.concatenate([positive, unlabelled]).astype(np.float32)
-        self.centre = every.mean(0) if len(every) else np.zeros(size, np.float32)
-        self.scale = every.std(0) + np.repeat([1e-3, 1e-4], [N_FEATURES, KINDS * HASHED]).astype(np.float32) if len(every) else np.ones(size, np.float32)
+        n = len(positive) + len(unlabelled)
+        self.centre, self.scale = np.zeros(size, np.float32), np.ones(size, np.float32)
+        if n:  # in two sweeps over slices: the rows stay 16-bit floats
+            slices = [(x, i) for x in (positive, unlabelled) for i in range(0, len(x), 1024)]
+            mean = sum(x[i : i + 1024].sum(0, dtype=np.float64) for x, i in slices) / n
+            spread = sum(((x[i : i + 1024] - mean) ** 2).sum(0) for x, i in slices) / n
+            self.centre = mean.astype(np.float32)
+            self.scale = (np.sqrt(spread) + np.repeat([1e-3, 1e-4], [N_FEATURES, KINDS * HASHED])).astype(np.float32)
         #: Slots weigh less at first and are held shorter than statistics: there are many of them.
         self.scale[N_FEATURES:] *= 8
         self.hold = np.repeat([1e-4, 3e-3, 0], [N_FEATURES, KINDS * HASHED, 1]).astype(np.float32)
         self.w = np.zeros(size + 1, np.float32)
         self.prior = 0.5
         if len(positive) > 1 and len(unlabelled) > 1:
-            p, u = self._inputs(positive.astype(np.float32)), self._inputs(unlabelled.astype(np.float32))
+            p, u = self._inputs(positive), self._inputs(unlabelled)
             form = np.r_[0:N_FEATURES, size]
             self.prior = estimated_prior(p[:, form].astype(float), u[:, form].astype(float))
             self.w = descend(lambda w: self._gradient(w.astype(np.float32), p, u), size + 1, steps).astype(np.float32)
 
     def _inputs(self, x: np.ndarray) -> np.ndarray:
-        z = (x - self.centre) / self.scale
+        z = np.ones((len(x), x.shape[1] + 1), np.float32)
+        z[:, :-1] = x
+        z[:, :-1] -= self.centre
+        z[:, :-1] /= self.scale
         z[:, :N_FEATURES] = np.clip(z[:, :N_FEATURES], -8, 8)
-        return np.concatenate([z, np.ones((len(z), 1), np.float32)], 1)
+        return z
 
     def _gradient(self, w: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
         zp, zu = p @ w, u @ w
@@ -214,10 +218,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample_p: int = SAMPL
     chosen = chosen.withColumnRenamed("doc_id", "chosen")  # at most sample_p + sample_u rows
     texts = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).select("doc_id", "text")
     one = texts.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    rows = featured(one).join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).orderBy("doc_id").collect()
-    size = N_FEATURES + KINDS * HASHED
-    x = lambda key: np.frombuffer(b"".join(bytes(r["x"]) for r in rows if r[key]), np.float16).reshape(-1, size)
-    return Model(x("p"), x("u"))
+    rows = featured(one).join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).orderBy("doc_id").select("x", "p", "u").toArrow()
+    x = np.concatenate([np.frombuffer(v.as_buffer(), np.float16)[None] for v in rows["x"]] or [np.zeros((0, N_FEATURES + KINDS * HASHED), np.float16)])
+    p, u = (rows[c].to_numpy().astype(bool) for c in ("p", "u"))
+    del rows
+    return Model(x[p], x[u])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
