@@ -399,6 +399,28 @@ def test_op5_keeps_good_and_rejects_bad(spark):
         assert o.kept == (r.quality == 1 and not o.base_failed), (r, o)
 
 
+def test_op5_posterior_by_hand():
+    """Two rounds of expectation and maximisation, written out over rows instead of patterns."""
+    rules = len(quality_rules.RULES)
+    rng = random.Random(3)
+    rows = ["".join(rng.choice("gb-" if rng.random() < 0.5 else "g") for _ in range(rules)) for _ in range(60)] + ["b" * rules] * 5
+    good = [(0.95, 0.5, 0.05)[min(2, r.count("b"))] for r in rows]
+    for _ in range(2):
+        share = sum(good) / len(rows)
+
+        def seen(j, v, side):
+            weight = sum(g if side else 1 - g for g, r in zip(good, rows, strict=True) if r[j] == v)
+            own = (v == "g" and side) or (v == "b" and not side)
+            return (weight + (1.0 if own else 0.1)) / (len(rows) * (share if side else 1 - share) + 1.2)
+
+        table = {(j, v, side): seen(j, v, side) for j in range(rules) for v in "gb-" for side in (True, False)}
+        odds = [share / (1 - share) * math.prod(table[j, v, True] / table[j, v, False] for j, v in enumerate(r)) for r in rows]
+        good = [o / (1 + o) for o in odds]
+    got = quality_rules.posteriors(Counter(rows), 2)
+    assert all(math.isclose(got[r], g, rel_tol=1e-9) for r, g in zip(rows, good, strict=True))
+    assert got["g" * rules] > 0.9 > 0.1 > got["b" * rules]
+
+
 def test_op5_native(spark):
     plan = quality_rules.judged(frame(spark, [(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
