@@ -651,6 +651,22 @@ def support_excerpts(spark, sf_dir):
     return d.select("doc_id", excerpts(F.col("text"), F.lit("unused"), F.lit(2)).alias("excerpt"))
 
 
+SQL_CUT = """cut AS (
+  SELECT doc_id, CASE WHEN length(flat) <= 120 THEN flat WHEN contains(head, ' ') AND blank - 1 > 60 THEN substr(head, 1, blank - 1) || '…' ELSE head || '…' END AS excerpt
+  FROM (SELECT doc_id, flat, substr(flat, 1, 120) AS head, 121 - instr(reverse(substr(flat, 1, 120)), ' ') AS blank FROM flat))"""
+
+
+@registered(
+    with_(C.SQL_CORPUS, *LEXICAL, C.sql_lexical(50), C.sql_vector(50), C.SQL_FUSED, SQL_FLAT, SQL_CUT)
+    + """SELECT f.query_id, f.fused_rank AS rank, c.path, c.title, c.status, excerpt, round(f.score, 4) AS score
+FROM fused f JOIN corpus c ON f.chunk_id = c.doc_id JOIN cut ON cut.doc_id = c.doc_id WHERE f.fused_rank BETWEEN 2 AND 5"""
+)
+def supporting_results(spark, sf_dir):
+    """The whole search, excerpts included, of the results behind each query's first one."""
+    found = search.search(C.index(spark, sf_dir), C.queries(spark, sf_dir), filters.Filters(), K)
+    return found.where("rank > 1").select("query_id", "rank", "path", "title", "status", "excerpt", "score")
+
+
 @registered(r"SELECT doc_id, array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: length(x) > 0), lambda x: trim(x)), '|') AS headings FROM documents")
 def headings(spark, sf_dir):
     """Headings of texts whose every line is made one."""
