@@ -137,6 +137,16 @@ def test_rounds_of_parts_give_the_same_rows(spark):
         assert rounds[0] == rounds[1] == rounds[2] and len(rounds[0]) == 15 * 7
 
 
+@pytest.mark.parametrize("single", [1, 99])
+def test_empty_parts_queries_and_filters(spark, single):
+    chunks = spark.createDataFrame([(1, 1, "", "a b c", 0), (2, 2, "", "b c d", 0), (3, 3, "h", None, 0)], "chunk_id long, doc_id long, heading string, content string, position int")
+    asked = spark.createDataFrame([(1, "b"), (2, None), (3, "h zz")], "query_id long, text string")
+    index = lexical.Inverted.of(chunks, 10)
+    rows = lambda *a: sorted((r.query_id, r["rank"], r.chunk_id) for r in lexical.search_lexical(*a, single=single).collect())
+    assert rows(asked, index, 5) == [(1, 1, 1), (1, 2, 2), (3, 1, 3)]
+    assert rows(asked.limit(0), index, 5) == rows(asked, lexical.Inverted.of(chunks.limit(0), 4), 5) == rows(asked, index, 5, chunks.limit(0)) == []
+
+
 def test_bounds_leave_parts_out(spark):
     """A part without the rare term cannot reach the rows that have it: its blocks are not scored."""
     rows = [(i, i, "", "common words here" + (" rare" if i % 40 == 0 else ""), 0) for i in range(400)]
