@@ -157,6 +157,17 @@ def test_bounds_leave_parts_out(spark):
     assert [r.chunk_id for r in got.orderBy("rank").collect()] == [0, 40, 80, 120, 160]
 
 
+def test_a_task_sends_the_first_rows_of_all_its_parts(spark, monkeypatch):
+    """What a search shuffles of its scores does not grow with the number of parts."""
+    rows = [(i, i, "", f"common words {i % 7} here", 0) for i in range(400)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, doc_id long, heading string, content string, position int")
+    sent, top = [], lexical.top
+    monkeypatch.setattr(lexical, "top", lambda scores, *a: sent.append(scores.groupBy("query_id").count()) or top(scores, *a))
+    asked = spark.createDataFrame([(i, f"common {i}") for i in range(9)], "query_id long, text string")
+    assert lexical.search_lexical(asked, lexical.Inverted.of(chunks, 40), 3).count() == 27
+    assert max(r["count"] for r in sent[0].collect()) <= 3 * spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.parametrize("partitions", [4, 7, 64])
 def test_ranks_do_not_depend_on_partitions_or_threads(spark, partitions):
     import duckdb
