@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.engine import Engine, concept_embeddings
-from tessera.operators import lexical
+from tessera.operators import lexical, vector
 from tessera.plans import search
 from tessera.sources import config
 from tessera.sources.embeddings import Model, Remembered, Unavailable
@@ -168,6 +168,27 @@ def test_a_task_sends_the_first_rows_of_all_its_parts(spark, monkeypatch):
     assert max(r["count"] for r in sent[0].collect()) <= 3 * spark.sparkContext.defaultParallelism
 
 
+def test_a_task_sends_the_nearest_of_all_its_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vector, "BLOCK", 10)
+    sent, top = [], vector.top
+    monkeypatch.setattr(vector, "top", lambda found, *a: sent.append(found.groupBy("query_id").count()) or top(found, *a))
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randint(0, 3)) for _ in range(3)]) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").coalesce(1)
+    got = vector.knn(vectors.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), vectors, 7).collect()
+    far = lambda a, b: round(sum((x - y) ** 2 for x, y in zip(a, b, strict=True)) ** 0.5, 10)
+    for q in range(0, 300, 20):
+        assert [r.chunk_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [i for _, i in sorted((far(rows[q][1], v), i) for i, v in rows)[:7]]
+    assert {r["count"] for r in sent[0].collect()} == {7}
+
+
+def test_vector_searches_build_no_lexical_index(spark):
+    from tessera.plans import catalog, corpus as C
+
+    C._STORED.clear()
+    assert catalog.queries()["vector_postfilter"](spark, "/root/testdata/sf0.001").count() > 0 and not C._STORED
+
+
 @pytest.mark.parametrize("partitions", [4, 7, 64])
 def test_ranks_do_not_depend_on_partitions_or_threads(spark, partitions):
     import duckdb
