@@ -189,6 +189,16 @@ def test_vector_searches_build_no_lexical_index(spark):
     assert catalog.queries()["vector_postfilter"](spark, "/root/testdata/sf0.001").count() > 0 and not C._STORED
 
 
+def test_parts_of_a_pass_grow_with_the_listing(spark, monkeypatch):
+    from tessera.plans import catalog
+
+    parts, blocks = [], lexical.blocks
+    monkeypatch.setattr(lexical, "parts_of", lambda n: n // 10)
+    monkeypatch.setattr(lexical, "blocks", lambda chunks, n, gen=0: parts.append(n) or blocks(chunks, n, gen))
+    catalog.queries()["incremental_postings"](spark, "/root/testdata/sf0.001")
+    assert parts == [20, 20]
+
+
 @pytest.mark.parametrize("partitions", [4, 7, 64])
 def test_ranks_do_not_depend_on_partitions_or_threads(spark, partitions):
     import duckdb
