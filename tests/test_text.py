@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,3 +243,43 @@ def test_windows_against_every_window():
                 best = (key, (every[left][0] + every[right][1]) // 2)
         got = excerpt.best_centre(spans, budget, times)
         assert got == excerpt.best_centre(every, budget) == (best and best[1])
+
+
+def test_texts_of_a_batch_are_python_strings_slice_by_slice(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import reading
+
+    sizes = []
+
+    class Watched:
+        def __init__(self, rows):
+            self.rows = rows
+
+        def __len__(self):
+            return len(self.rows)
+
+        def slice(self, lo, n):
+            sizes.append(n)
+            return pa.array(self.rows[lo : lo + n])
+
+    rows = [f"## a{i}\nb" for i in range(500)] + [None]
+    assert X.mapped(lambda t: len(t or ""), pa.int32(), Watched(rows)).to_pylist() == [len(r or "") for r in rows]
+    assert max(sizes) <= 64 and X.mapped(len, pa.int32(), pa.array([], pa.string())).to_pylist() == []
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id int, text string")
+    got = frame.select("id", reading.headings(F.col("text")).alias("h"), excerpt.excerpts(F.col("text"), F.lit("b"), F.lit(1)).alias("e")).orderBy("id").collect()
+    assert [r.h for r in got] == [[f"a{i}"] for i in range(500)] + [[]] and [r.e for r in got] == ["b"] * 500 + [""]
+
+
+def test_located_equals_every_occurrence():
+    rng = random.Random(4)
+    for _ in range(200):
+        raw = "".join(rng.choice("aÁbİß ẍx̌😀") for _ in range(rng.randint(0, 30)))
+        terms = list(dict.fromkeys("".join(rng.choice("aábBi̇") for _ in range(rng.randint(1, 2))) for _ in range(4)))
+        raw = X.units(raw)
+        folded = [(c, i) for i, r in enumerate(raw) for c in X.fold_match(r)] + [("", len(raw))]
+        flat = "".join(c for c, _ in folded)
+        want = [(folded[k][1], folded[k + len(low)][1], t) for t in terms if (low := X.fold_match(t)) for k in range(len(flat)) if flat.startswith(low, k)]
+        assert sorted(excerpt.locate(raw, terms)) == sorted(want)
+        found = excerpt.located(raw, terms)
+        assert found.start.tolist() == sorted(found.start.tolist())
