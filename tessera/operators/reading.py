@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,9 +75,9 @@ def sections(chunks: DataFrame, requests: DataFrame) -> DataFrame:
     return hits.groupBy("doc_id", "section").agg(F.array_join(ordered, "\n\n").alias("content"))  # the chunks of one document
 
 
-@F.udf(T.ArrayType(T.StringType()), useArrow=True)
-def _headings(text):
-    return headings_in(text or "")
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _headings(text: pa.Array) -> pa.Array:
+    return X.mapped(lambda t: headings_in(t or ""), pa.list_(pa.string()), text)
 
 
 def headings(text: Column) -> Column:
