@@ -199,6 +199,14 @@ def test_parts_of_a_pass_grow_with_the_listing(spark, monkeypatch):
     assert parts == [20, 20]
 
 
+def test_totals_come_from_blocks(spark):
+    rows = [(i, i, "h" * (i % 2), None if i % 5 == 0 else "a b a " * i, 0) for i in range(30)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, doc_id long, heading string, content string, position int")
+    for own in (chunks, chunks.limit(0)):
+        sums = own.count(), lexical.totals(own, 1).agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+        assert [tuple(r)[2:] for r in lexical.totals_of(lexical.blocks(own, 3), own.count()).collect()] == [sums]
+
+
 @pytest.mark.parametrize("partitions", [4, 7, 64])
 def test_ranks_do_not_depend_on_partitions_or_threads(spark, partitions):
     import duckdb
